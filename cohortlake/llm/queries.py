@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .decontaminate import find
+from .mixing import mix
 from .sharding import shard
 from .shared import read
+from .url_filter import Rule, judge, site_rule
 
 SHARDS = 8
 
@@ -18,5 +21,43 @@ def op1_feistel_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards,)}
-ORACLE_SQL: dict[str, str] = {}
+#: The rules that the query states; the longest that fits wins.
+SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+#: The method's own rules, for urls that none of the above fits: hosts with such a label are blocked.
+BLOCKED_HOSTS = ["adult", "ads", "bets", "casino", "pills", "porn", "spam", "track"]
+
+
+def url_rules() -> list[Rule]:
+    words = [g for w in BLOCKED_HOSTS for g in (f"{w}-~", f"~.{w}-~", f"~-{w}.~", f"~-{w}-~")]
+    return [r for text, verdict in SITE_RULES for r in site_rule(text, verdict)] + [Rule(g + end, "block") for g in words for end in ("", "/*")]
+
+
+def op8_url_automaton(spark, sf_dir):
+    """page_id, host, path, rule, verdict of every page."""
+    return judge(read(spark, sf_dir, "pages"), url_rules()).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = """
+WITH a AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+r(rule, h, p, v) AS (VALUES ('org/', 'org', '/', 'allow'), ('example.org/es/', 'example.org', '/es/', 'block'), ('example.org/en/1', 'example.org', '/en/1', 'block'), ('com/fr/', 'com', '/fr/', 'allow'), ('com/de/', 'com', '/de/', 'block')),
+m AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM a JOIN r ON (a.host = r.h OR ends_with(a.host, '.' || r.h)) AND starts_with(a.path, r.p) GROUP BY page_id)
+SELECT a.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN regexp_matches(host, '(^|[.])(adult|ads|bets|casino|pills|porn|spam|track)-') OR regexp_matches(host, '-(adult|ads|bets|casino|pills|porn|spam|track)[.-]') THEN 'block' ELSE 'allow' END) AS verdict
+FROM a LEFT JOIN m ON a.page_id = m.page_id
+"""
+
+
+def op9_entropy_mix(spark, sf_dir):
+    """doc_id, size, source_size, target, taken of every document; sources weigh 5, 2, 1 in turn and no document is taken over 3 times."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mix(docs, [5.0, 2.0, 1.0], key=["doc_id"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")
+
+
+def op10_suffix_arrays(spark, sf_dir):
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document, against the whole benchmark."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
