@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find
 from .mixing import mix
+from .neardup import near_duplicates
 from .sharding import shard
 from .shared import read
 from .url_filter import Rule, judge, site_rule
@@ -21,6 +22,11 @@ def op1_feistel_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_bottom_k_neardup(spark, sf_dir):
+    """doc_id, n_shingles, component_id, kept of every document: 3-word shingles, Jaccard similarity of 0.85 or more."""
+    return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, num=85)
+
+
 #: The rules that the query states; the longest that fits wins.
 SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: The method's own rules, for urls that none of the above fits: hosts with such a label are blocked.
@@ -59,5 +65,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
