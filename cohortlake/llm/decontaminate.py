@@ -104,7 +104,7 @@ def _longest(doc, word, item, item_word, n):
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - item_word[1:] != word[:-1] - item_word[:-1]) | (word[1:] != word[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first, len(doc))[1:] - 1
     return doc[first], word[first], item[first], item_word[first], word[last] + n[last] - word[first]
 
 
