@@ -9,6 +9,7 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .sharding import shard
 from .shared import read
+from .substrings import remove_repeats
 from .url_filter import Rule, judge, site_rule
 
 SHARDS = 8
@@ -27,6 +28,12 @@ def op3_bottom_k_neardup(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, num=85)
 
 
+def op4_count_min_substrings(spark, sf_dir):
+    """doc_id, n_words, n_removed, kept_sha256 of every document: windows of 20 words."""
+    out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 #: The rules that the query states; the longest that fits wins.
 SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: The method's own rules, for urls that none of the above fits: hosts with such a label are blocked.
@@ -65,5 +72,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op4_count_min_substrings, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}

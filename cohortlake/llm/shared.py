@@ -111,6 +111,21 @@ class Words:
         np.cumsum(_byte_codes(seed)[self.data] * power[:n], out=sums[1:], dtype=np.uint64)
         return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(np.uint64))
 
+    def kept(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The kept words of each document joined by one space: bytes and offsets."""
+        inside = np.zeros(len(self.data) + 1, np.int32)
+        starts = self.starts[keep]
+        inside[starts] = 1
+        inside[self.ends[keep]] -= 1
+        mask = np.cumsum(inside[:-1]) > 0
+        doc = np.searchsorted(self.first, np.flatnonzero(keep), "right") - 1
+        # the byte before a word separates it from what came before; a document's first kept word needs none
+        spaces = starts[np.append(False, doc[1:] == doc[:-1])] - 1 if len(starts) else starts
+        data = self.data.copy()
+        data[spaces] = 0x20
+        mask[spaces] = True
+        return data[mask], np.concatenate(([0], np.cumsum(mask)))[self.offsets]
+
     def of_doc(self, k: int) -> np.ndarray:
         """The document of each start of a run of k words within one document; -1 where the run would leave it."""
         doc = np.repeat(np.arange(len(self.counts)), self.counts)
