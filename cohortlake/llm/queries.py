@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from .decontaminate import find
 from .mixing import mix
 from .neardup import near_duplicates
+from .quality import STATISTICS
+from .quality import judge as judge_quality
 from .sharding import shard
 from .shared import read
 from .substrings import remove_repeats
@@ -34,6 +36,12 @@ def op4_count_min_substrings(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_mcd_quality(spark, sf_dir):
+    """doc_id, the statistics, base_failed and kept of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return judge_quality(docs, keep_text=False).select("doc_id", *STATISTICS, "base_failed", "kept")
+
+
 #: The rules that the query states; the longest that fits wins.
 SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: The method's own rules, for urls that none of the above fits: hosts with such a label are blocked.
@@ -72,5 +80,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op4_count_min_substrings, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op4_count_min_substrings, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
