@@ -12,6 +12,7 @@ from .quality import judge as judge_quality
 from .sharding import shard
 from .shared import read
 from .substrings import remove_repeats
+from .token_files import read_documents, write_ids
 from .url_filter import Rule, judge, site_rule
 
 SHARDS = 8
@@ -25,6 +26,19 @@ def op1_feistel_shards(spark, sf_dir):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bit_plane_ids(spark, sf_dir):
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files written."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = write_ids(docs, tokenizer_file("word_bpe_49k.json"))
+    return read_documents(manifest, docs.schema["doc_id"].dataType, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def op3_bottom_k_neardup(spark, sf_dir):
     """doc_id, n_shingles, component_id, kept of every document: 3-word shingles, Jaccard similarity of 0.85 or more."""
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, num=85)
@@ -80,5 +94,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op3_bottom_k_neardup, op4_count_min_substrings, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
