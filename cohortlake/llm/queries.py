@@ -12,6 +12,7 @@ from .quality import judge as judge_quality
 from .sharding import shard
 from .shared import read
 from .substrings import remove_repeats
+from .token_counts import count_tokens
 from .token_files import read_documents, write_ids
 from .url_filter import Rule, judge, site_rule
 
@@ -50,6 +51,12 @@ def op4_count_min_substrings(spark, sf_dir):
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_count_viterbi(spark, sf_dir):
+    """doc_id, n_tokens, score of every document under a unigram vocabulary of 32,000 pieces."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens", "score")
+
+
 def op6_mcd_quality(spark, sf_dir):
     """doc_id, the statistics, base_failed and kept of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -94,5 +101,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op5_count_viterbi, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
