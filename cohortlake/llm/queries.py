@@ -9,6 +9,7 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .quality import STATISTICS
 from .quality import judge as judge_quality
+from .secrets import scan
 from .sharding import shard
 from .shared import read
 from .substrings import remove_repeats
@@ -63,6 +64,12 @@ def op6_mcd_quality(spark, sf_dir):
     return judge_quality(docs, keep_text=False).select("doc_id", *STATISTICS, "base_failed", "kept")
 
 
+def op7_forest_secrets(spark, sf_dir):
+    """doc_id, word, token_sha256, length, probability (to 6 places), secret: every candidate of every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return scan(docs).select("doc_id", "word", F.sha2("token", 256).alias("token_sha256"), F.length("token").alias("length"), F.round("probability", 6).alias("probability"), "secret")
+
+
 #: The rules that the query states; the longest that fits wins.
 SITE_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 #: The method's own rules, for urls that none of the above fits: hosts with such a label are blocked.
@@ -101,5 +108,5 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op5_count_viterbi, op6_mcd_quality, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op5_count_viterbi, op6_mcd_quality, op7_forest_secrets, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
