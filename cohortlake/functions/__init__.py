@@ -1 +1 @@
-
+"""Column functions: mutation strings and protein sequences."""
