@@ -1 +1 @@
-
+"""Operators on cohorts: DataFrames in, DataFrames out."""

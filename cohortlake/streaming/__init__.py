@@ -1 +1 @@
-
+"""Streams: the column functions in cohortlake.functions hold no state, so they apply to streaming DataFrames as they are."""
