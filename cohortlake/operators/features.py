@@ -118,11 +118,11 @@ def roc_pr_by_class(scores: DataFrame, by: str = "class", score: str = "score",
     t = scores.groupBy(by, score).agg(F.sum(positive).alias("p"), F.count("*").alias("n"))
     down = Window.partitionBy(by).orderBy(F.col(score).desc())
     total = Window.partitionBy(by)
-    t = t.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "P": F.sum("p").over(total), "N": F.sum(F.col("n") - F.col("p")).over(total)})
+    t = t.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "pos": F.sum("p").over(total), "neg": F.sum(F.col("n") - F.col("p")).over(total)})
     # pairs of a negative here and a positive above, ties counting half
     area = F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2))
     precision = F.sum(F.col("p") * F.col("tp") / F.col("k"))
-    return t.groupBy(by, "P", "N").agg(area.alias("a"), precision.alias("ap")).select(by, F.when((F.col("P") > 0) & (F.col("N") > 0), F.col("a") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(F.col("P") > 0, F.col("ap") / F.col("P")).alias("average_precision"))
+    return t.groupBy(by, "pos", "neg").agg(area.alias("a"), precision.alias("ap")).select(by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("a") / (F.col("pos") * F.col("neg"))).alias("roc_auc"), F.when(F.col("pos") > 0, F.col("ap") / F.col("pos")).alias("average_precision"))
 
 
 def roc_pr_micro(scores: DataFrame, score: str = "score", positive: str = "positive") -> DataFrame:

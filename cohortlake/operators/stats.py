@@ -39,15 +39,15 @@ def cramers_v(long: DataFrame) -> DataFrame:
     cells = long.groupBy("gene", "SUBCLASS").agg(F.count("*").alias("r"), F.count_if(is_mutated()).alias("m"))
     by_gene = Window.partitionBy("gene")
     total, mutated, labels = F.sum("r").over(by_gene), F.sum("m").over(by_gene), F.count("*").over(by_gene)
-    t = cells.withColumns({"N": total, "M": mutated, "L": labels})
-    parts = F.array(*(F.struct(o.alias("o"), (F.col("r") * c / F.col("N")).alias("e")) for o, c in ((F.col("m"), F.col("M")), (F.col("r") - F.col("m"), F.col("N") - F.col("M")))))
-    each = t.select("gene", "N", "L", F.explode(parts).alias("x"))
+    t = cells.withColumns({"total": total, "mutated": mutated, "labels": labels})
+    parts = F.array(*(F.struct(o.alias("o"), (F.col("r") * c / F.col("total")).alias("e")) for o, c in ((F.col("m"), F.col("mutated")), (F.col("r") - F.col("m"), F.col("total") - F.col("mutated")))))
+    each = t.select("gene", "total", "labels", F.explode(parts).alias("x"))
     off = F.abs(F.col("x.o") - F.col("x.e"))
-    off = F.when(F.col("L") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
+    off = F.when(F.col("labels") == 2, off - F.least(F.lit(0.5), off)).otherwise(off)
     # a zero expectation comes of a gene that is never or always mutated
-    chi = each.groupBy("gene", "N", "L").agg(F.sum(F.when(F.col("x.e") > 0, off * off / F.col("x.e"))).alias("chi2"), F.min("x.e").alias("least"))
-    dim = F.least("L", F.lit(2)) - 1
-    return chi.select("gene", F.when((F.col("least") > 0) & (dim > 0), F.sqrt(F.col("chi2") / (F.col("N") * dim))).alias("v"))
+    chi = each.groupBy("gene", "total", "labels").agg(F.sum(F.when(F.col("x.e") > 0, off * off / F.col("x.e"))).alias("chi2"), F.min("x.e").alias("least"))
+    dim = F.least("labels", F.lit(2)) - 1
+    return chi.select("gene", F.when((F.col("least") > 0) & (dim > 0), F.sqrt(F.col("chi2") / (F.col("total") * dim))).alias("v"))
 
 
 def all_wt_genes(train: DataFrame, test: DataFrame) -> DataFrame:

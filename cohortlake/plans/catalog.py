@@ -1,6 +1,785 @@
-"""The registered queries and their SQL over the driver's tables."""
+"""The registered queries, over whole tables, and their SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from cohortlake.functions import mutations as M
+from cohortlake.functions import proteins as P
+from cohortlake.operators import cohort as C
+from cohortlake.operators import embeddings as E
+from cohortlake.operators import features as X
+from cohortlake.operators import samples as S
+from cohortlake.operators import sequences as Q
+from cohortlake.operators import stats as A
+from cohortlake.plans import adapters as D
+from cohortlake.sources import files as IO
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+CELLS, WIDE, TYPED, PARSED, ISO = (f"WITH {x}" for x in (D.CELLS_SQL, D.WIDE_SQL, D.TYPED_SQL, D.PARSED_SQL, D.ISO_SQL))
+TRAIN, TEST = "CAST(ID AS BIGINT) % 5 < 4", "CAST(ID AS BIGINT) % 5 = 4"
+PROPS = ", ".join(f"('{c}', {h}, {p}.0, {m}, {i}, {q}.0)" for c, (_, h, p, m, i, q) in M.AMINO_ACIDS.items())
+PROPERTY_SQL = f"aa(c, hydrophobicity, polarity, mw, pI, charge) AS (SELECT c, CAST(h AS DOUBLE), CAST(p AS DOUBLE), CAST(m AS DOUBLE), CAST(i AS DOUBLE), CAST(q AS DOUBLE) FROM (VALUES {PROPS}) AS v(c, h, p, m, i, q))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def joined(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+# --- reshaping ----------------------------------------------------------------------------------
+
+
+@query(f"{CELLS} SELECT gene, count(*) FILTER (mutation_str <> 'WT') AS n_mutated, count(*) AS n, round(count(*) FILTER (mutation_str <> 'WT') / count(*), 6) AS frequency FROM cells GROUP BY gene ORDER BY count(*) FILTER (mutation_str <> 'WT') / count(*) DESC, gene LIMIT 20")
+def top_mutated_genes(spark, sf):
+    """A top-20 report."""
+    return C.top_k(A.mutation_frequency(D.cells(spark, sf)), "frequency", 20).withColumn("frequency", F.round("frequency", 6))
+
+
+@query(f"{WIDE} SELECT ID, SUBCLASS, gene, mutation_str FROM wlong")
+def unpivot_cohort(spark, sf):
+    """P1."""
+    return C.unpivot_cohort(D.wide(spark, sf))
+
+
+@query(f"{CELLS} SELECT DISTINCT gene, mutation_str FROM cells")
+def mutation_dictionary(spark, sf):
+    """P2."""
+    return C.mutation_dictionary(D.cells(spark, sf))
+
+
+@query(f"{CELLS} SELECT * FROM cells WHERE mutation_str <> 'WT'")
+def mutated_only(spark, sf):
+    """P3."""
+    return C.mutated_only(D.cells(spark, sf))
+
+
+@query(f"{WIDE} SELECT ID, SUBCLASS, {', '.join(f'CAST({g} <> {chr(39)}WT{chr(39)} AS INT) AS {g}' for g in D.WIDE_GENES)} FROM wide")
+def binarize(spark, sf):
+    """P4."""
+    return C.binarize(D.wide(spark, sf), D.WIDE_GENES)
+
+
+@query(f"{WIDE} SELECT gene, max(CASE WHEN ID = '1' THEN mutation_str END) AS \"1\", max(CASE WHEN ID = '2' THEN mutation_str END) AS \"2\", max(CASE WHEN ID = '3' THEN mutation_str END) AS \"3\" FROM wlong GROUP BY gene")
+def transpose_cohort(spark, sf):
+    """P5: three named samples as columns."""
+    return C.transpose_cohort(D.wide(spark, sf), ["1", "2", "3"])
+
+
+@query(f"{WIDE}, t AS (SELECT *, 'x' AS fixed FROM wide WHERE {TRAIN}) SELECT * FROM (SELECT 'fixed' AS \"column\", count(DISTINCT fixed) AS n FROM t {' '.join(f'UNION ALL SELECT {chr(39)}{g}{chr(39)}, count(DISTINCT {g}) FROM t' for g in D.WIDE_GENES)}) WHERE n = 1".replace("SELECT * FROM (SELECT 'fixed'", "SELECT \"column\" FROM (SELECT 'fixed'"))
+def constant_columns(spark, sf):
+    """P9."""
+    return C.constant_columns(D.train(D.wide(spark, sf)).withColumn("fixed", F.lit("x")), [*D.WIDE_GENES, "fixed"])
+
+
+@query("SELECT d.doc_id, coalesce(quality, 0) AS quality, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'Unknown') AS kind FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def fill_missing(spark, sf):
+    """P10."""
+    t = D.table(spark, sf, "documents").select("doc_id").join(D.table(spark, sf, "labels"), "doc_id", "left")
+    return C.fill_missing(t.select("doc_id", "quality", F.when(F.col("toxic") == 1, "toxic").alias("kind")))
+
+
+@query(f"{WIDE}, f AS (SELECT ID, gene, length(mutation_str) AS len, CAST(mutation_str <> 'WT' AS INT) AS hit FROM wlong) SELECT ID, {', '.join(f'max(CASE WHEN gene = {chr(39)}{g}{chr(39)} THEN {c} END) AS {g}_{c}' for g in D.WIDE_GENES for c in ('len', 'hit'))} FROM f GROUP BY ID")
+def pivot_features(spark, sf):
+    """P11."""
+    long = C.unpivot_cohort(D.wide(spark, sf)).select("ID", "gene", F.length("mutation_str").cast("long").alias("len"), C.is_mutated().cast("int").alias("hit"))
+    return C.pivot_features(long, D.WIDE_GENES, ["len", "hit"])
+
+
+# --- mutation strings ---------------------------------------------------------------------------
+
+
+@query(f"{CELLS} SELECT ID, gene, array_to_string(list_distinct_ordered, ',') AS tokens FROM (SELECT ID, gene, list_filter(string_split(mutation_str, ' '), lambda x: x <> '') AS list_distinct_ordered FROM cells)")
+def split_mutations(spark, sf):
+    """M1."""
+    return D.cells(spark, sf).select("ID", "gene", joined(M.split_mutations(F.col("mutation_str"))).alias("tokens"))
+
+
+@query(f"{CELLS}, pairs AS (SELECT ID, gene, mutation_str || ' ' || mutation_str AS mutation_str FROM cells), t AS (SELECT ID, gene, mutation_str, unnest(string_split(mutation_str, ' ')) AS token FROM pairs) SELECT ID, gene, mutation_str, token, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1")
+def duplicate_mutations(spark, sf):
+    """M2: over cells that repeat themselves."""
+    return C.duplicate_mutations(D.cells(spark, sf).withColumn("mutation_str", F.concat_ws(" ", "mutation_str", "mutation_str")))
+
+
+@query(f"{TYPED} SELECT gene, mutation_str, i, t AS token, type FROM types")
+def classify_mutation(spark, sf):
+    """M3: each token's type."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).select("*", F.posexplode(M.split_mutations(F.col("mutation_str"))).alias("i", "token"))
+    return t.select("gene", "mutation_str", (F.col("i") + 1).cast("long").alias("i"), "token", M.classify_mutation(F.col("token")).alias("type"))
+
+
+@query(f"{PARSED} SELECT gene, mutation_str, i, CASE WHEN t = 'WT' OR o IS NULL THEN NULL ELSE array_to_string(CASE WHEN t LIKE '%ins%' AND t NOT LIKE '%delins%' THEN [CAST(x AS INT) FOR x IN generate_series(p[1], p[2])] ELSE p END, ',') END AS positions FROM lists")
+def mutation_positions(spark, sf):
+    """M4."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).select("*", F.posexplode(M.split_mutations(F.col("mutation_str"))).alias("i", "token"))
+    return t.select("gene", "mutation_str", (F.col("i") + 1).cast("long").alias("i"), joined(M.mutation_positions(F.col("token"))).alias("positions"))
+
+
+@query(f"{TYPED} SELECT gene, mutation_str, type FROM typed")
+def classify_mutations(spark, sf):
+    """M5."""
+    return C.mutation_dictionary(D.cells(spark, sf)).withColumn("type", M.classify_mutations(F.col("mutation_str")))
+
+
+@query(f"{PARSED} SELECT gene, mutation_str, i, CASE WHEN regexp_matches(t, '^[A-Z*-]+[0-9]+(del|fs|[A-Z*])?$') THEN o[1] END AS orig, CASE WHEN regexp_matches(t, '^[A-Z*-]+[0-9]+(del|fs|[A-Z*])?$') THEN p[1] END AS pos, CASE WHEN regexp_matches(t, '^[A-Z*-]+[0-9]+(del|fs|[A-Z*])?$') THEN m[1] END AS mut FROM lists")
+def parse_mutation(spark, sf):
+    """M6."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).select("*", F.posexplode(M.split_mutations(F.col("mutation_str"))).alias("i", "token"))
+    return t.select("gene", "mutation_str", (F.col("i") + 1).cast("long").alias("i"), M.parse_mutation(F.col("token")).alias("x")).select("gene", "mutation_str", "i", "x.*")
+
+
+@query(f"{PARSED} SELECT gene, mutation_str, CASE WHEN bad THEN '' ELSE array_to_string(origin, ',') END AS origin, CASE WHEN bad THEN '' ELSE array_to_string(position, ',') END AS position, CASE WHEN bad THEN '' ELSE array_to_string(mutant, ',') END AS mutant, CASE WHEN bad THEN 0 ELSE len(position) END AS mut_num, bad AS failed FROM parsed")
+def parse_mutations(spark, sf):
+    """M7, M8."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).withColumn("p", M.parse_mutations(F.col("mutation_str")))
+    return t.select("gene", "mutation_str", *(joined(F.col(f"p.{c}")).alias(c) for c in ("origin", "position", "mutant")), F.size("p.position").cast("long").alias("mut_num"), F.col("p.parse_error").isNotNull().alias("failed"))
+
+
+PAIRS_SQL = f"""{PARSED}, {PROPERTY_SQL},
+pairs AS (SELECT gene, mutation_str, i, origin[i] AS o, mutant[i] AS m FROM parsed, unnest(generate_series(1, least(len(origin), len(mutant)))) AS u(i) WHERE NOT bad),
+diffs AS (SELECT pairs.*, x.c IS NOT NULL AND y.c IS NOT NULL AS ok, {", ".join(f"y.{p} - x.{p} AS {p}" for p in M.PROPERTIES)} FROM pairs LEFT JOIN aa x ON o = x.c LEFT JOIN aa y ON m = y.c),
+cut AS (SELECT gene, mutation_str, min(i) FILTER (NOT ok) AS first_bad FROM diffs GROUP BY gene, mutation_str),
+kept AS (SELECT diffs.* FROM diffs JOIN cut USING (gene, mutation_str) WHERE first_bad IS NULL OR i < first_bad),
+stats AS (SELECT gene, mutation_str, {", ".join(f"min({p}) AS {p}_min, max({p}) AS {p}_max, avg({p}) AS {p}_mean, coalesce(stddev_pop({p}), 0) AS {p}_std" for p in M.PROPERTIES)} FROM kept GROUP BY gene, mutation_str),
+enc AS (SELECT gene, mutation_str, type, CASE WHEN bad THEN 0 ELSE len(position) END AS mut_num, CASE WHEN first_bad IS NOT NULL AND type <> 'WT' THEN 1 ELSE 0 END AS status, {", ".join(f"{p}_{s}" if s != "std" else f"coalesce({p}_std, 0) AS {p}_std" for p in M.PROPERTIES for s in M.STATISTICS)}, mutant, bad FROM parsed JOIN typed USING (gene, mutation_str) LEFT JOIN cut USING (gene, mutation_str) LEFT JOIN stats USING (gene, mutation_str))"""
+
+
+def rounded(names, sql=False):
+    return ", ".join(f"round({n}, 6) AS {n}" for n in names) if sql else [F.round(n, 6).alias(n) for n in names]
+
+
+@query(f"{PAIRS_SQL} SELECT gene, mutation_str, CAST(i AS BIGINT) AS i, {rounded(M.PROPERTIES, True)} FROM diffs")
+def aa_diff(spark, sf):
+    """M9: the differences of each pair of residues."""
+    p = C.mutation_dictionary(D.cells(spark, sf)).withColumn("p", M.parse_mutations(F.col("mutation_str")))
+    k = F.least(F.size("p.origin"), F.size("p.mutant"))
+    t = p.select("gene", "mutation_str", F.posexplode(F.arrays_zip(F.slice("p.origin", F.lit(1), k).alias("o"), F.slice("p.mutant", F.lit(1), k).alias("m"))).alias("i", "x"))
+    t = t.select("gene", "mutation_str", (F.col("i") + 1).cast("long").alias("i"), M.aa_diff(F.col("x.o"), F.col("x.m")).alias("d"))
+    return t.select("gene", "mutation_str", "i", *(F.round(f"d.{n}", 6).alias(n) for n in M.PROPERTIES))
+
+
+@query(f"{PAIRS_SQL} SELECT gene, mutation_str, type, CAST(mut_num AS BIGINT) AS mut_num, status, {rounded(S.AA_STATS, True)} FROM enc")
+def encode_mutations(spark, sf):
+    """The encoding job."""
+    e = D.encoding(spark, sf)
+    return e.select("gene", "mutation_str", "type", F.col("mut_num").cast("long").alias("mut_num"), "status", *rounded(S.AA_STATS))
+
+
+@query(f"{PARSED}, names(c, name) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{v[0]}{chr(39)})' for c, v in M.AMINO_ACIDS.items())}, ('*', 'Stop Codon')) SELECT coalesce(name, 'Unknown') AS name, count(*) AS n FROM (SELECT unnest(mutant) AS c FROM parsed WHERE NOT bad) LEFT JOIN names USING (c) GROUP BY 1")
+def aa_name(spark, sf):
+    """Mutant residues by name."""
+    p = C.mutation_dictionary(D.cells(spark, sf)).select(F.explode(M.parse_mutations(F.col("mutation_str"))["mutant"]).alias("c"))
+    return p.groupBy(M.aa_name(F.col("c")).alias("name")).agg(F.count("*").alias("n"))
+
+
+@query(f"{CELLS} SELECT ID, gene, array_to_string(list_filter([regexp_replace(x, '[^0-9]', '', 'g') FOR x IN string_split(mutation_str, ' ')], lambda x: x <> ''), ',') AS positions FROM cells")
+def digits_positions(spark, sf):
+    """M13."""
+    return D.cells(spark, sf).select("ID", "gene", joined(M.digits_positions(F.col("mutation_str"))).alias("positions"))
+
+
+# --- sequences ----------------------------------------------------------------------------------
+
+_AT = "TRY_CAST(regexp_extract(tok, '([0-9]+)', 1) AS INT)"
+_END = "TRY_CAST(regexp_extract(tok, '_[A-Z]?([0-9]+)', 1) AS INT)"
+_FITS = "(s[a] = left(tok, 1) OR left(tok, 1) IN ('-', '*'))"
+
+
+def _apply_sql(seq: str, tok: str) -> str:
+    """One token of the adapter's kinds applied to a sequence."""
+    return f"""(SELECT CASE WHEN tok = 'WT' OR tok LIKE 'p.%' OR tok IS NULL THEN s
+ WHEN regexp_matches(tok, '^[0-9]+_[0-9]+[A-Z]+>') THEN CASE WHEN z <= len(s) AND s[a:z] = regexp_extract(tok, '([A-Z]+)>', 1) THEN s[:a - 1] || split_part(tok, '>', 2) || s[z + 1:] ELSE s END
+ WHEN regexp_matches(tok, '_.*del$') THEN CASE WHEN z <= len(s) THEN s[:a - 1] || s[z + 1:] ELSE s END
+ WHEN regexp_matches(tok, '_.*ins') THEN CASE WHEN z <= len(s) THEN s[:z] || split_part(tok, 'ins', 2) || s[z + 1:] ELSE s END
+ WHEN a > len(s) OR NOT {_FITS} THEN s
+ WHEN tok LIKE '%fs' OR tok LIKE '%*' THEN s[:a - 1]
+ WHEN tok LIKE '%delins%' THEN s[:a - 1] || split_part(tok, 'delins', 2) || s[a + 1:]
+ WHEN tok LIKE '%del' THEN s[:a - 1] || s[a + 1:]
+ ELSE s[:a - 1] || right(tok, 1) || s[a + 1:] END FROM (SELECT {seq} AS s, {tok} AS tok, TRY_CAST(regexp_extract({tok}, '([0-9]+)', 1) AS INT) AS a, TRY_CAST(regexp_extract({tok}, '_[A-Z]?([0-9]+)', 1) AS INT) AS z))"""
+
+
+CHOSEN_SQL = f"""{CELLS}, dict AS (SELECT DISTINCT gene, mutation_str FROM cells),
+one AS (SELECT dict.*, iso.* EXCLUDE (gene), split_part(mutation_str, ' ', 1) AS t1, nullif(split_part(mutation_str, ' ', 2), '') AS t2 FROM dict JOIN iso USING (gene)),
+step AS (SELECT *, {_apply_sql("wt_seq", "t1")} AS s1 FROM one),
+done AS (SELECT *, CASE WHEN t2 IS NULL THEN s1 ELSE {_apply_sql("s1", "t2")} END AS mut_seq FROM step),
+best AS (SELECT gene, mutation_str, isoform_id, wt_seq, mut_seq FROM done WHERE len(mut_seq) > 0 QUALIFY row_number() OVER (PARTITION BY gene, mutation_str ORDER BY list_position(['uniprot','ncbi','pdb','ensembl'], db), len(mut_seq) DESC, isoform_ord) = 1),
+mutseqs AS (SELECT dict.gene, dict.mutation_str, isoform_id, wt_seq, mut_seq FROM dict LEFT JOIN best USING (gene, mutation_str))"""
+
+
+@query(f"{CHOSEN_SQL} SELECT gene, mutation_str, isoform_id, md5(wt_seq) AS wt, md5(mut_seq) AS mut, len(mut_seq) AS n FROM mutseqs")
+def add_mutated_sequences(spark, sf):
+    """Q1 to Q3."""
+    return D.sequences(spark, sf).select("gene", "mutation_str", "isoform_id", F.md5("wt_seq").alias("wt"), F.md5("mut_seq").alias("mut"), F.length("mut_seq").cast("long").alias("n"))
+
+
+@query(f"{CHOSEN_SQL} SELECT gene, mutation_str FROM mutseqs WHERE wt_seq IS NULL")
+def not_found(spark, sf):
+    """S7."""
+    return Q.not_found(D.sequences(spark, sf))
+
+
+@query(f"""{ISO}, r AS (SELECT *, CASE WHEN db = 'uniprot' AND isoform_id LIKE 'P%' OR db = 'ncbi' AND starts_with(isoform_id, 'NP_') OR db = 'pdb' OR db = 'ensembl' THEN 0 WHEN db = 'ncbi' THEN 1 ELSE 2 END AS f FROM iso)
+SELECT db, gene, isoform_id, md5(wt_seq) AS wt FROM r QUALIFY row_number() OVER (PARTITION BY db, gene ORDER BY f, CASE WHEN db = 'ensembl' THEN -TRY_CAST(split_part(isoform_id, '.', 2) AS INT) ELSE -len(wt_seq) END, isoform_ord) = 1""")
+def select_longest_isoform(spark, sf):
+    """Q4."""
+    return Q.select_longest_isoform(D.isoforms(spark, sf)).select("db", "gene", "isoform_id", F.md5("wt_seq").alias("wt"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(upper(regexp_replace(text, '[^ -~]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g')) AS cleaned FROM documents")
+def clean_sequence(spark, sf):
+    """Q5: over the ASCII signs of each text."""
+    return D.table(spark, sf, "documents").select("doc_id", F.md5(P.clean_sequence(F.regexp_replace("text", "[^ -~]", ""))).alias("cleaned"))
+
+
+def _saac_sql(source: str, cut: str) -> str:
+    """Regions of (id.., seq, mutation_str), and shares by code in long form."""
+    codes = ", ".join(f"'{c}'" for c in P.CODES)
+    return f"""reg AS (SELECT * FROM (SELECT *, len(seq) AS n, CAST(round_even({cut} * len(seq), 0) AS INT) AS w, CASE WHEN len(seq) >= 5 AND mutation_str LIKE '%fs%' THEN 1 ELSE 0 END AS fs FROM {source})),
+three AS (SELECT *, 'n_term' AS region, CASE WHEN n < 5 THEN seq WHEN w = 0 THEN '' ELSE seq[:w] END AS r, 0 AS k FROM reg UNION ALL SELECT *, 'mid', CASE WHEN n < 5 OR w = 0 THEN '' ELSE substr(seq, w + 1, n - 2 * w) END, 0 FROM reg UNION ALL SELECT *, 'c_term', CASE WHEN n < 5 THEN '' WHEN w = 0 THEN seq ELSE seq[n - w + 1:] END, fs FROM reg),
+shares AS (SELECT three.*, code, CASE WHEN len(r) + k = 0 THEN 0.0 WHEN code = 'fs' THEN 100.0 * k / (len(r) + k) ELSE 100.0 * (len(r) - len(replace(r, code, ''))) / (len(r) + k) END AS share FROM three, unnest([{codes}]) AS c(code))"""
+
+
+_SEQ = "seqrows AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A1fs' ELSE 'A1T' END AS mutation_str, wt_seq AS seq FROM (SELECT isoform_ord AS doc_id, wt_seq FROM iso))"
+
+
+def _seqrows(spark, sf):
+    return D.isoforms(spark, sf).select(F.col("isoform_ord").alias("doc_id"), F.when(F.col("isoform_ord") % 3 == 0, "A1fs").otherwise("A1T").alias("mutation_str"), F.col("wt_seq").alias("seq"))
+
+
+@query(f"{ISO}, {_SEQ}, {_saac_sql('seqrows', '0.2')} SELECT doc_id, {', '.join(f'round(max(share) FILTER (region = {chr(39)}{r}{chr(39)} AND code = {chr(39)}{c}{chr(39)}), 6) AS {r}_{c}' for r in P.REGIONS for c in P.CODES)} FROM shares GROUP BY doc_id")
+def saac(spark, sf):
+    """Q6."""
+    return Q.saac_table(_seqrows(spark, sf)).select("doc_id", *rounded(P.SAAC_COLUMNS))
+
+
+@query(f"{ISO}, {_SEQ}, swept AS (SELECT seqrows.*, cutoff FROM seqrows, unnest([CAST(0.10 AS DOUBLE), 0.15, 0.20, 0.25, 0.30]) AS c(cutoff)), {_saac_sql('swept', 'cutoff')} SELECT doc_id, round(cutoff, 6) AS cutoff, round(sum(share * (hash_of)), 6) AS total FROM (SELECT *, CAST(len(region) + ascii(code) AS DOUBLE) AS hash_of FROM shares) GROUP BY doc_id, cutoff")
+def saac_sweep(spark, sf):
+    """Q7: each sequence and cutoff, with a weighted sum of its 63 shares."""
+    weights = F.array(*(F.lit(float(len(r) + ord(c[0]))) for r in P.REGIONS for c in P.CODES))
+    swept = Q.saac_sweep(_seqrows(spark, sf))
+    total = F.aggregate(F.zip_with("saac", weights, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return swept.select("doc_id", F.round("cutoff", 6).alias("cutoff"), F.round(total, 6).alias("total"))
+
+
+@query(f"{ISO} SELECT count(*) AS n, round(avg(len(wt_seq)), 6) AS mean, round(stddev_samp(len(wt_seq)), 6) AS std, min(len(wt_seq)) AS min, max(len(wt_seq)) AS max FROM iso")
+def length_summary(spark, sf):
+    """Q8."""
+    t = Q.length_summary(_seqrows(spark, sf))
+    return t.select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.col("min").cast("long").alias("min"), F.col("max").cast("long").alias("max"))
+
+
+@query(f"{ISO} SELECT CAST(least(len(wt_seq) // 40, 49) AS INT) AS bin, count(*) AS n FROM iso WHERE len(wt_seq) BETWEEN 0 AND 2000 GROUP BY 1")
+def length_histogram(spark, sf):
+    """Q8."""
+    return Q.length_histogram(_seqrows(spark, sf))
+
+
+# --- joins --------------------------------------------------------------------------------------
+
+FULL_SQL = f"""{PAIRS_SQL}, {CHOSEN_SQL.split(', dict AS', 1)[1].split('one AS', 1)[1].join(['one AS', ''])},
+fulltab AS (SELECT enc.*, isoform_id, wt_seq, mut_seq, CASE WHEN type = 'Frameshift' OR (type = 'Complex_mutation' AND NOT bad AND list_contains(mutant, 'fs')) OR isoform_id IS NULL THEN 1 ELSE 0 END AS status_prot FROM enc JOIN mutseqs USING (gene, mutation_str))"""
+
+
+@query(f"{FULL_SQL} SELECT gene, mutation_str, type, isoform_id, status_prot FROM fulltab")
+def full_feature_table(spark, sf):
+    """P6, J1."""
+    return D.full(spark, sf).select("gene", "mutation_str", "type", "isoform_id", "status_prot")
+
+
+@query(f"{PAIRS_SQL} SELECT ID, gene, mutation_str, type, CAST(mut_num AS BIGINT) AS mut_num, status FROM cells LEFT JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT'")
+def attach_encoding(spark, sf):
+    """J2."""
+    return C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf)).select("ID", "gene", "mutation_str", "type", F.col("mut_num").cast("long").alias("mut_num"), "status")
+
+
+_SHORT = "short AS (SELECT gene, mutation_str, length(mutation_str) AS len, CAST(mutation_str <> 'WT' AS INT) AS hit FROM (SELECT DISTINCT gene, mutation_str FROM wlong))"
+
+
+def _short(spark, sf):
+    return C.mutation_dictionary(C.unpivot_cohort(D.wide(spark, sf))).withColumn("len", F.length("mutation_str").cast("long")).withColumn("hit", C.is_mutated().cast("int"))
+
+
+@query(f"{WIDE}, {_SHORT} SELECT ID, SUBCLASS, gene, mutation_str, len, hit FROM wlong LEFT JOIN short USING (gene, mutation_str)")
+def attach_features(spark, sf):
+    """The salted join on (gene, mutation_str), WT included."""
+    return C.attach_saac(C.unpivot_cohort(D.wide(spark, sf)), _short(spark, sf)).select("ID", "SUBCLASS", "gene", "mutation_str", "len", "hit")
+
+
+@query(f"{WIDE}, {_SHORT}, f AS (SELECT ID, SUBCLASS, gene, len, hit FROM wlong LEFT JOIN short USING (gene, mutation_str)) SELECT ID, SUBCLASS, {', '.join(f'max(CASE WHEN gene = {chr(39)}{g}{chr(39)} THEN {c} END) AS {g}_{c}' for g in D.WIDE_GENES for c in ('len', 'hit'))} FROM f GROUP BY ID, SUBCLASS")
+def saac_features(spark, sf):
+    """Unpivot, join, pivot, label."""
+    return X.saac_features(D.wide(spark, sf), _short(spark, sf), D.WIDE_GENES, ["len", "hit"])
+
+
+@query(f"{CELLS}, a AS (SELECT DISTINCT gene, mutation_str FROM cells WHERE {TRAIN}), b AS (SELECT DISTINCT gene, mutation_str FROM cells WHERE {TEST} AND mutation_str <> 'WT') SELECT gene, string_agg(mutation_str, ',' ORDER BY mutation_str) AS variants, count(*) AS n_variants FROM b ANTI JOIN a USING (gene, mutation_str) GROUP BY gene")
+def unseen_variants(spark, sf):
+    """J7."""
+    c = D.cells(spark, sf)
+    return C.unseen_variants(D.train(c), D.test(c)).withColumn("variants", joined(F.col("variants")))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'patched' END, o_orderstatus) AS o_orderstatus, coalesce(CASE WHEN o_orderkey % 7 = 0 THEN 0.0 END, o_totalprice) AS o_totalprice FROM orders")
+def patch_table(spark, sf):
+    """J8."""
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    fixes = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, "patched").alias("o_orderstatus"), F.when(F.col("o_orderkey") % 7 == 0, 0.0).alias("o_totalprice"))
+    return C.patch_table(o, fixes, "o_orderkey")
+
+
+@query(f"{CELLS}, info AS (SELECT gene, count(*) AS n_isoforms FROM iso GROUP BY gene) SELECT ID, gene, mutation_str, n_isoforms FROM cells JOIN info USING (gene)")
+def attach_gene_info(spark, sf):
+    """J9."""
+    info = D.isoforms(spark, sf).groupBy("gene").agg(F.count("*").alias("n_isoforms"))
+    return C.attach_gene_info(D.cells(spark, sf), info).select("ID", "gene", "mutation_str", "n_isoforms")
+
+
+MATCH_SQL = f"{PAIRS_SQL}, mutated AS (SELECT DISTINCT ID, gene, mutation_str FROM cells WHERE mutation_str <> 'WT'), matched AS (SELECT s.ID, enc.* FROM (SELECT DISTINCT ID, mutation_str FROM mutated) s JOIN enc USING (mutation_str) SEMI JOIN mutated g ON g.ID = s.ID AND g.gene = enc.gene)"
+
+
+@query(f"{MATCH_SQL} SELECT ID, gene, mutation_str FROM matched")
+def sample_match_cross(spark, sf):
+    """J10, cross."""
+    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf)).select("ID", "gene", "mutation_str")
+
+
+@query(f"{PAIRS_SQL} SELECT DISTINCT ID, gene, mutation_str, type FROM cells JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT'")
+def sample_match_pair(spark, sf):
+    """J10, pair."""
+    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf), "pair").select("ID", "gene", "mutation_str", "type")
+
+
+# --- samples ------------------------------------------------------------------------------------
+
+
+def map_text(c):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+
+
+@query(f"{TYPED}, m AS (SELECT ID, mutation_str, coalesce(type, 'Unknown') AS type FROM cells LEFT JOIN typed USING (gene, mutation_str) WHERE mutation_str <> 'WT'), a AS (SELECT ID, string_agg(mutation_str || '=' || n, ',' ORDER BY mutation_str) AS mutations FROM (SELECT ID, mutation_str, count(*) AS n FROM m GROUP BY ALL) GROUP BY ID), b AS (SELECT ID, string_agg(type || '=' || n, ',' ORDER BY type) AS types FROM (SELECT ID, type, count(*) AS n FROM m GROUP BY ALL) GROUP BY ID) SELECT ID, CAST(n AS INT) AS num_mutated_genes, mutations, types FROM (SELECT ID, count(*) AS n FROM m GROUP BY ID) JOIN a USING (ID) JOIN b USING (ID)")
+def sample_mutation_stats(spark, sf):
+    """A9."""
+    t = S.sample_mutation_stats(D.cells(spark, sf), D.encoding(spark, sf))
+    return t.select("ID", "num_mutated_genes", map_text(F.col("mutations")).alias("mutations"), map_text(F.col("mutation_type_freq")).alias("types"))
+
+
+@query(f"{MATCH_SQL} SELECT ID, {', '.join(f'round(avg({c}), 6) AS {c}' for c in S.AA_STATS)} FROM matched GROUP BY ID")
+def sample_aa_change_stats(spark, sf):
+    """A10."""
+    m = S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf))
+    return S.sample_aa_change_stats(m).select("ID", *rounded(S.AA_STATS))
+
+
+_VEC = "v AS (SELECT CAST(label AS VARCHAR) AS ID, vec_id, e[i] AS x, i FROM (SELECT label, vec_id, CAST(embedding AS FLOAT[]) AS e FROM embeddings), unnest(generate_series(1, 64)) AS u(i))"
+
+
+@query(f"WITH {_VEC} SELECT ID, round(sum(mean * i), 4) AS mean, round(sum(mx * i), 4) AS max, round(sum(mn * i), 4) AS min, round(sum(sd * i), 4) AS std FROM (SELECT ID, i, avg(CAST(x AS DOUBLE)) AS mean, max(CAST(x AS DOUBLE)) AS mx, min(CAST(x AS DOUBLE)) AS mn, stddev_samp(CAST(x AS DOUBLE)) AS sd FROM v GROUP BY ID, i) GROUP BY ID")
+def sample_embedding_stats(spark, sf):
+    """Labels as samples; weighted sums of the four vectors."""
+    e = D.table(spark, sf, "embeddings")
+    keyed = e.select(F.col("label").cast("string").alias("ID"), F.col("vec_id").cast("string").alias("gene"), F.lit("x").alias("mutation_str"), F.col("embedding").alias("diff"))
+    t = S.sample_embedding_stats(keyed.select("ID", "gene", "mutation_str"), keyed.select("gene", "mutation_str", "diff"))
+    total = lambda c: F.round(F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4)
+    return t.select("ID", *(total(F.col(c)).alias(c) for c in ("mean", "max", "min", "std")))
+
+
+@query(f"{MATCH_SQL} SELECT ID, round(avg(mut_num), 6) AS avg_mut_num, CAST(max(mut_num) AS INT) AS max_mut_num, round(avg(status), 6) AS status_ratio FROM matched GROUP BY ID")
+def sample_additional_stats(spark, sf):
+    """A12."""
+    m = S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf).withColumn("status_prot", F.lit(0)))
+    t = S.sample_additional_stats(m)
+    return t.select("ID", F.round("avg_mut_num", 6).alias("avg_mut_num"), "max_mut_num", F.round("status_ratio", 6).alias("status_ratio"))
+
+
+def _records(spark, sf):
+    return S.sample_records(D.cells(spark, sf), D.encoding(spark, sf).withColumn("status_prot", (F.col("type") == "Frameshift").cast("int")))
+
+
+@query()
+def sample_records(spark, sf):
+    """Nested records, as JSON text."""
+    return _records(spark, sf).select("ID", "SUBCLASS", F.to_json("mutation_stats").alias("mutation_stats"), F.to_json("aa_change_stats").alias("aa_change_stats"), F.to_json("additional_stats").alias("additional_stats"))
+
+
+@query()
+def record_vector(spark, sf):
+    """F11."""
+    return S.record_vector(_records(spark, sf), 8).select("ID", joined(F.transform("features", lambda x: F.round(x, 6))).alias("features"))
+
+
+_TOP = f"{PAIRS_SQL}, top AS (SELECT ID, gene, mutation_str, mut_num, row_number() OVER (PARTITION BY ID ORDER BY mut_num DESC NULLS LAST, gene, mutation_str) AS rn FROM cells LEFT JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT')"
+
+
+@query(f"{_TOP} SELECT ID, gene, mutation_str, CAST(mut_num AS BIGINT) AS mut_num, rn FROM top WHERE rn <= 4")
+def top_mutations_per_sample(spark, sf):
+    """The first 4 of each sample."""
+    t = C.top_mutations_per_sample(C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf)), 4)
+    return t.select("ID", "gene", "mutation_str", F.col("mut_num").cast("long").alias("mut_num"), F.col("rn").cast("long").alias("rn"))
+
+
+@query()
+def sample_tensor(spark, sf):
+    """The tensor of each sample, with normalized positions, as text."""
+    m = C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf))
+    genes = X.index_labels(D.isoforms(spark, sf).select("gene"), "gene").select("gene", (F.col("index") + 1).alias("gene_id"))
+    rows = S.normalize_positions(S.sample_rows(m, genes, 8))
+    t = S.sample_tensor(rows, D.cells(spark, sf), 8)
+    return t.select("ID", joined(F.transform(F.flatten("tensor"), lambda x: F.round(x, 6))).alias("tensor"))
+
+
+# --- statistics ---------------------------------------------------------------------------------
+
+
+@query(f"{CELLS} SELECT SUBCLASS, count(DISTINCT ID) AS n, round(count(DISTINCT ID) / (SELECT count(DISTINCT ID) FROM cells), 6) AS share FROM cells GROUP BY SUBCLASS")
+def label_distribution(spark, sf):
+    """A1."""
+    return A.label_distribution(D.cells(spark, sf)).withColumn("share", F.round("share", 6))
+
+
+@query(f"{CELLS} SELECT SUBCLASS, gene, count(*) FILTER (mutation_str <> 'WT') AS n FROM cells GROUP BY ALL")
+def label_mutation_counts(spark, sf):
+    """A3."""
+    return A.label_mutation_counts(D.cells(spark, sf))
+
+
+_FREQ = "SELECT gene, count(*) FILTER (mutation_str <> 'WT') / count(*) AS f FROM cells WHERE {} GROUP BY gene"
+
+
+@query(f"{CELLS}, a AS ({_FREQ.format(TRAIN)}), b AS ({_FREQ.format(TEST)}) SELECT gene, round(a.f, 6) AS freq_train, round(b.f, 6) AS freq_test, round(abs(a.f - b.f), 6) AS shift FROM a FULL JOIN b USING (gene)")
+def frequency_shift(spark, sf):
+    """A4."""
+    c = D.cells(spark, sf)
+    return A.frequency_shift(D.train(c), D.test(c)).select("gene", *rounded(["freq_train", "freq_test", "shift"]))
+
+
+@query(f"""{WIDE}, c AS (SELECT gene, SUBCLASS, count(*) AS r, count(*) FILTER (mutation_str <> 'WT') AS m FROM wlong GROUP BY ALL), t AS (SELECT *, sum(r) OVER w AS nn, sum(m) OVER w AS mm, count(*) OVER w AS l FROM c WINDOW w AS (PARTITION BY gene)),
+e AS (SELECT gene, nn, l, m AS o, r * mm / nn AS e FROM t UNION ALL SELECT gene, nn, l, r - m, r * (nn - mm) / nn FROM t), d AS (SELECT *, CASE WHEN l = 2 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END AS off FROM e)
+SELECT gene, CASE WHEN min(e) > 0 AND max(l) > 1 THEN round(sqrt(sum(off * off / e) / (max(nn) * (least(max(l), 2) - 1))), 6) END AS v FROM d GROUP BY gene""")
+def cramers_v(spark, sf):
+    """A5."""
+    return A.cramers_v(C.unpivot_cohort(D.wide(spark, sf))).withColumn("v", F.round("v", 6))
+
+
+@query(f"{CELLS} SELECT gene FROM cells WHERE gene IN (SELECT gene FROM cells) GROUP BY gene HAVING bool_and(mutation_str IN ('', 'WT'))")
+def all_wt_genes(spark, sf):
+    """A6."""
+    c = D.cells(spark, sf)
+    return A.all_wt_genes(D.train(c), D.test(c))
+
+
+@query(f"{CELLS}, p AS (SELECT gene, SUBCLASS, TRY_CAST(nullif(regexp_replace(unnest(string_split(mutation_str, ' ')), '[^0-9]', '', 'g'), '') AS BIGINT) AS position FROM cells) SELECT gene, CASE WHEN grouping(SUBCLASS) = 1 THEN 'Overall' ELSE SUBCLASS END AS subclass, position, count(*) AS n FROM p WHERE position IS NOT NULL GROUP BY GROUPING SETS ((gene, position), (gene, SUBCLASS, position))")
+def hotspots(spark, sf):
+    """A7."""
+    return A.hotspots(D.cells(spark, sf))
+
+
+@query(f"{CELLS} SELECT SUBCLASS, gene, count(*) FILTER (mutation_str <> '') AS n FROM cells GROUP BY ALL")
+def nonempty_counts(spark, sf):
+    """A8."""
+    return A.nonempty_counts(D.cells(spark, sf))
+
+
+def _edges(spark, sf):
+    n = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    kind = F.when(F.col("l_returnflag") == "R", "Protein Complex").otherwise("binding")
+    return D.table(spark, sf, "lineitem").select(n("l_suppkey").alias("gene"), n("l_suppkey").alias("partner_a"), F.concat(F.lit("S"), (F.col("l_partkey") % 50).cast("string")).alias("partner_b"), F.col("l_extendedprice").alias("score"), kind.alias("interaction_type"), (F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10).alias("ord"))
+
+
+_EDGES = "edges AS (SELECT 'S' || l_suppkey AS gene, 'S' || (l_partkey % 50) AS partner, l_extendedprice AS score, l_returnflag = 'R' AS cx, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS ord FROM lineitem)"
+
+
+@query(f"WITH {_EDGES} SELECT gene, count(*) AS n_edges, round(max(score), 6) AS top_score, count(DISTINCT partner) FILTER (partner <> gene) AS n_partners, bool_or(cx) AS in_complex FROM edges GROUP BY gene")
+def interaction_summary(spark, sf):
+    """A14."""
+    e = _edges(spark, sf)
+    return A.interaction_summary(e, e.select("gene")).select("gene", "n_edges", F.round("top_score", 6).alias("top_score"), "n_partners", "in_complex")
+
+
+@query("SELECT 'C' || c_nationkey AS gene, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (c_acctbal > 0), 'Unknown') AS process, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (c_acctbal < -900), 'Unknown') AS component FROM customer GROUP BY c_nationkey")
+def annotation_summary(spark, sf):
+    """A15."""
+    c = D.table(spark, sf, "customer").select(F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("gene"), F.col("c_mktsegment").alias("label"), F.when(F.col("c_acctbal") > 0, "process").when(F.col("c_acctbal") < -900, "component").alias("category"))
+    t = A.annotation_summary(c, c, ["process", "component"])
+    return t.select("gene", joined(F.col("process")).alias("process"), joined(F.col("component")).alias("component"))
+
+
+@query("SELECT 'S' || l_suppkey AS gene, count(*) AS n_variants, bool_or(l_returnflag = 'R' AND l_linestatus = 'F') AS has_pathogenic FROM lineitem GROUP BY l_suppkey")
+def variant_summary(spark, sf):
+    """A15."""
+    s = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "Likely Pathogenic").otherwise("benign")
+    return A.variant_summary(D.table(spark, sf, "lineitem").select(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("gene"), s.alias("significance")))
+
+
+_HSP = "hsps AS (SELECT 'G' || (l_suppkey % 50) AS gene, 'H' || (l_partkey % 500) AS hit_id, l_quantity AS align_length, l_quantity * (1 - l_discount) AS identities, 60.0 AS query_len, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS ord FROM lineitem)"
+
+
+@query(f"WITH {_HSP} SELECT gene, hit_id, round(identities / align_length * 100, 6) AS identity, round(align_length / query_len * 100, 6) AS coverage, ord FROM hsps WHERE identities / align_length * 100 >= 94.5 AND align_length / query_len * 100 >= 49.5 QUALIFY row_number() OVER (PARTITION BY gene, hit_id ORDER BY ord DESC) = 1")
+def filter_hits(spark, sf):
+    """A16."""
+    n = lambda p, c, k: F.concat(F.lit(p), (F.col(c) % k).cast("string"))
+    h = D.table(spark, sf, "lineitem").select(n("G", "l_suppkey", 50).alias("gene"), n("H", "l_partkey", 500).alias("hit_id"), F.col("l_quantity").alias("align_length"), (F.col("l_quantity") * (1 - F.col("l_discount"))).alias("identities"), F.lit(60.0).alias("query_len"), (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("ord"))
+    return A.filter_hits(h, 94.5, 49.5).select("gene", "hit_id", F.round("identity", 6).alias("identity"), F.round("coverage", 6).alias("coverage"), "ord")
+
+
+@query("WITH o AS (SELECT o_orderkey, o_orderpriority AS a, o_orderstatus AS b, CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_custkey % 7 AS VARCHAR) END AS c FROM orders), f AS (SELECT o_orderkey, " + ", ".join(f"(SELECT coalesce(max(k), -1) FROM (SELECT {c} AS v, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS k FROM o WHERE {c} IS NOT NULL GROUP BY {c}) x WHERE x.v = o.{c}) AS {c}" for c in "abc") + " FROM o) SELECT * FROM (SELECT 'a' AS a, 'b' AS b, round(corr(a, b), 6) AS r FROM f UNION ALL SELECT 'a', 'c', round(corr(a, c), 6) FROM f UNION ALL SELECT 'b', 'c', round(corr(b, c), 6) FROM f)")
+def feature_correlation(spark, sf):
+    """A17."""
+    o = D.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("a"), F.col("o_orderstatus").alias("b"), F.when(F.col("o_orderkey") % 11 > 0, (F.col("o_custkey") % 7).cast("string")).alias("c"))
+    return A.feature_correlation(A.factorize(o, ["a", "b", "c"], "o_orderkey"), ["a", "b", "c"]).withColumn("r", F.round("r", 6))
+
+
+@query(f"{CELLS}, c AS (SELECT SUBCLASS, gene, count(*) FILTER (mutation_str <> 'WT') AS n FROM cells GROUP BY ALL), t AS (SELECT *, round_even(max(n) OVER (PARTITION BY SUBCLASS) * CAST(0.6 AS DOUBLE), 0) AS threshold FROM c) SELECT SUBCLASS, gene, n, threshold FROM t WHERE n > threshold")
+def high_frequency_genes(spark, sf):
+    """W2."""
+    return C.high_frequency_genes(A.label_mutation_counts(D.cells(spark, sf)), 0.6).select("SUBCLASS", "gene", "n", "threshold")
+
+
+@query(f"{ISO} SELECT isoform_id, len(wt_seq) AS n FROM iso ORDER BY len(wt_seq) DESC, isoform_ord LIMIT 1")
+def max_row(spark, sf):
+    """The longest isoform."""
+    t = D.isoforms(spark, sf).withColumn("n", F.length("wt_seq").cast("long"))
+    return C.max_row(t, "n", ["isoform_ord"]).select("isoform_id", "n")
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) = 1")
+def dedupe_keep_first(spark, sf):
+    """W5."""
+    c = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return C.dedupe_keep_first(D.table(spark, sf, "lineitem").select("l_orderkey", *c), ["l_orderkey"], c)
+
+
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC) = 1")
+def dedupe_keep_last(spark, sf):
+    """W5."""
+    c = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return C.dedupe_keep_last(D.table(spark, sf, "lineitem").select("l_orderkey", *c), ["l_orderkey"], c)
+
+
+@query(f"{CHOSEN_SQL} SELECT gene, mutation_str, isoform_id, md5(CASE WHEN mutation_str = 'WT' THEN wt_seq ELSE mut_seq END) AS seq FROM mutseqs")
+def full_sequence_table(spark, sf):
+    """Two halves of the table that overlap."""
+    s = D.sequences(spark, sf)
+    a, b = s.where(F.length("mutation_str") <= 5), s.where(F.length("mutation_str") >= 4)
+    return C.full_sequence_table(a, b).select("gene", "mutation_str", "isoform_id", F.md5("seq").alias("seq"))
+
+
+@query(f"{CELLS} SELECT gene, mutation_str FROM cells WHERE {TEST} EXCEPT SELECT gene, mutation_str FROM cells WHERE {TRAIN}")
+def variant_difference(spark, sf):
+    """U2."""
+    c = D.cells(spark, sf)
+    return C.variant_difference(D.test(c), D.train(c))
+
+
+@query(f"{CELLS} SELECT gene FROM cells UNION SELECT gene FROM iso")
+def union_distinct(spark, sf):
+    """U3."""
+    return C.union_distinct(D.cells(spark, sf).select("gene"), D.isoforms(spark, sf).select("gene"))
+
+
+# --- embeddings ---------------------------------------------------------------------------------
+
+
+@query(f"{FULL_SQL} SELECT gene, mutation_str, isoform_id, isoform_id || '_' || mutation_str AS key, md5(mut_seq) AS mut FROM fulltab WHERE type NOT IN ('WT', 'Silent_Missense', 'Silent_Nonsense') AND status_prot = 0 QUALIFY row_number() OVER (PARTITION BY isoform_id, mutation_str ORDER BY gene) = 1")
+def embedding_candidates(spark, sf):
+    """P7, P8."""
+    _, mut = E.embedding_candidates(D.full(spark, sf))
+    return mut.select("gene", "mutation_str", "isoform_id", E.embedding_key(mutation="mutation_str").alias("key"), F.md5("mut_seq").alias("mut"))
+
+
+@query("SELECT doc_id AS key FROM documents ANTI JOIN labels USING (doc_id)")
+def new_keys_only(spark, sf):
+    """J5."""
+    return E.new_keys_only(D.table(spark, sf, "documents").select(F.col("doc_id").alias("key")), D.table(spark, sf, "labels").select(F.col("doc_id").alias("key")))
+
+
+def _composition_encoder():
+    """A stand-in encoder: the letter frequencies of each sequence."""
+    return lambda seqs: [[s.count(c) / max(len(s), 1) for c in P.STANDARD] for s in seqs]
+
+
+@query(f"{ISO} SELECT isoform_id AS key, round(sum(CAST((len(wt_seq) - len(replace(wt_seq, c, ''))) / greatest(len(wt_seq), 1) AS FLOAT) * i), 3) AS total FROM iso, unnest(string_split('{P.STANDARD}', ''), generate_series(1, 20)) AS u(c, i) GROUP BY isoform_id".replace("unnest(string_split", "(SELECT unnest(string_split").replace("''), generate_series(1, 20)) AS u(c, i)", "'')) AS c, unnest(generate_series(1, 20)) AS i) u"))
+def embed_sequences(spark, sf):
+    """Q9 with letter frequencies as the encoder."""
+    e = E.embed_sequences(D.isoforms(spark, sf), _composition_encoder, "isoform_id", "wt_seq")
+    total = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("key", F.round(total, 3).alias("total"))
+
+
+@query("WITH v AS (SELECT vec_id, i, (i - 1) // 16 AS t, (i - 1) % 16 AS h, CAST(e[i] AS DOUBLE) AS x FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS e FROM embeddings), unnest(generate_series(1, 64)) AS u(i)), p AS (SELECT vec_id, h, avg(x) FILTER (t < 3) AS mean, max(x) FILTER (t < 3) AS mx, max(x) FILTER (t = 0) AS c FROM v GROUP BY ALL) SELECT vec_id, round(sum(mean * (h + 1)), 3) AS mean, round(sum(mx * (h + 1)), 3) AS max, round(sum(c * (h + 1)), 3) AS cls FROM p GROUP BY vec_id")
+def pool_token_embeddings(spark, sf):
+    """Q10: four tokens of 16 values, the last one masked."""
+    tokens = F.array(*(F.slice("embedding", 16 * k + 1, 16) for k in range(4)))
+    p = D.table(spark, sf, "embeddings").select("vec_id", E.pool_token_embeddings(tokens, F.array(*map(F.lit, (1, 1, 1, 0)))).alias("v"))
+    part = lambda k: F.round(F.aggregate(F.transform(F.slice("v", 16 * k + 1, 16), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    return p.select("vec_id", part(0).alias("mean"), part(1).alias("max"), part(2).alias("cls"))
+
+
+@query("WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS isoform_id, vec_id, CASE WHEN vec_id % 3 = 0 THEN 'lost' ELSE 'm' END AS mutation_str FROM embeddings) SELECT isoform_id, mutation_str, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS wt, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[2] AS DOUBLE), 6) END AS mut FROM p JOIN embeddings USING (vec_id)")
+def lookup_embeddings(spark, sf):
+    """A third of the mutants is missing."""
+    e = D.table(spark, sf, "embeddings").withColumn("id", F.col("vec_id").cast("string"))
+    store = e.select(F.col("id").alias("key"), "embedding").union(e.select(F.concat("id", F.lit("_m")), F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1))))
+    pairs = e.select(F.col("id").alias("isoform_id"), F.when(F.col("vec_id") % 3 == 0, "lost").otherwise("m").alias("mutation_str"))
+    t = E.lookup_embeddings(pairs, store, 64)
+    return t.select("isoform_id", "mutation_str", F.round(F.get("wt_vec", 0).cast("double"), 6).alias("wt"), F.round(F.get("mut_vec", 0).cast("double"), 6).alias("mut"))
+
+
+# --- features -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderpriority AS label, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS sorted_index, row_number() OVER (ORDER BY f) - 1 AS first_index FROM (SELECT o_orderpriority, min(o_orderkey) AS f FROM orders GROUP BY 1)")
+def index_labels(spark, sf):
+    """F2."""
+    o = D.table(spark, sf, "orders")
+    a, b = X.index_labels(o, "o_orderpriority"), X.index_labels(o, "o_orderpriority", "o_orderkey")
+    return a.join(b.withColumnRenamed("index", "f"), "o_orderpriority").select(F.col("o_orderpriority").alias("label"), F.col("index").cast("long").alias("sorted_index"), F.col("f").cast("long").alias("first_index"))
+
+
+_LIST = lambda names: "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+@query(f"{TYPED} SELECT gene, mutation_str, list_position({_LIST(M.TYPES)}, type) - 1 AS code, coalesce(list_position({_LIST(M.SHORT_TYPES)}, type), 0) AS short_code FROM typed")
+def index_types(spark, sf):
+    """F3."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).withColumn("type", M.classify_mutations(F.col("mutation_str")))
+    return t.select("gene", "mutation_str", X.type_index(F.col("type")).alias("code"), X.type_index(F.col("type"), True).alias("short_code"))
+
+
+@query(f"{WIDE} SELECT ID, gene, mutation_str, dense_rank() OVER (PARTITION BY gene ORDER BY mutation_str) - 1 AS code FROM wlong")
+def label_encode_cells(spark, sf):
+    """F5."""
+    return X.label_encode_cells(C.unpivot_cohort(D.wide(spark, sf))).select("ID", "gene", "mutation_str", F.col("code").cast("long").alias("code"))
+
+
+@query("SELECT vec_id, array_to_string([CAST(x = label AS INT) FOR x IN generate_series(0, 9)], ',') AS hot FROM embeddings")
+def one_hot(spark, sf):
+    """F6."""
+    return D.table(spark, sf, "embeddings").select("vec_id", joined(X.one_hot(F.col("label"), 10)).alias("hot"))
+
+
+def _halves(spark, sf):
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.lit(1.0).alias("same"))
+    return o.where(F.col("o_orderkey") % 5 < 4), o.where(F.col("o_orderkey") % 5 == 4)
+
+
+@query("WITH s AS (SELECT min(o_custkey) a, max(o_custkey) b, min(o_totalprice) c, max(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, round((o_custkey - a) / (b - a), 6) AS o_custkey, round((o_totalprice - c) / (d - c), 6) AS o_totalprice, CAST(NULL AS DOUBLE) AS same FROM orders, s WHERE o_orderkey % 5 = 4")
+def min_max_scale(spark, sf):
+    """F9."""
+    _, t = X.min_max_scale(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"])
+    return t.select("o_orderkey", *rounded(["o_custkey", "o_totalprice", "same"]))
+
+
+@query("WITH s AS (SELECT avg(o_custkey) a, stddev_samp(o_custkey) b, avg(o_totalprice) c, stddev_samp(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, round((o_custkey - a) / b, 6) AS o_custkey, round((o_totalprice - c) / d, 6) AS o_totalprice, 0.0 AS same FROM orders, s WHERE o_orderkey % 5 = 4")
+def standardize(spark, sf):
+    """F10."""
+    _, t = X.standardize(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"])
+    return t.select("o_orderkey", *rounded(["o_custkey", "o_totalprice", "same"]))
+
+
+@query(f"{CELLS}, s AS (SELECT DISTINCT ID, SUBCLASS FROM cells) SELECT ID, SUBCLASS, percent_rank() OVER (PARTITION BY SUBCLASS ORDER BY sha256(ID), ID) < 0.2 AS is_val FROM s")
+def train_val_split(spark, sf):
+    """F12."""
+    return X.train_val_split(D.cells(spark, sf).select("ID", "SUBCLASS").distinct())
+
+
+@query()
+def pca_variance(spark, sf):
+    """how many components hold 95 % of the variance of the embeddings, and the Kaiser count."""
+    e = D.table(spark, sf, "embeddings").select("vec_id", *(F.get("embedding", k).cast("double").alias(f"x{k}") for k in range(64)))
+    a, b = e.where("vec_id % 5 < 4"), e.where("vec_id % 5 = 4")
+    _, out, kaiser = X.pca_variance(a, b, [f"x{k}" for k in range(64)])
+    return out.select("vec_id", F.size("pca").alias("components"), F.lit(kaiser).alias("kaiser"))
+
+
+@query()
+def rf_importance(spark, sf):
+    """F14."""
+    t = C.binarize(D.wide(spark, sf), D.WIDE_GENES)
+    labels = X.index_labels(t, "SUBCLASS")
+    return X.rf_importance(t.join(F.broadcast(labels), "SUBCLASS"), D.WIDE_GENES, "index").select("feature", F.round("importance", 6).alias("importance"), "rank")
+
+
+def _predictions(spark, sf):
+    return D.table(spark, sf, "embeddings").select(F.col("vec_id").alias("ID"), F.col("label"), F.when(F.col("vec_id") % 4 == 0, (F.col("label") + F.col("vec_id")) % 10).otherwise(F.col("label")).cast("int").alias("prediction"))
+
+
+_PRED = "p AS (SELECT vec_id AS ID, label, CAST(CASE WHEN vec_id % 4 = 0 THEN (label + vec_id) % 10 ELSE label END AS INT) AS prediction FROM embeddings)"
+
+
+@query(f"WITH {_PRED} SELECT label, prediction, count(*) AS n FROM p GROUP BY ALL")
+def confusion_matrix(spark, sf):
+    """F15."""
+    return X.confusion_matrix(_predictions(spark, sf))
+
+
+@query(f"WITH {_PRED}, c AS (SELECT class, count(*) FILTER (label = class) AS s, count(*) FILTER (prediction = class) AS q, count(*) FILTER (label = class AND prediction = class) AS h FROM p, (SELECT DISTINCT label AS class FROM p UNION SELECT DISTINCT prediction FROM p) GROUP BY class) SELECT class, round(CASE WHEN q > 0 THEN h / q ELSE 0 END, 6) AS precision, round(CASE WHEN s > 0 THEN h / s ELSE 0 END, 6) AS recall, round(2 * h / (q + s), 6) AS f1, s AS support, round(sum(h) OVER () / sum(s) OVER (), 6) AS accuracy, round(avg(2 * h / (q + s)) OVER (), 6) AS macro_f1 FROM c")
+def classification_report(spark, sf):
+    """F15."""
+    return X.classification_report(_predictions(spark, sf)).select("class", *rounded(["precision", "recall", "f1"]), "support", *rounded(["accuracy", "macro_f1"]))
+
+
+_SCORES = "s AS (SELECT event_type AS class, value AS score, CAST(user_id % 3 = 0 AS INT) AS positive FROM events)"
+
+
+def _roc_sql(by: str) -> str:
+    return f"""WITH {_SCORES}, g AS (SELECT {by} AS class, score, sum(positive) AS p, count(*) AS n FROM s GROUP BY ALL), t AS (SELECT *, sum(p) OVER d AS tp, sum(n) OVER d AS k, sum(p) OVER w AS pp, sum(n - p) OVER w AS nn FROM g WINDOW d AS (PARTITION BY class ORDER BY score DESC), w AS (PARTITION BY class))
+SELECT class, round(sum((n - p) * (tp - p / 2)) / (max(pp) * max(nn)), 6) AS roc_auc, round(sum(p * tp / k) / max(pp), 6) AS average_precision FROM t GROUP BY class"""
+
+
+def _scores(spark, sf):
+    return D.table(spark, sf, "events").select(F.col("event_type").alias("class"), F.col("value").alias("score"), (F.col("user_id") % 3 == 0).cast("int").alias("positive"))
+
+
+@query(_roc_sql("class"))
+def roc_pr_by_class(spark, sf):
+    """F16."""
+    return X.roc_pr_by_class(_scores(spark, sf)).select("class", *rounded(["roc_auc", "average_precision"]))
+
+
+@query(_roc_sql("'micro'"))
+def roc_pr_micro(spark, sf):
+    """F16."""
+    return X.roc_pr_micro(_scores(spark, sf)).select("class", *rounded(["roc_auc", "average_precision"]))
+
+
+@query(f"WITH {_PRED} SELECT ID, 'L' || prediction AS label FROM p")
+def decode_predictions(spark, sf):
+    """F17."""
+    p = _predictions(spark, sf)
+    vocabulary = X.index_labels(p.select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("name")), "name")
+    return X.decode_predictions(p, vocabulary)
+
+
+# --- sources ------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, doc_id || ',' || (doc_id + 1) AS numbers, 'x' || (doc_id % 9) || ',fs' AS names FROM documents")
+def parse_literal_arrays(spark, sf):
+    """Lists as Python prints them."""
+    i = F.col("doc_id")
+    t = D.table(spark, sf, "documents").select("doc_id", F.concat(F.lit("["), i.cast("string"), F.lit(", "), (i + 1).cast("string"), F.lit("]")).alias("numbers"), F.concat(F.lit("['x"), (i % 9).cast("string"), F.lit("', 'fs']")).alias("names"))
+    return IO.parse_literal_arrays(t, {"numbers": "bigint", "names": "string"}).select("doc_id", joined(F.col("numbers")).alias("numbers"), joined(F.col("names")).alias("names"))
+
+
+@query("SELECT 'uniprot' AS db, 'G' || doc_id AS gene, 'P' || doc_id AS isoform_id, 0 AS isoform_ord, lang AS wt_seq FROM documents UNION ALL SELECT 'uniprot', 'G' || doc_id, 'Q' || doc_id, 1, NULL FROM documents")
+def parse_isoforms(spark, sf):
+    """Dict literals with a missing sequence."""
+    i = F.col("doc_id").cast("string")
+    raw = D.table(spark, sf, "documents").select(F.concat(F.lit("G"), i).alias("gene"), F.concat(F.lit("{'P"), i, F.lit("': '"), F.col("lang"), F.lit("', 'Q"), i, F.lit("': None}")).alias("sequence"))
+    return IO.parse_isoforms(raw, "uniprot")
+
+
+@query(f"{ISO} SELECT gene, md5('>' || isoform_id || ' ' || db || chr(10) || wt_seq) AS record FROM iso")
+def fasta_records(spark, sf):
+    """The records that are written."""
+    return D.isoforms(spark, sf).select("gene", F.md5(IO.fasta_text(F.col("isoform_id"), F.col("db"), F.col("wt_seq"))).alias("record"))
