@@ -1,0 +1,374 @@
+"""Each operator against a plain version, on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from cohortlake.llm import decontaminate, mixing, neardup, quality, secrets, sharding, substrings, token_counts, token_files, url_filter
+from cohortlake.llm.queries import tokenizer_file
+
+from . import brute
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, size string, n_words string, kept string, n_tokens string, rate string, contaminated string"
+
+
+def _texts():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdeE") for _ in range(r.randint(1, 4)))
+    base = [word() for _ in range(120)]
+    out = [None, "", " \n\t ", "one", "One two", "a b c", "a b c", " ".join(base), "\x0b".join(base)]
+    for k in range(12):  # near copies, more and more apart
+        w = list(base)
+        for _ in range(k):
+            w[r.randrange(len(w))] = word()
+        out.append(" ".join(w))
+    out += [" ".join(base[:60]), " ".join([*base[30:], *base]), "x " * 20_000, "é" * 3000, "Ünï cödé ſ ß 漢字 \u0301x \u2003y", "don't <|endoftext|> STOP's 12ab3.4\x00z"]
+    out += [" ".join(word() for _ in range(200)) for _ in range(6)]
+    return out
+
+
+TEXTS = _texts()
+
+
+@pytest.fixture(scope="session")
+def rows():
+    ids = [*range(10, 10 + len(TEXTS))]
+    made = [(i, t, "en" if i % 2 else None, None if i % 5 == 0 else f"s{i % 3}", 0, "x", "x", "x", "x", "x", "x", "x") for i, t in zip(ids, TEXTS, strict=True)]
+    return [*made, made[7], (None, TEXTS[7], "en", "s0", *made[0][4:]), (11, "another text with an id that repeats", "en", "s0", *made[0][4:])]
+
+
+@pytest.fixture(scope="session")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def order(r):
+    return (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+
+
+# --- 1 ------------------------------------------------------------------------------------------
+
+
+def test_sharding(docs, empty, rows):
+    a = sharding.shard(docs, 4, ["doc_id", "text"]).collect()
+    b = sharding.shard(docs, 4, ["doc_id", "text"]).collect()
+    assert len(a) == len(rows)
+    assert sorted(map(str, a)) == sorted(map(str, b))
+    for s in range(4):
+        assert sorted(r.slot for r in a if r.shard == s) == list(range(len([r for r in a if r.shard == s])))
+    assert {len([r for r in a if r.shard == s]) for s in range(4)} <= {len(rows) // 4, len(rows) // 4 + 1}
+    assert sharding.shard(empty, 4, ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000])
+def test_permutation(spark, n):
+    from pyspark.sql import functions as F
+
+    got = [r[0] for r in spark.range(n).select(sharding.permuted(F.col("id"), n, 3)).collect()]
+    assert sorted(got) == list(range(n))
+    assert n < 10 or got != list(range(n))
+
+
+# --- 2 ------------------------------------------------------------------------------------------
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300), st.sampled_from(["byte", "bit"]))
+def test_planes(ids, kind):
+    x = np.array(ids, np.uint32)
+    assert (token_files.from_planes(token_files.to_planes(x, kind, 4), kind, len(x)) == x).all()
+
+
+def test_file_spans(tmp_path):
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.LocalFileSystem(), str(tmp_path / "x.ids")
+    ids = np.random.default_rng(1).integers(0, 49_408, 3 * token_files.BLOCK_IDS + 77).astype(np.uint32)
+    w = token_files.PlaneWriter(fs, path)
+    for part in np.array_split(ids, 5):
+        w.write(part, pa.RecordBatch.from_arrays([pa.array([1]), pa.array([len(part)])], names=["doc_id", "n_tokens"]))
+    w.close()
+    r = token_files.PlaneReader(fs, path)
+    for a, z in ((0, len(ids)), (5, 5), (65_530, 65_540), (100_000, 196_680)):
+        assert (r.ids(a, z) == ids[a:z]).all()
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_token_files(spark, docs, empty, rows, kind):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = token_files.read_documents(token_files.write_ids(docs, path, kind=kind), docs.schema["doc_id"].dataType, 3).orderBy("start").collect()
+    at = 0
+    for r, g in zip(sorted(rows, key=order), got, strict=True):
+        ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        assert tuple(g) == (r[0], at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    assert token_files.read_documents(token_files.write_ids(empty, path), docs.schema["doc_id"].dataType, 2).count() == 0
+
+
+# --- 3 ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("k,num", [(3, 85), (5, 80)])
+def test_near_duplicates(docs, empty, rows, k, num):
+    got = sorted(tuple(r) for r in neardup.near_duplicates(docs, k, num).select("doc_id", "n_shingles", "component_id", "kept").fillna(-1, ["doc_id", "component_id"]).collect())
+    label, sizes = brute.components([r[1] for r in rows], k, num, 100)
+    want = []
+    for i, r in enumerate(rows):
+        mine = [rows[j][0] for j in range(len(rows)) if label[j] == label[i] and rows[j][0] is not None]
+        c = min(mine, default=None)
+        want.append((-1 if r[0] is None else r[0], sizes[i], -1 if c is None else c, r[0] == c))
+    assert got == sorted(want)
+    assert neardup.near_duplicates(empty, k, num).count() == 0
+
+
+def test_short_sketches(docs, rows):
+    """Sets larger than the sketch go by estimate and are then verified on whole sets."""
+    a = sorted(map(tuple, neardup.near_duplicates(docs, 3, 85, k=48).fillna(-1).collect()))
+    b = sorted(map(tuple, neardup.near_duplicates(docs, 3, 85).fillna(-1).collect()))
+    assert a == b
+
+
+def test_keep_first(docs, rows):
+    kept = neardup.keep_first(docs, 3, 85)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids))
+    assert 17 in ids and 18 not in ids
+
+
+def test_large_group_of_near_copies(spark):
+    """A chain of edits: neighbours are alike, the ends are not; and many copies with edits of their own."""
+    r = random.Random(3)
+    w = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(150):
+        w[k] = f"n{k}"
+        texts.append(" ".join(w))
+    base = [f"v{k}" for k in range(140)]
+    for _ in range(150):
+        v = list(base)
+        for _ in range(r.randrange(9)):
+            v[r.randrange(len(v))] = f"u{r.randrange(10**6)}"
+        texts.append(" ".join(v))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85)
+    label, _ = brute.components(texts, 3, 85, 100)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(label))
+
+
+# --- 4 ------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("window,chunk", [(3, 1 << 23), (20, 2000)])
+def test_substrings(docs, empty, rows, window, chunk, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+    out = substrings.remove_repeats(docs, window)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""), r.n_words, r.n_removed, r.kept_text, sum(x.n_words for x in r.removed)) for r in out.collect())
+    ordered = sorted(rows, key=order)
+    want = sorted((order(r), n, n - len(kept), " ".join(kept), n - len(kept)) for r, (kept, n) in zip(ordered, brute.kept_words(ordered, window), strict=True))
+    assert [(g[0][:3], *g[1:]) for g in got] == [(w[0][:3], *w[1:]) for w in want]
+    assert substrings.remove_repeats(empty, window).count() == 0
+
+
+# --- 5 ------------------------------------------------------------------------------------------
+
+
+def test_token_counts(docs, empty):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    t = Tokenizer(models.Unigram(token_counts.vocabulary_of(path), 0, True))
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    for r in token_counts.count_tokens(docs, path).collect():
+        assert r.n_tokens == len(t.encode(r.text or "", add_special_tokens=False).ids), repr(r.text)[:80]
+    assert token_counts.count_tokens(empty, path).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=14))
+def test_viterbi_ties(word):
+    from tokenizers import Tokenizer, models
+
+    vocabulary = [("<unk>", 0.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("aba", -6.0), ("ba", -4.0), ("bab", -5.0), ("aa", -3.0)]
+    want = len(Tokenizer(models.Unigram(vocabulary, 0, False)).encode(word).ids) if "c" not in word else None
+    n, _ = token_counts.CountingViterbi(vocabulary)(word)
+    assert want is None or n == want
+
+
+# --- 6 ------------------------------------------------------------------------------------------
+
+
+def test_quality_statistics(docs, empty, rows):
+    got = sorted(((r.doc_id is not None, r.doc_id or 0), tuple(int(r[c]) for c in quality.STATISTICS), r.base_failed, r.kept) for r in quality.judge(docs).collect())
+    want = []
+    for r in rows:
+        s = brute.statistics(r[1])
+        want.append(((r[0] is not None, r[0] or 0), s, s[0] < 50 or 100 * s[4] > 50 * s[0]))
+    assert [g[:3] for g in got] == sorted(want)
+    assert not any(g[2] and g[3] for g in got)
+    assert quality.judge(empty).count() == 0
+
+
+def test_quality_outliers(spark):
+    """Clean documents stay and odd ones go, also in a small source and with a tenth of rubbish."""
+    r = random.Random(1)
+    clean = lambda: " ".join("".join(r.choice("etaoinshr") for _ in range(r.choice([2, 3, 4, 5, 6, 7, 8]))) for _ in range(r.randint(60, 200)))
+    odd = lambda: " ".join(w + r.choice(["###", "&&&", "%%%"]) for w in clean().split())
+    rows = [(i, odd() if i % 10 == 0 else clean(), "en", "big" if i % 4 else f"s{i % 8}") for i in range(1200)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r.doc_id for r in got if not r.kept} == {i for i, *_ in rows if i % 10 == 0}
+
+
+def test_quality_salted(docs, monkeypatch):
+    a = sorted(map(str, quality.judge(docs).collect()))
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    assert sorted(map(str, quality.judge(docs).collect())) == a
+
+
+# --- 7 ------------------------------------------------------------------------------------------
+
+
+def test_secrets(spark, docs, empty):
+    r = random.Random(2)
+    hexes = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
+    rows, secret = [], set()
+    for i in range(300):
+        kind = i % 3
+        if kind == 0:
+            secret.add(i)
+        s = hexes()
+        rows.append((i, [f'the api_key = "{s}" here', f"order number {r.randrange(10**15, 10**16)} sent", f"see release-notes-version-{i} for more"][kind], "src"))
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {x.doc_id for x in got} == set(range(300))
+    assert {x.doc_id for x in got if x.secret} == secret
+    assert secrets.scan(empty).count() == 0
+    assert secrets.scan(docs).where("secret").count() == 0
+
+
+def test_forest_held_out(spark):
+    """Held-out accuracy on labelled findings of two kinds."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    token = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n)) + "7"
+    rows = [(i, f"value {token('abcdefGHIJKL0123456789', 32) if i % 2 else 'configuration-of-the-server-' + str(i)} end", "s") for i in range(400)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    words = spark.createDataFrame([("configuration",), ("server",), ("the",)], "piece string")
+    t = secrets.features(found, words).withColumn("label", (F.col("doc_id") % 2).cast("double")).cache()
+    model = secrets.train(t.where("doc_id < 200"))
+    from pyspark.ml.feature import VectorAssembler
+
+    out = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(t.where("doc_id >= 200")))
+    assert out.where("prediction = label").count() >= 0.98 * out.count()
+    assert secrets.train(t.where("label = 1")) is None
+
+
+# --- 8 ------------------------------------------------------------------------------------------
+
+
+def test_urls(spark):
+    rules = [r for t, v in [("org/", "allow"), ("example.org/es/", "block"), ("com/de/", "block")] for r in url_filter.site_rule(t, v)] + [url_filter.Rule("*/ads/?*", "block", 0, "ads"), url_filter.Rule("~.bad.~/*", "block")]
+    urls = [None, "", "nothing", "http://", "http://example.org", "http://EXAMPLE.org/es/x?y#z", "http://a.example.org/es/", "http://badexample.org/es/", "https://x.com/de/1", "https://com/de/", "https://x.com/ads/", "https://x.com/ads/1", "https://a.bad.net/q", "https://x.net/a.bad.b/", "a://b://c.org/d", "http://x.org?/es/", "http://ü.org/é", "http://x.com/" + "p/" * 5000 + "ads/1", "http://é.com/de/" * 2]
+    rows = list(enumerate([*urls, urls[5]]))
+    got = url_filter.judge(spark.createDataFrame([(i, u, "x", "y") for i, u in rows], "page_id long, url string, host string, verdict string"), rules).collect()
+    for r in got:
+        u = r.url or ""
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        host, path = (brute.lower(m[1]), m[2]) if m else ("", "")
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in [("org", "/", "allow"), ("example.org", "/es/", "block"), ("com", "/de/", "block")] if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            want = max(fits)[1:]
+        elif re.fullmatch(r"(?s).*/ads/..*", host + path):
+            want = ("ads", "block")
+        else:
+            want = (None, "block" if re.fullmatch(r"(?s)[^/]*\.bad\.[^/]*/.*", host + path) else "allow")
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, *want), r.url
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def test_many_rules(spark):
+    rules = [url_filter.Rule(f"~h{k}.~/*", "block", 0, str(k)) for k in range(300)]
+    a = url_filter.Automaton(rules)
+    assert a.words > 1
+    texts = [f"www.h{k}.net/x" for k in (0, 7, 150, 299)] + ["none.net/"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = a.first_match(data, np.cumsum([0, *map(len, texts)]))
+    assert [a.rules[i].name if i >= 0 else None for i in got] == ["0", "7", "150", "299", None]
+
+
+# --- 9 ------------------------------------------------------------------------------------------
+
+
+def test_mixing(docs, empty, rows):
+    out = mixing.mix(docs, [5.0, 2.0, 1.0], key=["doc_id", "text"])
+    a = out.collect()
+    assert sorted(map(str, a)) == sorted(map(str, out.collect()))
+    assert len(a) == len(rows)
+    assert all(r.size == len(brute.WHITE.findall(r.text or "")) and r.copies <= 3 for r in a)
+    sources = sorted({r.source for r in a}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(r.size for r in a if r.source == s) for s in sources}
+    weight = {s: [5, 2, 1][i % 3] for i, s in enumerate(sources)}
+    target, left, open_ = {}, sum(size.values()), set(sources)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > 3 * size[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = 3 * size[s]
+            left -= target[s]
+        open_ -= full
+    target |= {s: level * weight[s] for s in open_}
+    for r in a:
+        assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
+    assert mixing.expanded(out).count() == sum(r.copies for r in a)
+    assert mixing.mix(empty, [1.0], key=["doc_id"]).count() == 0
+
+
+def test_mixing_meets_targets(spark):
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(1, 300), f"s{i % 7}" if i % 3 else "hot") for i in range(3000)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"])
+    for g in out.groupBy("source").agg({"target": "first"}).collect():
+        taken = out.where(out.source == g[0]).selectExpr("sum(size * copies)").first()[0]
+        assert taken == pytest.approx(g[1], rel=0.01)
+
+
+# --- 10 -----------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("block", [1 << 24, 200])
+def test_decontamination(spark, docs, empty, rows, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    words = brute.ALNUM.findall(TEXTS[7])
+    items = [(1, " ".join(words[5:30])), (2, "A,B-c"), (3, ""), (4, None), (5, "x"), (6, "no such words anywhere in the corpus at all here"), (30, " ".join(words[20:34]).upper()), (30, "one two"), (7, " ".join(words[5:30]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, int(r.n_words), r.n_hit, r.n_items, r.items_sha256, r.contaminated)) for r in decontaminate.find(docs, bench, 10).collect())
+    want = []
+    for r in rows:
+        n, hit, found = brute.contamination(r[1], items, 10)
+        want.append((r[0] is not None, r[0] or 0, n, hit, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), hit > 0))
+    assert got == sorted(want)
+    assert decontaminate.find(empty, bench, 10).count() == 0
+    assert decontaminate.find(docs, bench.limit(0), 10).where("contaminated").count() == 0
+
+
+def test_longest_matches(spark):
+    docs = spark.createDataFrame([(1, "z z a b c d e f g q a b c d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "y a b c d e f g")], "item_id long, text string")
+    m = decontaminate.find(docs, bench, 3).first().matches
+    assert sorted((x.doc_word, x.item_word, x.n_words) for x in m) == [(2, 1, 7), (10, 1, 4)]
