@@ -14,6 +14,7 @@ from cohortlake.operators import cohort as C
 from cohortlake.operators.sequences import DATABASES, add_mutated_sequences
 
 LETTERS = P.STANDARD
+PLACES = 97
 WIDE_GENES = [f"g{k}" for k in range(12)]
 
 
@@ -37,13 +38,15 @@ ISO_SQL = """iso AS (SELECT (['uniprot','ncbi','pdb','ensembl'])[CAST(doc_id % 4
 
 
 def _raw_cells(spark: SparkSession, sf_dir: str, gene) -> DataFrame:
+    # the residues at the places that mutations name, so that no sequence travels with a cell
     first = isoforms(spark, sf_dir).groupBy("gene").agg(F.min_by("wt_seq", "isoform_ord").alias("seq"))
+    at = lambda shift: F.when(F.length("seq") >= F.col("p") + shift, F.substring(F.col("seq"), F.col("p") + shift, F.lit(1)))
+    residues = first.select("gene", "seq", F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("p")).select("gene", "p", at(0).alias("o"), at(1).alias("o1"), at(2).alias("o2"))
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    t = lines.select("l_orderkey", F.concat(F.lit("G"), F.expr("l_partkey div 10").cast("string")).alias("gene"), gene.alias("column"), (F.col("l_partkey") % 97 + 1).cast("int").alias("p"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 14).alias("k"), (F.col("l_suppkey") % 20 + 1).cast("int").alias("i"), ((F.col("l_partkey") + F.col("l_suppkey")) % 20 + 1).cast("int").alias("j"))
-    t = t.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("SUBCLASS")), "l_orderkey").join(first, "gene", "left")
-    at = lambda shift: F.coalesce(F.when(F.length("seq") >= F.col("p") + shift, F.substring(F.col("seq"), F.col("p") + shift, F.lit(1))), F.lit("A"))
+    t = lines.select("l_orderkey", F.concat(F.lit("G"), F.expr("l_partkey div 10").cast("string")).alias("gene"), gene.alias("column"), (F.col("l_partkey") % PLACES + 1).cast("int").alias("p"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 14).alias("k"), (F.col("l_suppkey") % 20 + 1).cast("int").alias("i"), ((F.col("l_partkey") + F.col("l_suppkey")) % 20 + 1).cast("int").alias("j"))
+    t = t.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("SUBCLASS")), "l_orderkey").join(residues, ["gene", "p"], "left")
     letter = lambda c: F.substring(F.lit(LETTERS), F.col(c), F.lit(1))
-    t = t.select("l_orderkey", "SUBCLASS", "gene", "column", "k", "p", at(0).alias("o"), at(1).alias("o1"), at(2).alias("o2"), letter("i").alias("m"), letter("j").alias("m2"))
+    t = t.select("l_orderkey", "SUBCLASS", "gene", "column", "k", "p", *(F.coalesce(c, F.lit("A")).alias(c) for c in ("o", "o1", "o2")), letter("i").alias("m"), letter("j").alias("m2"))
     n = lambda shift=0: (F.col("p") + shift).cast("string")
     L = F.lit
     kinds = [

@@ -247,7 +247,7 @@ def _saac_sql(source: str, cut: str) -> str:
     codes = ", ".join(f"'{c}'" for c in P.CODES)
     return f"""reg AS (SELECT * FROM (SELECT *, len(seq) AS n, CAST(round_even({cut} * len(seq), 0) AS INT) AS w, CASE WHEN len(seq) >= 5 AND mutation_str LIKE '%fs%' THEN 1 ELSE 0 END AS fs FROM {source})),
 three AS (SELECT *, 'n_term' AS region, CASE WHEN n < 5 THEN seq WHEN w = 0 THEN '' ELSE seq[:w] END AS r, 0 AS k FROM reg UNION ALL SELECT *, 'mid', CASE WHEN n < 5 OR w = 0 THEN '' ELSE substr(seq, w + 1, n - 2 * w) END, 0 FROM reg UNION ALL SELECT *, 'c_term', CASE WHEN n < 5 THEN '' WHEN w = 0 THEN seq ELSE seq[n - w + 1:] END, fs FROM reg),
-shares AS (SELECT three.*, code, CASE WHEN len(r) + k = 0 THEN 0.0 WHEN code = 'fs' THEN 100.0 * k / (len(r) + k) ELSE 100.0 * (len(r) - len(replace(r, code, ''))) / (len(r) + k) END AS share FROM three, unnest([{codes}]) AS c(code))"""
+shares AS (SELECT three.*, code, CASE WHEN len(r) + k = 0 THEN 0.0 WHEN code = 'fs' THEN k / (len(r) + k) * 100 ELSE (len(r) - len(replace(r, code, ''))) / (len(r) + k) * 100 END AS share FROM three, unnest([{codes}]) AS c(code))"""
 
 
 _SEQ = "seqrows AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'A1fs' ELSE 'A1T' END AS mutation_str, wt_seq AS seq FROM (SELECT isoform_ord AS doc_id, wt_seq FROM iso))"
