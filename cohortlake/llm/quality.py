@@ -33,6 +33,9 @@ TAIL = 1e-7
 #: Least standard deviation of each feature: differences below are not worth a rejection.
 FLOORS = [0.08, 0.15, 0.35, 0.5]
 P = len(FLOORS)
+#: Rows of parameters that are broadcast at most: about 200 bytes each.
+BROADCAST_GROUPS = 50_000
+SALTS = 64
 BINS = 32
 
 
@@ -127,12 +130,20 @@ def _quantile_bin(df: DataFrame, by: list[str], bin_: str, share: float) -> Data
     return running.where(F.col("__run") >= F.col("__all") * share).groupBy(*by).agg(F.min(bin_).alias(bin_))
 
 
-def _fit(rows: DataFrame, tables: Tables) -> DataFrame:
+def _with_group(rows: DataFrame, params: DataFrame, keys: list[str], n_groups: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of params (one row for each group): broadcast up to BROADCAST_GROUPS rows, else joined with salted keys, so that a hot group is spread in both cases."""
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), keys, how)
+    salted = params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+def _fit(rows: DataFrame, tables: Tables, n_groups: int) -> DataFrame:
     """(group, m.., l..) from rows (group, x0..): minimum covariance determinant estimates."""
     x = [f"x{i}" for i in range(P)]
     long = rows.select("group", F.posexplode(F.array(*x)).alias("i", "v")).withColumn("bin", F.floor(F.col("v") * BINS))
-    median = tables.put(_quantile_bin(long, ["group", "i"], "bin", 0.5).select(F.col("group").alias("g"), F.col("i").alias("k"), ((F.col("bin") + 0.5) / BINS).alias("m")), "medians")
-    off = long.join(median, (F.col("group") == F.col("g")) & (F.col("i") == F.col("k"))).withColumn("bin", F.floor(F.abs(F.col("v") - F.col("m")) * BINS)).select("group", "i", "m", "bin")
+    median = tables.put(_quantile_bin(long, ["group", "i"], "bin", 0.5).select("group", "i", ((F.col("bin") + 0.5) / BINS).alias("m")), "medians")
+    off = _with_group(long.drop("bin"), median, ["group", "i"], n_groups * P).withColumn("bin", F.floor(F.abs(F.col("v") - F.col("m")) * BINS)).select("group", "i", "m", "bin")
     spread = _quantile_bin(off, ["group", "i", "m"], "bin", 0.5).withColumn("s", 1.4826 * (F.col("bin") + 0.5) / BINS)
     at = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
     start = [at(i, "m").alias(f"m{i}") for i in range(P)] + [(F.pow(at(i, "s"), 2) + FLOORS[i] ** 2).alias(f"s{i}{i}") for i in range(P)]
@@ -141,9 +152,9 @@ def _fit(rows: DataFrame, tables: Tables) -> DataFrame:
     params = params.select("*", *(F.lit(0.0).alias(f"s{i}{j}") for i, j in pairs if i != j))
     params = tables.put(_factors(params), "fit-0")
     for k in range(STEPS):
-        near = rows.join(params, "group").withColumn("bin", F.floor(F.log(_distance(x) + 1e-6) * BINS))
+        near = _with_group(rows, params, ["group"], n_groups).withColumn("bin", F.floor(F.log(_distance(x) + 1e-6) * BINS))
         cut = _quantile_bin(near.select("group", "bin"), ["group"], "bin", CORE).withColumnRenamed("bin", "cut")
-        core = near.join(cut, "group").where("bin <= cut")
+        core = _with_group(near, cut, ["group"], n_groups).where("bin <= cut")
         scatter = [(CONSISTENCY * F.covar_pop(f"x{i}", f"x{j}") + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i, j in pairs]
         params = tables.put(_factors(core.groupBy("group").agg(*(F.avg(f"x{i}").alias(f"m{i}") for i in range(P)), *scatter)), f"fit-{k + 1}")
     return params.select("group", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))
@@ -170,9 +181,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     few = F.sum(F.when(F.col("__n") < MIN_ROWS, F.col("__n")).otherwise(0)).over(w)
     groups = groups.withColumn("group", F.when(F.col("__n") >= MIN_ROWS, F.concat("__lang", F.lit("\n"), "__source")).when(few >= MIN_ROWS, F.col("__lang")).otherwise(F.lit("")))
     groups = tables.put(groups.select("__lang", "__source", "group"), "groups")
-    params = _fit(tables.put(good.join(groups, ["__lang", "__source"]).drop("__lang", "__source"), "vectors"), tables)
+    n_groups = groups.count()
+    params = _fit(tables.put(_with_group(good, groups, ["__lang", "__source"], n_groups).drop("__lang", "__source"), "vectors"), tables, n_groups)
     params = tables.put(groups.join(params, "group").drop("group"), "parameters")
-    judged = keyed.join(params, ["__lang", "__source"], "left").select("*", *(f.alias(f"x{i}") for i, f in enumerate(_features())))
+    judged = _with_group(keyed, params, ["__lang", "__source"], n_groups, "left").select("*", *(f.alias(f"x{i}") for i, f in enumerate(_features())))
     inside = F.coalesce(_distance([f"x{i}" for i in range(P)]) <= _chi_square_cut(TAIL, P), F.lit(True))
     return judged.withColumn("kept", ~F.col("base_failed") & inside).select(*columns, *names)
 
