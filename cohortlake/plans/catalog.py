@@ -71,10 +71,14 @@ def binarize(spark, sf):
     return C.binarize(D.wide(spark, sf), D.WIDE_GENES)
 
 
-@query(f"{WIDE} SELECT gene, max(CASE WHEN ID = '1' THEN mutation_str END) AS \"1\", max(CASE WHEN ID = '2' THEN mutation_str END) AS \"2\", max(CASE WHEN ID = '3' THEN mutation_str END) AS \"3\" FROM wlong GROUP BY gene")
+LABELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query(f"{WIDE} SELECT gene, {', '.join(f'max(CASE WHEN SUBCLASS = {chr(39)}{x}{chr(39)} THEN mutation_str END) AS {chr(34)}{x}{chr(34)}' for x in LABELS)} FROM wlong GROUP BY gene")
 def transpose_cohort(spark, sf):
-    """P5: three named samples as columns."""
-    return C.transpose_cohort(D.wide(spark, sf), ["1", "2", "3"])
+    """P5: the greatest cell of each label as a sample; all five as columns."""
+    per_label = D.wide(spark, sf).groupBy(F.col("SUBCLASS").alias("ID")).agg(*(F.max(g).alias(g) for g in D.WIDE_GENES))
+    return C.transpose_cohort(per_label, LABELS)
 
 
 @query(f"{WIDE}, t AS (SELECT *, 'x' AS fixed FROM wide WHERE {TRAIN}) SELECT * FROM (SELECT 'fixed' AS \"column\", count(DISTINCT fixed) AS n FROM t {' '.join(f'UNION ALL SELECT {chr(39)}{g}{chr(39)}, count(DISTINCT {g}) FROM t' for g in D.WIDE_GENES)}) WHERE n = 1".replace("SELECT * FROM (SELECT 'fixed'", "SELECT \"column\" FROM (SELECT 'fixed'"))
