@@ -122,3 +122,9 @@ def mutated(wild: str | None, mutation_str: str | None) -> str | None:
 def mutate_sequence(wild: pd.Series, mutation_str: pd.Series) -> pd.Series:
     """Q2: the sequence of each row after its mutations."""
     return pd.Series([mutated(a, b) for a, b in zip(wild, mutation_str, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.IntegerType())
+def mutated_length(wild: pd.Series, mutation_str: pd.Series) -> pd.Series:
+    """The length of each row's sequence after its mutations."""
+    return pd.Series([None if a is None or b is None else len(mutated(a, b)) for a, b in zip(wild, mutation_str, strict=True)], dtype="Int32")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import proteins as P
@@ -18,22 +18,23 @@ def _db_rank():
     return F.array_position(F.array(*map(F.lit, DATABASES)), F.col("db"))
 
 
-def mutated_candidates(dictionary: DataFrame, isoforms: DataFrame) -> DataFrame:
-    """Each dictionary row with each isoform of its gene, mutated; WT rows keep the wild type. Spread by gene and mutation, as big genes have most variants."""
-    ship(dictionary.sparkSession)
-    both = dictionary.select(*KEYS).join(isoforms, "gene")
-    return both.withColumn("mut_seq", F.when(F.col("mutation_str") == WILD, F.col("wt_seq")).otherwise(P.mutate_sequence("wt_seq", "mutation_str")))
+def _mutated(wild, edited) -> Column:
+    """wild(wt_seq) for WT rows, else edited(wt_seq, mutation_str)."""
+    return F.when(F.col("mutation_str") == WILD, wild(F.col("wt_seq"))).otherwise(edited("wt_seq", "mutation_str"))
 
 
 def add_mutated_sequences(dictionary: DataFrame, isoforms: DataFrame) -> DataFrame:
     """Q3: for each dictionary row the isoform of the first database that has a usable one: the longest mutated sequence, the first on ties.
 
-    Empty sequences do not count; rows without any keep nulls. The choice is an aggregation, so
-    only one candidate of each row leaves a task."""
-    usable = mutated_candidates(dictionary, isoforms).where(F.length("mut_seq") > 0)
-    order = F.struct(_db_rank().alias("r"), (-F.length("mut_seq")).alias("l"), F.col("isoform_ord").alias("o"))
-    best = usable.groupBy(*KEYS).agg(F.min_by(F.struct("isoform_id", "wt_seq", "mut_seq"), order).alias("x")).select(*KEYS, "x.*")
-    return dictionary.select(*KEYS).join(best, KEYS, "left")
+    WT rows keep the wild type; empty sequences do not count; rows without any keep nulls. Only lengths are compared, in an aggregation that
+    combines before the shuffle; sequences join the chosen isoforms afterwards, so that none is shuffled with the candidates."""
+    ship(dictionary.sparkSession)
+    rows = dictionary.select(*KEYS)
+    lengths = rows.join(isoforms, "gene").withColumn("n", _mutated(F.length, P.mutated_length))
+    order = F.struct(_db_rank().alias("r"), (-F.col("n")).alias("l"), F.col("isoform_ord").alias("o"))
+    best = lengths.where("n > 0").groupBy(*KEYS).agg(F.min_by(F.struct("db", "isoform_id", "isoform_ord"), order).alias("x")).select(*KEYS, "x.*")
+    chosen = best.join(isoforms, ["gene", "db", "isoform_id", "isoform_ord"]).withColumn("mut_seq", _mutated(lambda c: c, P.mutate_sequence))
+    return rows.join(chosen.select(*KEYS, "isoform_id", "wt_seq", "mut_seq"), KEYS, "left")
 
 
 def not_found(seqs: DataFrame) -> DataFrame:
