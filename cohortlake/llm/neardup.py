@@ -2,12 +2,13 @@
 
 1. Each document becomes its set of hashed word shingles, the digest of that set, and its bottom-k
    sketch: the k least hashes. Documents of one digest are one class; what follows sees classes.
-2. A class can only have a link if enough of its least 16 hashes are retained by another class.
+2. A class can only have a link if enough of its least 32 hashes are retained by other classes.
 3. For the rest, inverted lists of the retained values count in how many sketches each occurs. A link at
    the threshold shares at least `common` of k values (all but 1e-10 of the links; surely, for sets that
-   fit into their sketch), so a class whose values are rarer than that has none, and the others need
-   to meet in only one of their rarest values: those are the lists that are searched.
-4. In each list the classes are compared with a few pivots, and in short lists with each other. A pair
+   fit into their sketch), so a class whose values are rarer than that has none, and the others must
+   meet in one of their rarest values.
+4. The classes that do meet, a small part, are listed once more by the values of their whole sets. There the bounds are exact.
+5. In each list the classes are compared with a few pivots, and in short lists with each other. A pair
    is estimated from the bottom-k sketch of its union and then verified on the whole sets. Linked
    classes contract into components; what is left are pairs in a list from different
    components, which are all compared. So no list of similar texts is expanded into all its
@@ -29,9 +30,9 @@ from .components import components
 from .shared import WHITE_WORD, Tables, passes, runs, small_batches, words_of
 
 SKETCH = 256
-LOW = 16
+LOW = 32
 TAIL = 1e-10
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 #: Lists of so many classes are compared in full at once.
 SHORT_LIST = 6
 
@@ -100,13 +101,16 @@ def whole_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
     return docs.select(text).mapInArrow(run, out)
 
 
-def _shared_values(near: DataFrame, tables: Tables, k: int, need) -> DataFrame:
-    """(v, node): for each class that can have links, those of its rarest retained values in one of which any link must meet."""
-    values = near.select("node", "n", F.explode("sketch").alias("v"))
+def _shared_values(near: DataFrame, tables: Tables, column: str, need, name: str) -> DataFrame:
+    """(v, node, n, lone, left): for each class that can have links, those of its rarest values in one of which any link must meet.
+
+    A class's values are ordered by how many classes have them; lone counts those that no other has, left the values from v on."""
+    values = near.select("node", "n", F.size(column).alias("size"), F.explode(column).alias("v"))
     often = values.groupBy("v").count().where("count > 1")
-    per = values.join(often, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("common"))  # at most k values a class
+    per = values.join(often, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("common"))  # a class's own values
     per = per.withColumn("prefix", (F.size("common") - need + 1).cast("int")).where("prefix >= 1")  # the lone values of the class come first in its order
-    return tables.put(per.select("node", F.explode(F.slice("common", 1, F.col("prefix"))).alias("x")).select(F.col("x.v").alias("v"), "node"), "lists")
+    each = per.select("node", "n", "size", F.size("common").alias("m"), F.posexplode(F.slice("common", 1, F.col("prefix"))).alias("i", "x"))
+    return tables.put(each.select(F.col("x.v").alias("v"), "node", "n", (F.col("size") - F.col("m")).cast("int").alias("lone"), (F.col("m") - F.col("i")).cast("int").alias("left")), name)
 
 
 class _Verifier:
@@ -118,6 +122,13 @@ class _Verifier:
     def _sized(self, a: str, b: str):
         return F.lit(self.den) * F.least(a, b) >= F.lit(self.num) * F.greatest(a, b)
 
+    def possible(self, na, nb, left_a, left_b):
+        """Whether sets of these sizes can link if the first value that they share has so many values from it on in each: a link's
+        intersection is at least num / (num + den) of the sum of the sizes."""
+        low, high = F.least(na, nb), F.greatest(na, nb)
+        needed = F.lit(self.num) * (low + high)
+        return (F.lit(self.den) * low >= F.lit(self.num) * high) & (F.lit(self.num + self.den) * F.least(left_a, left_b) >= needed)
+
     def links(self, pairs: DataFrame, tables: Tables, name: str) -> DataFrame:
         side = lambda x: self.near.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(self._sized("na", "nb"))
@@ -155,14 +166,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     near = near.join(rows.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("first").eqNullSafe(F.col("id"))).select("node", "n", "digest", F.col("id").alias("first"), sketch.alias("sketch"))
     near = tables.put(near.dropDuplicates(["node"]), "near")
 
-    lists = _shared_values(near, tables, k, need)
-    nodes = lists.select("node").distinct()
-    near = tables.put(near.join(nodes, "node", "left_semi"), "candidates")
+    first = _shared_values(near, tables, "sketch", need, "sketch-lists")
+    met = first.groupBy("v").count().where("count > 1").select("v")
+    near = tables.put(near.join(first.join(met, "v", "left_semi").select("node").distinct(), "node", "left_semi"), "candidates")
     large = near.where(F.col("n") > k)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
     texts = texts.join(large.select("first").distinct(), F.col("__id").eqNullSafe(F.col("first")), "left_semi")
-    sets = whole_sets(texts, "__text", shingle).join(large.select("node", "digest"), "digest").select("node", "set").dropDuplicates(["node"])
-    sets = tables.put(near.where(F.col("n") <= k).select("node", F.col("sketch").alias("set")).union(sets), "sets")
+    sets = whole_sets(texts, "__text", shingle).join(large.select("node", "n", "digest"), "digest").select("node", "n", "set").dropDuplicates(["node"])
+    sets = tables.put(near.where(F.col("n") <= k).select("node", "n", F.col("sketch").alias("set")).union(sets), "sets")
+    lists = _shared_values(sets, tables, "set", _at_least(num, den).cast("int"), "lists")
     labels = _search(lists, _Verifier(near, sets, k, num, den, common), tables)
 
     firsts = classes.select("node", "digest", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -174,21 +186,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 
 def _search(lists: DataFrame, verifier: _Verifier, tables: Tables) -> DataFrame:
-    spark, labels, links, tested = lists.sparkSession, None, None, None
+    labels, links, tested = None, None, None
     ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    short = lists.join(lists.groupBy("v").count().where(F.col("count").between(2, SHORT_LIST)).select("v"), "v", "left_semi")
+    both = lambda df, *c: (df.select("v", *(F.col(n).alias(f"{n}{s}") for n in ("node", "n", "left", *c))) for s in "xy")
+    possible = verifier.possible(F.col("nx"), F.col("ny"), F.col("leftx"), F.col("lefty"))
     for k in range(PIVOT_ROUNDS + 1):
         now = lists.withColumn("component", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = now.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "component")).alias("pivot")).where("c0 <> c1")
+        # pivots are the classes with the fewest values of their own, which are alike to most others; more loosely in each round
+        rank = F.struct(F.floor(F.col("lone") / F.lit(1 << k)).alias("r"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "component", "n", "left")
+        mixed = now.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"), F.min(rank).alias("p")).where("c0 <> c1")
         if k == PIVOT_ROUNDS:
-            open_ = tables.put(now.join(mixed.select("v"), "v", "left_semi"), "open")
-            x, y = (open_.select("v", F.col("node").alias(n), F.col("component").alias(f"c{n}")) for n in "xy")
-            pairs = ordered(x.join(y, "v").where("cx < cy").select("x", "y"))
+            x, y = both(tables.put(now.join(mixed.select("v"), "v", "left_semi"), "open"), "component")
+            pairs = ordered(x.join(y, (x["v"] == y["v"]) & (F.col("componentx") < F.col("componenty")) & possible).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
         else:
-            pairs = now.join(mixed.select("v", "pivot"), "v").where("component <> pivot.component").select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
+            pairs = now.join(mixed.select("v", "p"), "v").where("component <> p.component").where(verifier.possible(F.col("n"), F.col("p.n"), F.col("left"), F.col("p.left"))).select(F.col("p.node").alias("x"), F.col("node").alias("y"))
             if k == 0:
-                x, y = (short.select("v", F.col("node").alias(n)) for n in "xy")
-                pairs = pairs.union(x.join(y, "v").where("x < y").select("x", "y"))
+                x, y = both(now.join(mixed.where(F.col("size") <= SHORT_LIST).select("v"), "v", "left_semi"))
+                pairs = pairs.union(x.join(y, (x["v"] == y["v"]) & (F.col("nodex") < F.col("nodey")) & possible).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
             pairs = ordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
