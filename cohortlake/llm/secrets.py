@@ -4,7 +4,7 @@ Candidates are runs of 16 or more key signs with a digit among them. Each become
 mix of signs, transitions between kinds of signs, the share of its letters in words of the
 corpus's dictionary, the path of its document, and the words around it. The dictionary holds words that
 stand in MIN_DOCS documents or more, counted over all documents. The forest is trained on labelled findings:
-those of the caller, or those whose form settles the matter (LABELS), a sample of at most TRAIN_ROWS of each label, taken by hash.
+those of the caller, or those whose form settles the matter (labels), a sample of at most TRAIN_ROWS of each label, taken by hash.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ MIN_LENGTH = 16
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 MIN_DOCS = 5
 TRAIN_ROWS = 20_000
+TRAIN_TASKS = 4
 TREES, DEPTH = 40, 6
 #: Names and signs that go with credentials, and those of placeholders.
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key)"
@@ -80,34 +81,42 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     return found.join(known, "token", "left").withColumns(made).drop("__known")
 
 
-#: What the form of a finding settles: assigned to a credential's name and not a placeholder or made of words; or made of words, of digits alone or of few signs.
-LABELS = F.when((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("placeholder") == 0) & (F.col("words") < 0.5) & (F.col("digits") > 0), 1.0).when((F.col("words") >= 0.5) | ((F.col("digits") == 1) & (F.col("named") == 0)) | (F.col("placeholder") == 1) | (F.col("distinct") < 0.2) | ((F.col("named_near") == 0) & (F.col("assigned") == 0) & (F.col("hex") == 0) & (F.col("uppers") < 0.1)), 0.0)
+def labels() -> Column:
+    """What the form of a finding settles, else null: 1.0 if it is assigned to a credential's name and neither a placeholder nor made of words;
+    0.0 if it is made of words, of digits alone or of few signs, or stands by itself without hex digits or upper case."""
+    c = F.col
+    yes = (c("named") == 1) & (c("assigned") == 1) & (c("placeholder") == 0) & (c("words") < 0.5)
+    plain = (c("named_near") == 0) & (c("assigned") == 0) & (c("hex") == 0) & (c("uppers") < 0.1)
+    no = (c("words") >= 0.5) | ((c("digits") == 1) & (c("named") == 0)) | (c("placeholder") == 1) | (c("distinct") < 0.2) | plain
+    return F.when(yes, 1.0).when(no, 0.0)
 
 
 def train(labelled: DataFrame, seed: int = 7):
-    """A forest from rows with FEATURES and label (0.0 or 1.0); None if one label is missing. Takes a hash sample of TRAIN_ROWS of each label."""
+    """A forest from rows with FEATURES and label (0.0 or 1.0); None if one label is missing. Takes a hash sample of about TRAIN_ROWS of each label,
+    which is written first and then read by few tasks, as each of the forest's many small stages would run on all partitions."""
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}  # two rows
     if not counts.get(0.0) or not counts.get(1.0):
         return None
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *FEATURES), 11) / F.lit(float(1 << 53))
     bound = F.when(F.col("label") == 1, F.lit(TRAIN_ROWS / counts[1.0])).otherwise(F.lit(TRAIN_ROWS / counts[0.0]))
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(labelled.where(u < bound)).select("features", "label")
+    sample = Tables(labelled.sparkSession, "forest").put(labelled.where(u < bound).select(*FEATURES, "label"), "sample").coalesce(TRAIN_TASKS)
+    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """doc_id, path, word (place in the text), token, before, FEATURES, probability, secret: a row for each candidate.
 
-    labelled: findings with FEATURES and label; by default those that LABELS settles. Without both labels no
-    forest is trained and each candidate keeps what LABELS says, or counts as a secret. Null texts have no candidates; an
+    labelled: findings with FEATURES and label; by default those that labels() settles. Without both labels no
+    forest is trained and each candidate keeps what labels() says, or counts as a secret. Null texts have no candidates; an
     empty table gives none; a candidate that repeats in its word counts once. Ids may repeat or be null."""
     tables = Tables(docs.sparkSession, "secrets")
     found = tables.put(candidates(docs, doc_id, text, path), "candidates")
     words = tables.put(dictionary(docs, text), "dictionary")
     found = tables.put(features(found, words), "features")
-    model = train(found.withColumn("label", LABELS).where("label is not null") if labelled is None else labelled)
+    model = train(found.withColumn("label", labels()).where("label is not null") if labelled is None else labelled)
     if model is None:
-        scored = found.withColumn("probability", F.coalesce(LABELS, F.lit(1.0)))
+        scored = found.withColumn("probability", F.coalesce(labels(), F.lit(1.0)))
     else:
         scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("probability", vector_to_array("probability")[1])
     return scored.withColumn("secret", F.col("probability") >= 0.5).select("doc_id", "path", "word", "token", "before", *FEATURES, "probability", "secret")
