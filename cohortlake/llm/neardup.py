@@ -35,6 +35,8 @@ TAIL = 1e-10
 PIVOT_ROUNDS = 1
 #: Lists of so many classes are compared in full at once.
 SHORT_LIST = 6
+#: Ids that are broadcast at most: some 16 MB.
+BROADCAST_IDS = 1_000_000
 
 LONGS = T.ArrayType(T.LongType())
 
@@ -143,6 +145,11 @@ class _Verifier:
         return tables.put(passed.where("whole").select("a", "b").union(large), f"{name}-links")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids to be broadcast if they are at most BROADCAST_IDS, which spares a shuffle of the texts; else as they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text", k: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; links are pairs with den * intersection >= num * union.
 
@@ -165,13 +172,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     sketch = F.concat("low", "rest")
     near = near.join(rows.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("first").eqNullSafe(F.col("id"))).select("node", "n", "digest", F.col("id").alias("first"), sketch.alias("sketch"))
     near = tables.put(near.dropDuplicates(["node"]), "near")
+    rows = tables.put(rows.select("id", "n", "digest"), "digests")
+    tables.drop("sketches")
 
     first = _shared_values(near, tables, "sketch", need, "sketch-lists")
     met = first.groupBy("v").count().where("count > 1").select("v")
     near = tables.put(near.join(first.join(met, "v", "left_semi").select("node").distinct(), "node", "left_semi"), "candidates")
+    tables.drop("near")
+    tables.drop("sketch-lists")
     large = near.where(F.col("n") > k)
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text"))
-    texts = texts.join(large.select("first").distinct(), F.col("__id").eqNullSafe(F.col("first")), "left_semi")
+    texts = texts.join(_small(large.select("first").distinct()), F.col("__id").eqNullSafe(F.col("first")), "left_semi")
     sets = whole_sets(texts, "__text", shingle).join(large.select("node", "n", "digest"), "digest").select("node", "n", "set").dropDuplicates(["node"])
     sets = tables.put(near.where(F.col("n") <= k).select("node", "n", F.col("sketch").alias("set")).union(sets), "sets")
     lists = _shared_values(sets, tables, "set", _at_least(num, den).cast("int"), "lists")
@@ -219,7 +230,8 @@ def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100,
 
     Rows that share a kept doc_id are told apart no further: one of them stays."""
     found = Tables(docs.sparkSession, "keep").put(near_duplicates(docs, shingle, num, den, doc_id), "found")
-    kept = found.where("kept").select(F.col(doc_id).alias("__id"))
-    out = docs.join(kept.distinct(), F.col(doc_id).eqNullSafe(F.col("__id")), "left_semi")
+    ids = found.groupBy(F.col(doc_id).alias("__id")).agg(F.bool_or("kept").alias("kept"))
+    gone = ids.where("not kept").select("__id")
+    out = docs.join(_small(gone), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
     repeated = found.groupBy(doc_id).count().where("count > 1").limit(1).count()
     return out.dropDuplicates([doc_id]) if repeated else out
