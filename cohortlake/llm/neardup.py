@@ -4,8 +4,8 @@
    sketch: the k least hashes. Documents of one digest are one class; what follows sees classes.
 2. A class can only have a link if enough of its least 32 hashes are retained by other classes.
 3. For the rest, inverted lists of the retained values count in how many sketches each occurs. A link at
-   the threshold shares at least `common` of k values (all but 1e-10 of the links; surely, for sets that
-   fit into their sketch), so a class whose values are rarer than that has none, and the others must
+   the threshold shares at least `common` of k values (all but 1e-10 of the links; a set that fits into its
+   sketch surely shares what the sketch of the largest set that it can link to must show), so a class whose values are rarer than that has none, and the others must
    meet in one of their rarest values.
 4. The classes that do meet, a small part, are listed once more by the values of their whole sets. There the bounds are exact.
 5. In each list the classes are compared with a few pivots, and in short lists with each other. A pair
@@ -57,6 +57,15 @@ def _at_least(num: int, den: int):
     return (up - up % den) / den
 
 
+def _shown(num: int, den: int, kept: int):
+    """The least values that a set of n <= kept values shares with the `kept` least ones of a set that it links to. That one has
+    m <= n * den / num values, of which m - kept are cut; those in common, at least (n + m) * num / (num + den), grow slower than m."""
+    most = F.col("n") * den
+    most = (most - most % num) / num
+    common = F.ceil((F.col("n") + most) * num / (num + den))
+    return F.least(_at_least(num, den), common - (most - kept))
+
+
 def _sets(batch: pa.RecordBatch, text: str, shingle: int):
     """The sorted set of 63-bit shingle hashes of each document."""
     words = words_of(batch, WHITE_WORD, lower=True, column=text)
@@ -160,14 +169,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     spark = docs.sparkSession
     tables = Tables(spark, "neardup")
     low_common, common = least_common(LOW, num, den, 1e-9), least_common(k, num, den)
-    need = F.when(F.col("n") <= k, _at_least(num, den)).otherwise(F.lit(common)).cast("int")
+    need = F.when(F.col("n") <= k, _shown(num, den, k)).otherwise(F.lit(common)).cast("int")
     rows = tables.put(sketches(docs, doc_id, text, shingle, k), "sketches")
     classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("low").alias("low"))
     classes = tables.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     values = classes.select("node", "n", F.explode("low").alias("v"))
     often = values.groupBy("v").count().where("count > 1").select("v")
-    found = values.join(often, "v").groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.when(F.col("n") <= LOW, _at_least(num, den)).otherwise(F.lit(low_common)))
+    found = values.join(often, "v").groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.when(F.col("n") <= LOW, _shown(num, den, LOW)).otherwise(F.lit(low_common)))
     near = classes.join(found.select("node"), "node", "left_semi").select("node", "digest", "first")
     sketch = F.concat("low", "rest")
     near = near.join(rows.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("first").eqNullSafe(F.col("id"))).select("node", "n", "digest", F.col("id").alias("first"), sketch.alias("sketch"))

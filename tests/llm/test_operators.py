@@ -143,6 +143,20 @@ def test_short_sketches(docs, rows):
     assert a == b
 
 
+@pytest.mark.parametrize("num,sizes", [(85, [(27, 31), (28, 32), (32, 37), (255, 300), (256, 301)]), (80, [(31, 38), (32, 40), (254, 317), (256, 320)])])
+def test_sets_that_fit_in_larger_ones(spark, num, sizes):
+    """Links of sets that fit into the kept values to sets that do not, whose own values may crowd out the shared ones."""
+    r = random.Random(num)
+    texts = []
+    for small, large in sizes * 40:
+        w = [f"w{r.getrandbits(60)}" for _ in range(large + 2)]
+        texts += [" ".join(w), " ".join(w[: small + 2])]
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, num)
+    label, _ = brute.components(texts, 3, num, 100)
+    assert label == [k - k % 2 for k in range(len(texts))]
+    assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(label))
+
+
 def test_keep_first(docs, rows):
     kept = neardup.keep_first(docs, 3, 85)
     assert kept.columns == docs.columns
