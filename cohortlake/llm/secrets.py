@@ -1,7 +1,7 @@
 """Secret scanning with a random forest that removes false positives, with DataFrame functions and MLlib alone.
 
-Candidates are runs of 16 or more key signs with a digit among them. Each becomes a row with features: its length and
-mix of signs, transitions between kinds of signs, the share of its letters in words of the
+Candidates are runs of 16 or more key signs, runs behind known prefixes, and values of any length and signs that are assigned to
+a credential's name or stand as the password in a url. Each becomes a row with features: its length and mix of signs, transitions between kinds of signs, the share of its letters in words of the
 corpus's dictionary, the path of its document, and the words around it. The dictionary holds words that
 stand in MIN_DOCS documents or more, counted over all documents. The forest is trained on labelled findings:
 those of the caller, or those whose form settles the matter (labels), a sample of at most TRAIN_ROWS of each label, taken by hash.
@@ -18,7 +18,11 @@ from pyspark.sql import functions as F
 from .shared import Tables
 
 MIN_LENGTH = 16
-CANDIDATE = f"[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
+#: Issuers' prefixes, behind which fewer signs and dots are taken as well.
+PREFIX = "(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|[sr]k_live_|sk-|hf_|npm_|SG\\.)"
+CANDIDATE = f"{PREFIX}[A-Za-z0-9_-]{{8,}}(?:\\.[A-Za-z0-9_-]+)*|[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
+#: Octets of the shortest candidate by its form.
+SHORTEST = 11
 MIN_DOCS = 5
 TRAIN_ROWS = 20_000
 TRAIN_TASKS = 4
@@ -26,6 +30,13 @@ TREES, DEPTH = 40, 6
 #: Names and signs that go with credentials, and those of placeholders.
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key)"
 PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|your.?|xxxx|test)"
+#: What stands before an assigned value (group 1: to its quote, or to white space or a quote) or before the password of a url (group 2); values
+#: are looked at and not consumed, so that one which names the next is no obstacle.
+ASSIGNED = (
+    "(?i)(?:token|secret|passw|pwd|api.?key|auth(?!or(?!i))|bearer|credential|private.?key|access.?key)[\\w.\\-]*+[\"'`\\])]*+[ \\t-\\r]*+(?::=|=>|[=:])[ \\t-\\r]*+(?:(?:bearer|basic)[ \\t-\\r]++)?+[\"'`]?+"
+    "(?=((?<=\")[^\"\\r\\n]+|(?<=')[^'\\r\\n]+|(?<=`)[^`\\r\\n]+|(?<![\"'`])[^ \\t-\\r\"'`]+))"
+    "|://[^ \\t-\\r/:@\"'`]*+:(?=([^ \\t-\\r@\"'`]+)@)"
+)
 FEATURES = ["length", "digits", "uppers", "others", "distinct", "transitions", "hex", "words", "placeholder", "named", "assigned", "quoted", "named_near", "path_depth", "path_test"]
 
 
@@ -33,15 +44,31 @@ def _word(w: Column, i: Column) -> Column:
     return F.coalesce(F.get(w, i), F.lit(""))
 
 
+def _assigned(t: Column) -> Column:
+    """An array of (word, token, start): assigned values, the place of their first word, and what they are assigned to."""
+    white = lambda x: F.regexp_count(x, F.lit("[ \\t-\\r]+"))
+    value = F.zip_with(F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(2)), lambda x, y: F.concat(x, y))
+    each = F.arrays_zip(F.split(t, ASSIGNED).alias("gap"), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0)).alias("start"), value.alias("token"))
+    each = F.filter(each, lambda x: x["start"].isNotNull())  # the last gap has no value
+    # white space before a value, counted over gaps and starts: neither ends inside a run of it
+    none = F.array().cast("array<struct<word:int,token:string,start:string>>")
+    step = lambda a, x: (a["n"] + white(x["gap"]) + white(x["start"])).cast("int")
+    made = F.aggregate(each, F.struct(F.lit(0).alias("n"), none.alias("all")), lambda a, x: F.struct(step(a, x).alias("n"), F.concat(a["all"], F.array(F.struct(step(a, x).alias("word"), x["token"].alias("token"), x["start"].alias("start")))).alias("all")))
+    return F.when(t.rlike(ASSIGNED), F.array_distinct(F.filter(made["all"], lambda x: F.trim(x["token"]) != ""))).otherwise(none)
+
+
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(doc_id, path, word, token, before, around): each candidate with the place and the signs of its word and the words next to it."""
-    words = F.split(F.coalesce(F.col(text), F.lit("")), "[ \\t-\\r]+")
-    place = lambda w: F.filter(F.transform(w, lambda x, i: F.when(F.octet_length(x) >= MIN_LENGTH, i)), lambda i: i.isNotNull())
-    near = lambda w, i: F.struct(i.alias("word"), F.get(w, i).alias("own"), F.concat_ws(" ", _word(w, i - 3), _word(w, i - 2), _word(w, i - 1)).alias("before"), F.concat_ws(" ", _word(w, i + 1), _word(w, i + 2)).alias("after"))
-    long = F.transform(F.array(words), lambda w: F.transform(place(w), lambda i: near(w, i)))[0]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.explode(F.filter(long, lambda x: x["own"].rlike(CANDIDATE))).alias("x"))
-    rows = rows.select("doc_id", "path", "x.*").withColumn("token", F.explode(F.array_distinct(F.regexp_extract_all("own", F.lit(CANDIDATE), F.lit(0)))))
-    return rows.where(F.col("token").rlike("[0-9]"))
+    """(doc_id, path, word, own, before, after, token, start): each candidate with the place and the signs of its (first) word, the words next to it and what stands before it in its word or assigns it."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    words = F.split(t, "[ \\t-\\r]+")
+    place = lambda w: F.filter(F.transform(w, lambda x, i: F.when((F.octet_length(x) >= SHORTEST) & x.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
+    by_form = lambda w: F.flatten(F.transform(place(w), lambda i: F.transform(F.array_distinct(F.regexp_extract_all(F.get(w, i), F.lit(CANDIDATE), F.lit(0))), lambda x: F.struct(i.alias("word"), x.alias("token")))))
+    key = lambda v: F.transform(v, lambda x: F.struct(x["word"].alias("word"), x["token"].alias("token")))
+    rest = lambda w, v: F.transform(F.array_except(by_form(w), key(v)), lambda x: F.struct(x["word"].alias("word"), x["token"].alias("token"), F.lit(None).cast("string").alias("start")))
+    near = lambda w, x: F.struct(x["word"].alias("word"), F.get(w, x["word"]).alias("own"), F.concat_ws(" ", *(_word(w, x["word"] - k) for k in (3, 2, 1))).alias("before"), F.concat_ws(" ", *(_word(w, x["word"] + k) for k in (1, 2))).alias("after"), x["token"].alias("token"), x["start"].alias("start"))
+    both = F.transform(F.array(F.struct(words.alias("w"), _assigned(t).alias("v"))), lambda d: F.transform(F.concat(d["v"], rest(d["w"], d["v"])), lambda x: near(d["w"], x)))[0]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.explode(both).alias("x")).select("doc_id", "path", "x.*")
+    return rows.withColumn("start", F.coalesce("start", F.call_function("substring_index", F.col("own"), F.col("token"), F.lit(1))))
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -59,7 +86,7 @@ def features(found: DataFrame, words: DataFrame) -> DataFrame:
     # letters in dictionary words: the pieces of all candidates meet the dictionary once
     pieces = found.select("token").distinct().select("token", F.explode(F.array_distinct(F.split(F.lower("token"), "[^a-z]+"))).alias("piece")).where(F.length("piece") >= 3)
     known = pieces.join(words, "piece").groupBy("token").agg(F.sum(F.length("piece")).alias("__known"))
-    start = F.call_function("substring_index", F.col("own"), t, F.lit(1))
+    start = F.col("start")
     path = F.coalesce("path", F.lit(""))
     made = {
         "length": n.cast("double"),
