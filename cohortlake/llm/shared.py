@@ -4,6 +4,7 @@ hashing of Arrow text columns with numpy."""
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -27,38 +28,70 @@ LOWER[0x41:0x5B] += 32
 PASS_BYTES = 1 << 20
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a folder of our own if the master is
+    local, so that driver and tasks are one process on one machine; on a cluster an error, as executors would write to their own disks."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if at:
+        return at.rstrip("/")
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise RuntimeError(f"spark.checkpoint.dir is not set; with master {context.master} it must name a folder that driver and executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
+    return _own_dirs[context.applicationId]
 
 
 class Tables:
-    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive any executor."""
+    """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive any executor.
+
+    Those that the result does not read are dropped by its operator; the others stay until their folder is cleared."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        at.getFileSystem(conf).delete(at, True)
+        for name in names:
+            at = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at.getFileSystem(conf).delete(at, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these, which the result reads."""
+        self.drop(*(self.names - set(names)))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of parameters that are broadcast at most, some hundred bytes each.
+BROADCAST_GROUPS = 50_000
+SALTS = 64
+
+
+def with_group(rows: DataFrame, params: DataFrame, keys: list[str], n_groups: int, how: str = "inner") -> DataFrame:
+    """rows with the columns of params (one row for each group; n_groups is their number): broadcast up to BROADCAST_GROUPS rows, else
+    joined with salted keys, so that a hot group is spread in both cases. Nulls in keys match nothing."""
+    if n_groups <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(params), keys, how)
+    salted = params.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*(c for c in rows.columns if c not in keys)), F.lit(SALTS)).cast("int")
+    return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, as one row may be a very long text; and sends the package to the workers."""
     ship(spark)
