@@ -68,3 +68,33 @@ def contamination(text, items, window):
                 hit.update(range(k, k + n))
                 found.add(str(i))
     return len(w), len(hit), sorted(found)
+
+
+def mixing_targets(rows, weights, most):
+    """(source, size) of each row -> the size and the target of each source."""
+    sources = sorted({s for s, _ in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for x, n in rows if x == s) for s in sources}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(sources)}
+    target, left, open_ = {}, sum(size.values()), set(sources)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] > most * size[s]}
+        if not full:
+            break
+        for s in full:
+            target[s] = most * size[s]
+            left -= target[s]
+        open_ -= full
+    return size, target | {s: level * weight[s] for s in open_}
+
+
+def entropy_rates(size, target, most):
+    """min(most, exp(l * size)) with the l that meets the target, by halving."""
+    import numpy as np
+
+    low, high = -100.0, 100.0
+    for _ in range(300):
+        mid = (low + high) / 2
+        r = np.exp(np.minimum(mid * size, np.log(most)))
+        low, high = (mid, high) if (size * r).sum() < target else (low, mid)
+    return np.where(size > 0, r, 1.0)

@@ -11,8 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cohortlake.llm import decontaminate, mixing, neardup, quality, secrets, sharding, substrings, token_counts, token_files, url_filter
+from cohortlake.llm import decontaminate, mixing, neardup, quality, secrets, shared, sharding, substrings, token_counts, token_files, url_filter
 from cohortlake.llm.queries import tokenizer_file
+from cohortlake.llm.shared import Tables
 
 from . import brute
 
@@ -249,10 +250,74 @@ def test_quality_outliers(spark):
 
 def test_quality_salted(docs, monkeypatch):
     a = sorted(map(str, quality.judge(docs).collect()))
-    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_GROUPS", 0)
     assert sorted(map(str, quality.judge(docs).collect())) == a
 
 
+def test_repeated_words_do_not_rest_on_hashes(docs, rows, monkeypatch):
+    """With a hash of 7 values most windows that look equal are not."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "window_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(7)))
+    got = sorted(x.s.n_repeat_words for x in docs.select(quality.statistics(F.col("text")).alias("s")).collect())
+    assert got == sorted(brute.statistics(r[1])[4] for r in rows)
+
+
+def test_repeated_words_of_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1_500_000)), lambda i: i.cast("string")), F.lit("7 8 9"))
+    assert spark.range(1).select(quality.statistics(text).alias("s")).first().s[4] == 6
+
+
+def _plain_mcd(x):
+    """The estimate of least determinant of many random starts, each with concentration steps until nothing moves."""
+    r, h, best = np.random.default_rng(0), int(np.ceil(quality.CORE * len(x))), None
+    for _ in range(60):
+        core = r.choice(len(x), 12, replace=False)
+        for _ in range(100):
+            m, s = x[core].mean(0), np.cov(x[core].T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s), x - m)
+            new = np.sort(np.argsort(d, kind="stable")[:h])
+            if np.array_equal(new, np.sort(core)):
+                break
+            core = new
+        det = np.linalg.det(s)
+        if best is None or det < best[0]:
+            best = (det, m, s)
+    return best[1], quality.CONSISTENCY * best[2] + np.diag(np.square(quality.FLOORS))
+
+
+def test_robust_estimates(spark):
+    """Each group's centre and scatter against a plain estimator, with a sixth of far outliers in each of three groups."""
+    r, data = np.random.default_rng(3), {}
+    for k, g in enumerate("abc"):
+        mix = r.normal(size=(quality.P, quality.P)) * 0.4 + np.eye(quality.P)
+        x = r.normal(size=(900, quality.P)) @ mix + k
+        x[:150] = r.normal(size=(150, quality.P)) * 0.5 + 12
+        data[g] = x
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in data.items() for v in x], "group string, " + ", ".join(f"x{i} double" for i in range(quality.P)))
+    for row in quality.fit(rows, Tables(spark, "test"), 3).collect():
+        m, s = _plain_mcd(data[row.group])
+        sd = np.sqrt(np.diag(s))
+        assert np.abs(np.array([row[f"m{i}"] for i in range(quality.P)]) - m).max() < 0.15 * sd.min()
+        got = np.array([[row[f"s{min(i, j)}{max(i, j)}"] for j in range(quality.P)] for i in range(quality.P)])
+        assert (np.abs(got - s) / np.outer(sd, sd)).max() < 0.2
+
+
+def test_blended_estimates(spark):
+    """A language and source of many rows keeps its own estimate, one of few leans on its language; all by one rule."""
+    r = np.random.default_rng(5)
+    made = [("en", "big", x) for x in r.normal(size=(4000, quality.P))] + [("en", "few", x) for x in r.normal(size=(20, quality.P)) + 3] + [("de", "one", r.normal(size=quality.P) + 9)]
+    rows = spark.createDataFrame([(a, b, *map(float, x)) for a, b, x in made], "__lang string, __source string, " + ", ".join(f"x{i} double" for i in range(quality.P)))
+    found, n = quality.estimates(rows, Tables(spark, "test"))
+    got = {(x["__lang"], x["__source"]): x for x in found.collect()}
+    assert n == 3 and len(got) == 3
+    assert abs(got["en", "big"].m0) < 0.15
+    assert 0.05 < got["en", "few"].m0 < 1.0  # 20 rows against 200 of the language
+    assert got["de", "one"].l00 > got["en", "big"].l00  # far from all others and of one row: a wide scatter
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
@@ -351,35 +416,39 @@ def test_mixing(docs, empty, rows):
     out = mixing.mix(docs, [5.0, 2.0, 1.0], key=["doc_id", "text"])
     a = out.collect()
     assert sorted(map(str, a)) == sorted(map(str, out.collect()))
+    assert sorted(map(str, a)) == sorted(map(str, mixing.mix(docs.repartition(7), [5.0, 2.0, 1.0], key=["doc_id", "text"]).collect()))
     assert len(a) == len(rows)
     assert all(r.size == len(brute.WHITE.findall(r.text or "")) and r.copies <= 3 for r in a)
-    sources = sorted({r.source for r in a}, key=lambda s: (s is None, s or ""))
-    size = {s: sum(r.size for r in a if r.source == s) for s in sources}
-    weight = {s: [5, 2, 1][i % 3] for i, s in enumerate(sources)}
-    target, left, open_ = {}, sum(size.values()), set(sources)
-    while True:
-        level = left / sum(weight[s] for s in open_)
-        full = {s for s in open_ if level * weight[s] > 3 * size[s]}
-        if not full:
-            break
-        for s in full:
-            target[s] = 3 * size[s]
-            left -= target[s]
-        open_ -= full
-    target |= {s: level * weight[s] for s in open_}
+    size, target = brute.mixing_targets([(r.source, r.size) for r in a], [5, 2, 1], 3)
     for r in a:
         assert r.source_size == size[r.source] and r.target == pytest.approx(target[r.source])
+        assert r.size or (r.rate, r.copies) == (1.0, 1)
     assert mixing.expanded(out).count() == sum(r.copies for r in a)
     assert mixing.mix(empty, [1.0], key=["doc_id"]).count() == 0
+    assert mixing.mix(docs.where("text is null"), [1.0], key=["doc_id"]).select("copies").first()[0] == 1
 
 
-def test_mixing_meets_targets(spark):
+def _mixed_rows():
     r = random.Random(9)
-    rows = [(i, "w " * r.randint(1, 300), f"s{i % 7}" if i % 3 else "hot") for i in range(3000)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"])
-    for g in out.groupBy("source").agg({"target": "first"}).collect():
-        taken = out.where(out.source == g[0]).selectExpr("sum(size * copies)").first()[0]
-        assert taken == pytest.approx(g[1], rel=0.01)
+    return [(i, "w " * r.choice([r.randint(1, 300), 40]), None if i % 11 == 0 else f"s{i % 7}" if i % 3 else "hot") for i in range(3000)]
+
+
+@pytest.mark.parametrize("broadcast", [shared.BROADCAST_GROUPS, 0])
+def test_mixing_meets_targets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(shared, "BROADCAST_GROUPS", broadcast)
+    out = mixing.mix(spark.createDataFrame(_mixed_rows(), "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"]).drop("text").toPandas()
+    for _, g in out.groupby("source", dropna=False):
+        assert (g["size"] * g.copies).sum() == pytest.approx(g.target.iloc[0], rel=0.01)
+
+
+def test_mixing_solves_the_dual(spark):
+    """The rates of each source against a plain solver of the same convex problem: rates differ by size, meet the target, and none is nearer to one."""
+    out = mixing.mix(spark.createDataFrame(_mixed_rows(), "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"]).drop("text").toPandas()
+    for _, g in out.groupby("source", dropna=False):
+        want = brute.entropy_rates(g["size"].to_numpy(float), g.target.iloc[0], 3)
+        assert np.abs(g.rate.to_numpy() - want).max() < 1e-6
+        assert g.rate.nunique() == g["size"].nunique() or g.rate.max() == 3.0
+        assert (g["size"] * g.rate).sum() == pytest.approx(g.target.iloc[0], rel=1e-8)
 
 
 # --- 10 -----------------------------------------------------------------------------------------
