@@ -144,18 +144,37 @@ _ODD = np.zeros(256, bool)
 _ODD[[*range(0, 9), *range(0x0E, 0x20), 0x7F, 0x27, 0x3C]] = True
 
 
+# The normalizer and splitter of a tokenizer whose texts may be cut as WordEncoder does.
+CUT_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "truncation": None,
+    "padding": None,
+}
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that splits at white space and, inside words, between letters, digits and other signs.
+    """Encodes texts with any tokenizer of the library; by pieces where it splits at white space and, inside words, between
+    letters, digits and other signs (CUT_RULES, a BPE model with an end-of-word mark, and special tokens that hold `<`).
 
-    Texts are cut into pieces that the tokenizer would never join: words at white space, and plain words
+    Texts are then cut into pieces that the tokenizer would never join: words at white space, and plain words
     (ASCII and Latin-1 letters, no apostrophe) also where the kind of sign changes. Each distinct
-    piece is encoded once by the library and looked up by hash afterwards; all other words go to the library whole."""
+    piece is encoded once by the library and looked up by hash afterwards; all other words go to the library whole.
+    With other tokenizers whole texts go to the library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
+        rules, vocabulary = json.loads(self.tokenizer.to_str()), self.tokenizer.get_vocab()
+        model = rules["model"]
+        self.by_pieces = all(rules[k] == v for k, v in CUT_RULES.items()) and (model["type"], model["dropout"], model["end_of_word_suffix"]) == ("BPE", None, "</w>") and all("<" in t["content"] for t in rules["added_tokens"])
         self.is_end = np.zeros(max(vocabulary.values()) + 1, bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
@@ -182,6 +201,8 @@ class WordEncoder:
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with END_ID behind it, and the number of ids of each."""
+        if not self.by_pieces:
+            return self._plainly(column)
         raw, offsets = text_bytes(column)
         words = Words(raw, offsets, WHITE_WORD)
         if not len(words.starts):
