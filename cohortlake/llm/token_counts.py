@@ -112,8 +112,10 @@ class _Counter:
         other = np.flatnonzero(u2[inverse] != h2)  # a second word with the same hash
         if len(other):
             each[other] = self._count(words, other)
-        sums = np.concatenate((np.zeros((1, 2)), np.cumsum(each, axis=0)))
-        total = sums[words.first[1:]] - sums[words.first[:-1]]
+        # document by document, so that no score depends on the texts beside it
+        total, some = np.zeros((len(words.counts), 2)), words.counts > 0
+        if some.any():
+            total[some] = np.add.reduceat(each, words.first[:-1][some], axis=0)
         # empty words: between spaces, and at an end; none before a first space
         spaces = np.concatenate(([0], np.cumsum(data == 0x20)))[offsets]
         lead = (np.diff(offsets) == 0) | (np.append(data, 0)[offsets[:-1]] == 0x20)
@@ -134,7 +136,8 @@ def _counter(path: str) -> _Counter:
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Adds n_tokens (long) and score (double) to each row; existing columns of these names are replaced.
 
-    vocabulary is a sentencepiece file that all workers can open. Null and empty texts have no tokens and score 0."""
+    vocabulary is a sentencepiece file that all workers can open. Null and empty texts have no tokens and score 0. Very long
+    texts are counted whole; equal texts get equal counts and scores, wherever they stand. An empty table stays empty."""
     small_batches(docs.sparkSession)
     kept = docs.drop("n_tokens", "score")
     columns = kept.columns
