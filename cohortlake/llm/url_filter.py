@@ -5,8 +5,8 @@ All glob rules are laid side by side in one row of bits, 64 to a word. Bit i of
 rules at once (Shift-And), while wildcards keep their state in place. Tokens of a rule:
 `*` any bytes, `~` any bytes but `/` (to stay in the host), `?` one byte, else the byte itself.
 
-The rule set is broadcast: 256 bytes of masks for each 8 states, so 100,000 rules of 40 bytes take
-about 128 MB; MAX_STATES refuses more.
+The rule set is broadcast: two tables of 256 bits for each state, so 100,000 rules of 40 bytes take
+about 260 MB; MAX_STATES refuses more. A pass over URLs is as many as PASS_STATES allows, whatever the number of rules.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from .shared import small_batches, text_bytes
 
 MAX_STATES = 1 << 22
+#: Words of 64 states that a pass over some URLs holds: 16 MB, and some copies of it.
+PASS_STATES = 1 << 21
 
 
 @dataclass(frozen=True)
@@ -69,10 +71,17 @@ class Automaton:
             self.finals[k] = at + len(steps)
             sink[at + len(steps)] = (len(steps), ord("*")) in loops
         pack = lambda x: np.ascontiguousarray(np.packbits(x, axis=-1, bitorder="little")).view("<u8")
-        self.step, self.stay, self.begin, self.sink = pack(step), pack(stay), pack(begin), pack(sink)
+        final = np.zeros(self.words * 64, bool)
+        final[self.finals] = True
+        self.step, self.stay, self.begin, self.sink, self.final = pack(step), pack(stay), pack(begin), pack(sink), pack(final)
 
     def first_match(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each string the index in self.rules of the first rule that matches all of it, or -1."""
+        """For each string the index in self.rules of the first rule that matches all of it, or -1; in passes of at most PASS_STATES words of states."""
+        step = max(1, PASS_STATES // self.words)
+        found = [self._pass(data, offsets[k : k + step + 1]) for k in range(0, len(offsets) - 1, step)]
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+    def _pass(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n, lengths = len(offsets) - 1, np.diff(offsets)
         state = np.repeat(self.begin[None, :], n, axis=0)
         live, at = np.flatnonzero(lengths > 0), 0
@@ -85,8 +94,12 @@ class Automaton:
             at += 1
             # strings that ended, and those whose states can no longer change
             live = live[(lengths[live] > at) & (s & ~self.sink).any(axis=1)]
-        hit = (state[:, self.finals // 64] >> (self.finals % 64).astype(np.uint64)) & np.uint64(1) if len(self.finals) else np.zeros((n, 1), np.uint64)
-        return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+        # rules lie in the order of their rank, so the lowest final bit is the first rule that matches
+        state &= self.final
+        word = (state != 0).argmax(axis=1)
+        bits = state[np.arange(n), word]
+        lowest = np.log2((bits & (~bits + np.uint64(1))).astype(np.float64), where=bits != 0, out=np.zeros(n)).astype(np.int64)
+        return np.where(bits != 0, np.searchsorted(self.finals, word * 64 + lowest), -1)
 
 
 def host_of(url: Column) -> Column:
@@ -102,7 +115,8 @@ def path_of(url: Column) -> Column:
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
     """Adds host, path, rule (its name; null if none) and verdict to each row; existing columns of these names are replaced.
 
-    A null or malformed URL has an empty host and path and is matched as the empty string."""
+    A null or malformed URL has an empty host and path and is matched as the empty string. Of rules of one rank that match the first
+    in `rules` counts. Very long URLs are matched whole; repeated ones alike; an empty table stays empty, and without rules all get `default`."""
     small_batches(pages.sparkSession, 4000)
     auto = Automaton(rules)
     shared = pages.sparkSession.sparkContext.broadcast(auto)

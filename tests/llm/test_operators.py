@@ -121,6 +121,18 @@ def test_token_files(spark, docs, empty, rows, kind):
     assert token_files.read_documents(token_files.write_ids(empty, path), docs.schema["doc_id"].dataType, 2).count() == 0
 
 
+def test_other_tokenizers():
+    """A tokenizer that neither lowers case nor drops white space goes to the library whole."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    encode, t = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    ids, sizes = encode(pa.array(TEXTS, pa.string()))
+    assert not encode.by_pieces and token_files.WordEncoder(tokenizer_file("word_bpe_49k.json")).by_pieces
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, 1] for x in TEXTS]
+    assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
@@ -213,6 +225,24 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_scores(docs, empty):
+    """The score is that of the words' best paths, and does not depend on the texts beside."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    counter = token_counts._Counter(path)
+    scale = np.random.default_rng(2).uniform(0.1, 1, 100)
+    fractions = [(p, s * scale[k % 100]) for k, (p, s) in enumerate(token_counts.vocabulary_of(path))]
+    counter.viterbi = token_counts.CountingViterbi(fractions)
+    counter.empty = counter.viterbi("▁")
+    n, score = counter(pa.array(TEXTS, pa.string()))
+    for k, t in enumerate(TEXTS):
+        alone, mine = counter(pa.array([t], pa.string()))
+        marked = (t or "").replace(" ", "▁")
+        words = re.findall("▁[^▁]*", marked if marked[:1] in ("", "▁") else "▁" + marked)
+        each = [counter.viterbi(w) for w in words]
+        assert (n[k], score[k]) == (alone[0], mine[0])
+        assert n[k] == sum(c for c, _ in each) and score[k] == pytest.approx(sum(s for _, s in each))
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=14))
 def test_viterbi_ties(word):
@@ -409,6 +439,21 @@ def test_many_rules(spark):
     assert [a.rules[i].name if i >= 0 else None for i in got] == ["0", "7", "150", "299", None]
 
 
+def test_rule_passes(monkeypatch):
+    """Rules over many words of states, few URLs a pass, equal ranks, and matches in any of the words."""
+    r = random.Random(6)
+    globs = ["".join(r.choice("ab*?~/.") for _ in range(r.randint(1, 9))) for _ in range(120)]
+    texts = ["", *("".join(r.choice("ab/.") for _ in range(r.randint(0, 12))) for _ in range(200)), "ab" * 5000]
+    a = url_filter.Automaton([url_filter.Rule(g, "block", k % 3, str(k)) for k, g in enumerate(globs)])
+    pattern = lambda g: re.compile("".join({"*": "(?s:.*)", "~": "[^/]*", "?": "(?s:.)"}.get(c, re.escape(c)) for c in g))
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [next((k for k, x in enumerate(a.rules) if pattern(x.glob).fullmatch(t)), -1) for t in texts]
+    assert a.words > 8 and max(want) * 5 > 64
+    assert a.first_match(data, offsets).tolist() == want
+    monkeypatch.setattr(url_filter, "PASS_STATES", 3 * a.words)
+    assert a.first_match(data, offsets).tolist() == want
+
+
 # --- 9 ------------------------------------------------------------------------------------------
 
 
