@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over shards of the training words.
 
-Each task splits its documents into shards of about 1 MB and builds a sparse suffix array for each: of
-all word positions, those that start with the first words of some benchmark window, sorted by
-the words that follow. Every benchmark suffix is then binary-searched in it, as a window of
-`window` words, or the whole item where it is shorter. Windows found at consecutive places
-join into longest verbatim matches, with their places in the document and the item.
-
-The benchmark goes to the tasks in blocks of at most BLOCK_BYTES of text; all documents meet every
-block in turn, without a shuffle, so that neither the broadcast nor a task grows with it.
+Each task gathers its documents into shards of about SHARD_BYTES of text and builds the suffix array of each:
+all word positions (but those of words that no benchmark text has, which begin no match), sorted by the words from there to the
+end of their document, by prefix doubling. Then every benchmark suffix that can hold a window is binary-searched in it, one
+word deeper at a time, so that its interval holds the places that share so many words with it. Where the interval narrows, the
+places that drop out have found their longest match with that suffix; those of at least a window that cannot be
+extended to the left either are the maximal verbatim matches, with their places in the document and the item. A window is `window`
+words, or the whole item where it is shorter.
+
+The benchmark goes to the tasks in blocks of about BLOCK_BYTES of text, one after the other: a block is collected,
+indexed and broadcast, its matches are written, and it is freed before the next one. So neither the driver nor a task holds more than one.
 """
 
 from __future__ import annotations
@@ -18,160 +20,236 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORD, passes, runs, sha256, small_batches, words_of
+from .shared import ALNUM_WORD, Tables, gathered, sha256, small_batches, words_of
 
 BLOCK_BYTES = 16 << 20
-#: Words that a suffix must share with a benchmark window to enter the suffix array.
-SEED_WORDS = 4
+SHARD_BYTES = 4 << 20
+#: Pairs of a benchmark suffix and a place that are spread out at once.
+PAIRS = 1 << 22
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())]))
-
-
-def _keys(ids: np.ndarray, at: np.ndarray, stop: np.ndarray, width: int) -> np.ndarray:
-    """The next `width` word ids from each place, as byte strings that sort like the ids; zeros from `stop` on."""
-    place = at[:, None] + np.arange(width)
-    inside = place < stop[:, None]
-    return np.where(inside, ids[np.where(inside, place, 0)], 0).astype(">u4").view(f"S{4 * width}").ravel() if len(at) else np.zeros(0, f"S{4 * width}")
+MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
+
+
+def _separated(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The word ids of texts with a 0 behind each text; first[k] is the first word of text k. Word i of text k stands at i + k."""
+    out = np.zeros(len(ids) + len(first), np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(first) - 1), np.diff(first))] = ids
+    return out
+
+
+def suffix_array(e: np.ndarray, depth: int) -> np.ndarray:
+    """The places of e's nonzero values (e ends with 0), sorted by what follows up to the next 0, or by `depth` values at least."""
+    at = np.flatnonzero(e)
+    if not len(at):
+        return at
+    base = int(e.max()) + 1
+    key = e[at] * base + e[at + 1]
+    place, zeros = np.arange(len(at)), np.flatnonzero(e == 0)
+    stop = zeros[np.cumsum(e == 0) - (e == 0)]
+    order, rank, open_, length = at, np.zeros(len(e), np.int64), np.ones(len(at), bool), 1
+    while True:
+        o = np.argsort(key)
+        key, idx = key[o], place[open_]
+        order[idx] = pos = order[idx][o]
+        new = np.append(True, key[1:] != key[:-1])
+        rank[pos] = np.maximum.accumulate(np.where(new, idx, 0)) + 1
+        # groups of one are settled, and so are those whose suffixes end here
+        open_[idx] = ~(new & np.append(new[1:], True)) & (key % base != 0)
+        length *= 2
+        if length >= depth or not open_.any():
+            return order
+        pos, base = order[open_], len(e) + 1
+        inside = pos + length < stop[pos]
+        key = rank[pos] * base + np.where(inside, rank[np.where(inside, pos + length, 0)], 0)
+
+
+def _bound(e: np.ndarray, order: np.ndarray, depth: int, low: np.ndarray, high: np.ndarray, word: np.ndarray, above: bool) -> np.ndarray:
+    """For each interval of the suffix array the first place whose word at `depth` is not below (or is above) `word`."""
+    low, high = low.copy(), high.copy()
+    while len(at := np.flatnonzero(low < high)):
+        mid = (low[at] + high[at]) >> 1
+        found = e[order[mid] + depth]
+        up = found <= word[at] if above else found < word[at]
+        low[at[up]] = mid[up] + 1
+        high[at[~up]] = mid[~up]
+    return low
+
+
+def _spread(values: np.ndarray, low: np.ndarray, high: np.ndarray):
+    """(value, place) for each place of each interval, in portions of about PAIRS."""
+    sizes = np.cumsum(high - low)
+    at = 0
+    while at < len(values):
+        # a single interval may exceed the portion and is then cut
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PAIRS, "right")))
+        n = (high - low)[at:to]
+        for k in range(low[at], high[at], PAIRS) if to == at + 1 else (None,):
+            if k is None:
+                yield np.repeat(values[at:to], n), np.repeat(low[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            else:
+                place = np.arange(k, min(k + PAIRS, high[at]))
+                yield np.full(len(place), values[at]), place
+        at = to
 
 
 class Benchmark:
-    """A block of items, indexed: vocabulary, windows by length, and the items and places of each window."""
+    """A block of items: the word ids of its distinct texts, the ids of the items that have each, and the suffixes that begin a window."""
 
     def __init__(self, item_ids: list, texts: list, window: int):
-        w = words_of(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), ALNUM_WORD, lower=True)
+        owners: dict[str, list[str]] = {}
+        for i, t in zip(item_ids, texts, strict=True):
+            owners.setdefault(t or "", []).append(str(i))
+        w = words_of(pa.RecordBatch.from_arrays([pa.array(list(owners), pa.string())], names=["text"]), ALNUM_WORD, lower=True)
         h = w.hashes()
-        self.window, self.items = window, [str(i) for i in item_ids]
         self.vocabulary = np.unique(h)
-        ids = (np.searchsorted(self.vocabulary, h) + 1).astype(np.uint32)
-        self.groups = []  # (length, sorted unique windows, csr of their places, seeds)
-        lengths = np.minimum(w.counts, window)
-        for n in sorted({int(x) for x in lengths if x}):
-            starts = [np.arange(a, a + c - n + 1) for a, c, m in zip(w.first, w.counts, lengths, strict=False) if m == n]
-            at = np.concatenate(starts)
-            item = np.concatenate([np.full(len(s), k) for k, s in zip(np.flatnonzero(lengths == n), starts, strict=True)])
-            keys = _keys(ids, at, at + n, window)
-            order = np.argsort(keys, kind="stable")
-            unique, begin = np.unique(keys[order], return_index=True)
-            seed = min(n, SEED_WORDS)
-            self.groups.append((n, unique, np.append(begin, len(order)), item[order], (at - w.first[item])[order], seed, np.unique(runs(h, seed)[at])))
+        self.words = _separated(self.word_ids(h), w.first)
+        self.depth = int(w.counts.max(initial=0))
+        size = np.repeat(w.counts, w.counts + 1)
+        self.text = np.repeat(np.arange(len(w.counts)), w.counts + 1)
+        self.place = np.arange(len(self.text)) - (w.first[:-1] + np.arange(len(w.counts)))[self.text]
+        self.need = np.where(self.place + window <= size, window, np.where((size < window) & (self.place == 0), size, 0))
+        self.suffixes = np.flatnonzero(self.need)
+        self.items = [i for ids in owners.values() for i in ids]
+        self.first_item = np.cumsum([0, *map(len, owners.values())])
 
     def word_ids(self, h: np.ndarray) -> np.ndarray:
+        """1 and above for words of the benchmark, 0 for others."""
         if not len(self.vocabulary):
-            return np.zeros(len(h), np.uint32)
+            return np.zeros(len(h), np.int64)
         k = np.searchsorted(self.vocabulary, h)
         k[k == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[k] == h, k + 1, 0).astype(np.uint32)
-
-    def occurrences(self, words):
-        """(document, word in it, item, word in it, window length) of every occurrence of every window, as arrays."""
-        none = tuple(np.zeros(0, np.int64) for _ in range(5))
-        h = words.hashes()
-        if not len(h) or not self.groups:
-            return none
-        near = np.zeros(len(h), bool)
-        for seed in {g[5] for g in self.groups}:
-            r = runs(h, seed)
-            near[: len(r)] |= np.isin(r, np.unique(np.concatenate([g[6] for g in self.groups if g[5] == seed])))
-        at = np.flatnonzero(near)
-        if not len(at):
-            return none
-        doc = np.searchsorted(words.first, at, "right") - 1
-        stop = words.first[1:][doc]
-        keys = _keys(self.word_ids(h), at, stop, self.window)
-        order = np.argsort(keys, kind="stable")
-        suffixes, at, doc, stop = keys[order], at[order], doc[order], stop[order]
-        found = []
-        for n, windows, begin, item, item_word, _, _ in self.groups:
-            low = np.searchsorted(suffixes, windows, "left")
-            above = windows if n == self.window else (windows.astype(f"S{4 * self.window}").view(np.uint8).reshape(len(windows), -1) | np.where(np.arange(4 * self.window) >= 4 * n, 255, 0).astype(np.uint8)).view(f"S{4 * self.window}").ravel()
-            high = np.searchsorted(suffixes, above, "right")
-            hit = np.flatnonzero(high > low)
-            if not len(hit):
-                continue
-            spread = lambda a, b: np.repeat(a, b - a) + np.arange((b - a).sum()) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
-            window, suffix = np.repeat(hit, (high - low)[hit]), spread(low[hit], high[hit])
-            ok = at[suffix] + n <= stop[suffix]
-            window, suffix = window[ok], suffix[ok]
-            k = np.repeat(suffix, (begin[1:] - begin[:-1])[window])
-            place = spread(begin[window], begin[window + 1])
-            found.append((doc[k], at[k] - words.first[doc[k]], item[place], item_word[place], np.full(len(k), n)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else none
-
-
-def _longest(doc, word, item, item_word, n):
-    """Joins windows that follow each other on one diagonal of (document, item) into maximal matches."""
-    order = np.lexsort((word, word - item_word, item, doc))
-    doc, word, item, item_word, n = (x[order] for x in (doc, word, item, item_word, n))
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (word[1:] - item_word[1:] != word[:-1] - item_word[:-1]) | (word[1:] != word[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first, len(doc))[1:] - 1
-    return doc[first], word[first], item[first], item_word[first], word[last] + n[last] - word[first]
+        return np.where(self.vocabulary[k] == h, k + 1, 0)
+
+    def matches(self, words):
+        """(document, word in it, text, word in it, words) of every maximal match of at least a window, as arrays."""
+        e = _separated(self.word_ids(words.hashes()), words.first)
+        order = suffix_array(e, self.depth)
+        t, found, depth = self.suffixes, [], 1
+        heads = e[order]
+        low, high = np.searchsorted(heads, self.words[t], "left"), np.searchsorted(heads, self.words[t], "right")
+        while len(t := t[alive := high > low]):
+            low, high = low[alive], high[alive]
+            word = self.words[t + depth]
+            inner = _bound(e, order, depth, low, high, word, False)
+            outer = np.where(word > 0, _bound(e, order, depth, inner, high, word, True), inner)
+            full = self.need[t] <= depth
+            for a, z in ((low, inner), (outer, high)):
+                for suffix, k in _spread(t[full], a[full], z[full]):
+                    p = order[k]
+                    new = (e[p - 1] == 0) | (e[p - 1] != self.words[suffix - 1])  # before the first word there is a 0, at the end of the array
+                    found.append((p[new], suffix[new], np.full(int(new.sum()), depth)))
+            low, high, depth = inner, outer, depth + 1
+        p, suffix, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        begin = words.first[:-1] + np.arange(len(words.counts))
+        doc = np.searchsorted(begin, p, "right") - 1
+        return doc, p - begin[doc], self.text[suffix], self.place[suffix], n
+
+    def by_item(self, words):
+        """matches() for each item that has the text: (document, word in it, item, word in it, words), in order of the documents."""
+        doc, word, text, place, n = self.matches(words)
+        many = (self.first_item[1:] - self.first_item[:-1])[text]
+        item = np.repeat(self.first_item[text] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        doc, word, place, n = (np.repeat(x, many) for x in (doc, word, place, n))
+        order = np.lexsort((place, item, word, doc))
+        return doc[order], word[order], item[order], place[order], n[order]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    total = benchmark.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first()["n"]
+    rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).distinct()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // BLOCK_BYTES))
     for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == k).select(F.col(item).cast("string").alias("i"), F.col(text).alias("t")).collect()
-        yield [r.i for r in rows], [r.t for r in rows]
+        block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        yield n, [r.i for r in block], [r.t for r in block]
+
+
+def _digests(counts: np.ndarray, doc: np.ndarray, word: np.ndarray, n: np.ndarray, item: list[str]):
+    """n_hit, n_items and items_sha256 of each document from its matches."""
+    base = np.concatenate(([0], np.cumsum(counts)))
+    cover = np.zeros(base[-1] + 1, np.int64)
+    np.add.at(cover, base[doc] + word, 1)
+    np.add.at(cover, base[doc] + word + n, -1)
+    hit = np.concatenate(([0], np.cumsum(np.cumsum(cover)[:-1] > 0)))
+    n_items, shas = np.zeros(len(counts), np.int64), np.full(len(counts), sha256(b""), object)
+    cuts = np.searchsorted(doc, np.arange(len(counts) + 1))
+    for d in np.unique(doc):
+        ids = sorted(set(item[cuts[d] : cuts[d + 1]]))
+        n_items[d], shas[d] = len(ids), sha256(",".join(ids).encode())
+    return hit[base[1:]] - hit[base[:-1]], n_items, shas
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", bench_text: str = "text") -> DataFrame:
     """Adds n_words, n_hit, n_items, items_sha256, contaminated and matches (maximal runs, with places) to each row.
 
     Null or wordless texts have no words and are never hit; an item without words has no window. A
-    null item_id is listed as `None`; items that share an id count once. An empty benchmark leaves all clean.
-    Columns of these names are replaced."""
+    null item_id is listed as `None`; items that share an id count once, and rows that repeat stand alike. Very long texts are a shard of
+    their own. An empty benchmark leaves all clean; an empty table stays empty. Columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("matches", MATCHES)]
     kept = docs.drop(*(n for n, _ in fields))
     out = T.StructType([*kept.schema.fields, *(T.StructField(*f) for f in fields)])
-    partial = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("matches", MATCHES)])
-    df = kept
-    for ids, texts in _blocks(benchmark, item, bench_text):
+    numbered, parts, tables = None, [], None
+    for k, (n, ids, texts) in enumerate(_blocks(benchmark, item, bench_text)):
         shared = spark.sparkContext.broadcast(Benchmark(ids, texts, window))
-        df = df.mapInArrow(_finder(shared, text, partial, "matches" in df.columns and df is not kept), partial)
-    return df.mapInArrow(_summary(out, [n for n, _ in fields]), out)
-
-
-def _finder(shared, text, schema, more):
-    columns = schema.names[:-2]
+        if n == 1:
+            return kept.mapInArrow(_finder(shared, text, out), out)
+        if k == 0:
+            tables = Tables(spark, "decontaminate")
+            numbered = tables.put(kept.withColumn("__row", F.monotonically_increasing_id()), "documents")
+        partial = T.StructType([T.StructField("__row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("matches", MATCHES)])
+        parts.append(tables.put(numbered.select("__row", F.col(text).alias("__text")).mapInArrow(_finder(shared, "__text", partial), partial).where((F.size("matches") > 0) | F.lit(k == 0)), f"matches-{k}"))
+        shared.destroy()
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.union(p.withColumn("n_words", F.lit(0).cast("long")))
+    found = found.groupBy("__row").agg(F.sum("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))  # one document's matches
+    joined = numbered.join(found, "__row").drop("__row")
+    return joined.select(*kept.columns, "n_words", "matches").mapInArrow(_summary(out), out)
+
+
+def _lists(doc: np.ndarray, rows: int, item: pa.Array, place: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([item, *(pa.array(x, pa.int64()) for x in (place, word, n))], fields=list(MATCH)))
+
+
+def _finder(shared, text, schema):
+    """The columns of schema: those of the input, n_words, the digests if schema has them, and matches."""
+    names = schema.names
 
     def run(batches):
         bench = shared.value
-        for whole in batches:
-            for b in passes(whole, text):
-                words = words_of(b, ALNUM_WORD, lower=True, column=text)
-                rows = [[] for _ in range(b.num_rows)] if not more else [list(x) for x in b.column("matches").to_pylist()]
-                for d, w, i, iw, n in zip(*(x.tolist() for x in _longest(*bench.occurrences(words))), strict=True):
-                    rows[d].append({"item_id": bench.items[i], "item_word": iw, "doc_word": w, "n_words": n})
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(words.counts.astype(np.int64)), pa.array(rows, pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])))], names=schema.names)
+        for b in gathered(batches, text, SHARD_BYTES):
+            words = words_of(b, ALNUM_WORD, lower=True, column=text)
+            doc, word, item, place, n = bench.by_item(words)
+            ids = pa.array(bench.items, pa.string()).take(pa.array(item)) if len(item) else pa.array([], pa.string())
+            made = {"n_words": pa.array(words.counts, pa.int64()), "matches": _lists(doc, b.num_rows, ids, place, word, n)}
+            if "n_hit" in names:
+                made |= _digest_columns(_digests(words.counts, doc, word, n, ids.to_pylist()))
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in names], names=names)
 
     return run
 
 
-def _summary(schema, names):
-    columns = [c for c in schema.names if c not in names]
+def _digest_columns(digests) -> dict[str, pa.Array]:
+    n_hit, n_items, shas = digests
+    return {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array(n_hit > 0)}
+
+
+def _summary(schema):
+    """The digests of documents whose matches come from several blocks."""
 
     def run(batches):
-        empty = sha256(b"")
         for b in batches:
-            n_hit, n_items, shas = [], [], []
-            for m in b.column("matches").to_pylist():
-                covered, end = 0, 0
-                for a, z in sorted((x["doc_word"], x["doc_word"] + x["n_words"]) for x in m):
-                    covered += max(0, z - max(a, end))
-                    end = max(end, z)
-                ids = sorted({x["item_id"] for x in m})
-                n_hit.append(covered)
-                n_items.append(len(ids))
-                shas.append(sha256(",".join(ids).encode()) if ids else empty)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), b.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), b.column("matches")], names=schema.names)
+            lists = b.column("matches")
+            doc, flat = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+            word, n = (flat.field(c).to_numpy() for c in ("doc_word", "n_words"))
+            made = _digest_columns(_digests(b.column("n_words").to_numpy(), doc, word, n, flat.field("item_id").to_pylist()))
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in schema.names], names=schema.names)
 
     return run
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any benchmark window, with their own columns."""
+    """The documents without any benchmark window, with their own columns. Handles all that find() does."""
     return find(docs, benchmark, window).where(~F.col("contaminated")).select(*docs.columns)

@@ -200,6 +200,26 @@ def passes(batch: pa.RecordBatch, column: str = "text", most: int = PASS_BYTES):
         at = to
 
 
+def gathered(batches, column: str, most: int):
+    """Batches of about `most` bytes of text, or one row that has more: small ones are joined, large ones split."""
+    held, size = [], 0
+
+    def joined():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return passes(table.to_batches()[0], column, most)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += int(text_bytes(b.column(column))[1][-1])
+        if size >= most:
+            yield from joined()
+            held, size = [], 0
+    if held:
+        yield from joined()
+
+
 def words_of(batch: pa.RecordBatch, is_word: np.ndarray, lower: bool = False, column: str = "text") -> Words:
     data, offsets = text_bytes(batch.column(column))
     return Words(LOWER[data] if lower else data, offsets, is_word)

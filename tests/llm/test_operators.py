@@ -499,6 +499,38 @@ def test_mixing_solves_the_dual(spark):
 # --- 10 -----------------------------------------------------------------------------------------
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=30), min_size=1, max_size=5), st.integers(1, 40))
+def test_suffix_array(texts, depth):
+    e = np.array([x for t in texts for x in [*t, 0]], np.int64)
+    order = decontaminate.suffix_array(e, depth)
+    tail = lambda p: e[p : p + int(np.flatnonzero(e[p:] == 0)[0])].tolist()[:depth]
+    assert sorted(order.tolist()) == np.flatnonzero(e).tolist()
+    tails = [tail(p) for p in order]
+    assert tails == sorted(tails)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab c", max_size=40), min_size=1, max_size=4), st.lists(st.text("ab c", max_size=30), min_size=1, max_size=4), st.integers(1, 4))
+def test_maximal_matches(texts, items, window):
+    """Every maximal match of a window or more, and no other."""
+    bench = decontaminate.Benchmark(list(range(len(items))), items, window)
+    words = shared.words_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), shared.ALNUM_WORD, lower=True)
+    got = sorted((int(d), int(w), int(bench.items[i]), int(p), int(n)) for d, w, i, p, n in zip(*bench.by_item(words), strict=True))
+    want = []
+    for d, t in enumerate(texts):
+        for i, b in enumerate(items):
+            x, y = t.split(), b.split()
+            for p in range(len(x)):
+                for q in range(len(y)):
+                    n = 0
+                    while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
+                        n += 1
+                    if n >= min(window, len(y)) and not (p and q and x[p - 1] == y[q - 1]):
+                        want.append((d, p, i, q, n))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("block", [1 << 24, 200])
 def test_decontamination(spark, docs, empty, rows, block, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
