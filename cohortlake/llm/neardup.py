@@ -11,8 +11,11 @@
 5. In each list the classes are compared with a few pivots, and in short lists with each other. A pair
    is estimated from the bottom-k sketch of its union and then verified on the whole sets. Linked
    classes contract into components; what is left are pairs in a list from different
-   components, which are all compared. So no list of similar texts is expanded into all its
-   pairs, and no link that joins two components is missed.
+   components, which are all compared where their sizes and the values from there on allow a link. So no list of
+   similar texts is expanded into all its pairs, and no link that joins two components is missed. (Many classes that share
+   all their values with others, yet are unlike each other, remain to be compared.)
+
+Keys that many rows share, a common value, a digest of many copies, a pivot or the centre of a star, are split over tasks.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .shared import WHITE_WORD, Tables, passes, runs, small_batches, words_of
+from .sharding import global_row_numbers
+from .shared import HEAVY_ROWS, WHITE_WORD, Tables, passes, runs, small_batches, spread_join, words_of
 
 SKETCH = 256
 LOW = 32
@@ -118,7 +122,8 @@ def _shared_values(near: DataFrame, tables: Tables, column: str, need, name: str
     A class's values are ordered by how many classes have them; lone counts those that no other has, left the values from v on."""
     values = near.select("node", "n", F.size(column).alias("size"), F.explode(column).alias("v"))
     often = values.groupBy("v").count().where("count > 1")
-    per = values.join(often, "v").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("common"))  # a class's own values
+    total = near.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
+    per = spread_join(values, often, "v", total, "node").groupBy("node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("count", "v"))).alias("common"))  # a class's own values
     per = per.withColumn("prefix", (F.size("common") - need + 1).cast("int")).where("prefix >= 1")  # the lone values of the class come first in its order
     each = per.select("node", "n", "size", F.size("common").alias("m"), F.posexplode(F.slice("common", 1, F.col("prefix"))).alias("i", "x"))
     return tables.put(each.select(F.col("x.v").alias("v"), "node", "n", (F.col("size") - F.col("m")).cast("int").alias("lone"), (F.col("m") - F.col("i")).cast("int").alias("left")), name)
@@ -140,9 +145,15 @@ class _Verifier:
         needed = F.lit(self.num) * (low + high)
         return (F.lit(self.den) * low >= F.lit(self.num) * high) & (F.lit(self.num + self.den) * F.least(left_a, left_b) >= needed)
 
+    def _with_side(self, pairs: DataFrame, x: str, by: str, total: int, side: DataFrame) -> DataFrame:
+        """pairs with the columns of side, whose key is x; a pivot of a long list is in many pairs and is split."""
+        counted = pairs.groupBy(x).count()
+        return spread_join(pairs, side.join(counted, x), x, total, by).drop("count")
+
     def links(self, pairs: DataFrame, tables: Tables, name: str) -> DataFrame:
         side = lambda x: self.near.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").where(self._sized("na", "nb"))
+        total = pairs.count()
+        both = self._with_side(self._with_side(pairs, "a", "b", total, side("a")), "b", "a", total, side("b")).where(self._sized("na", "nb"))
         inter = F.array_intersect("sa", "sb")
         whole = F.greatest("na", "nb") <= self.k
         exact = F.lit(self.den) * F.size(inter) >= F.lit(self.num) * (F.col("na") + F.col("nb") - F.size(inter))
@@ -150,7 +161,8 @@ class _Verifier:
         estimate = F.size(F.array_intersect(inter, union)) >= self.common
         passed = tables.put(both.where(F.when(whole, exact).otherwise(estimate)).select("a", "b", "na", "nb", whole.alias("whole")), f"{name}-estimated")
         sets = lambda x: self.sets.select(F.col("node").alias(x), F.col("set").alias(f"s{x}"))
-        large = passed.where("not whole").join(sets("a"), "a").join(sets("b"), "b").where(exact).select("a", "b")
+        large = passed.where("not whole")
+        large = self._with_side(self._with_side(large, "a", "b", total, sets("a")), "b", "a", total, sets("b")).where(exact).select("a", "b")
         return tables.put(passed.where("whole").select("a", "b").union(large), f"{name}-links")
 
 
@@ -165,18 +177,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     A text of fewer than `shingle` words is one shingle; without words (or null) it has none, links to nothing and is
     its own component. component_id is the least doc_id reachable; kept is doc_id = component_id. A null doc_id takes
     part and is kept only if no doc_id of its component is not null. Rows that repeat a doc_id are
-    rows of their own. An empty table gives an empty table."""
+    rows of their own; equal texts are one class, whatever their number. Very long texts are taken whole. An empty table gives an empty table."""
     spark = docs.sparkSession
     tables = Tables(spark, "neardup")
     low_common, common = least_common(LOW, num, den, 1e-9), least_common(k, num, den)
     need = F.when(F.col("n") <= k, _shown(num, den, k)).otherwise(F.lit(common)).cast("int")
     rows = tables.put(sketches(docs, doc_id, text, shingle, k), "sketches")
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("low").alias("low"))
+    classes = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("low").alias("low"), F.count("*").alias("copies"))
     classes = tables.put(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     values = classes.select("node", "n", F.explode("low").alias("v"))
-    often = values.groupBy("v").count().where("count > 1").select("v")
-    found = values.join(often, "v").groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.when(F.col("n") <= LOW, _shown(num, den, LOW)).otherwise(F.lit(low_common)))
+    often = values.groupBy("v").count().where("count > 1")
+    total, members = classes.agg(F.coalesce(F.sum(F.size("low")), F.lit(0)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    found = spread_join(values, often, "v", total, "node").groupBy("node", "n").agg(F.count("*").alias("c")).where(F.col("c") >= F.when(F.col("n") <= LOW, _shown(num, den, LOW)).otherwise(F.lit(low_common)))
     near = classes.join(found.select("node"), "node", "left_semi").select("node", "digest", "first")
     sketch = F.concat("low", "rest")
     near = near.join(rows.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("first").eqNullSafe(F.col("id"))).select("node", "n", "digest", F.col("id").alias("first"), sketch.alias("sketch"))
@@ -185,8 +198,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     tables.drop("sketches")
 
     first = _shared_values(near, tables, "sketch", need, "sketch-lists")
-    met = first.groupBy("v").count().where("count > 1").select("v")
-    near = tables.put(near.join(first.join(met, "v", "left_semi").select("node").distinct(), "node", "left_semi"), "candidates")
+    met = first.groupBy("v").count().where("count > 1")
+    near = tables.put(near.join(spread_join(first, met, "v", first.count(), "node").select("node").distinct(), "node", "left_semi"), "candidates")
     tables.drop("near")
     tables.drop("sketch-lists")
     large = near.where(F.col("n") > k)
@@ -197,33 +210,40 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     lists = _shared_values(sets, tables, "set", _at_least(num, den).cast("int"), "lists")
     labels = _search(lists, _Verifier(near, sets, k, num, den, common), tables)
 
-    firsts = classes.select("node", "digest", "first").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
-    member = firsts.join(least, "component").select("digest", "component_id")
-    out = rows.select("id", "n", "digest").join(member, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    firsts = classes.select("node", "digest", "first", "copies").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = firsts.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("count"))
+    member = spread_join(firsts, least, "component", members, "node").select("digest", "component_id", F.col("copies").alias("count"))
+    member = tables.put(member, "members")
+    tables.keep("members", "digests")
+    out = spread_join(rows.where("n > 0"), member, "digest", members, "id").select("id", "n", "component_id")
+    out = out.union(rows.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _search(lists: DataFrame, verifier: _Verifier, tables: Tables) -> DataFrame:
-    labels, links, tested = None, None, None
+    labels, links, tested, total = None, None, None, lists.count()
     ordered = lambda df: df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    both = lambda df, *c: (df.select("v", *(F.col(n).alias(f"{n}{s}") for n in ("node", "n", "left", *c))) for s in "xy")
+    side = lambda df, s, *c: df.select(*c, *(F.col(n).alias(f"{n}{s}") for n in ("node", "n", "left", "component")))
     possible = verifier.possible(F.col("nx"), F.col("ny"), F.col("leftx"), F.col("lefty"))
+    nodes = [F.col("nodex").alias("x"), F.col("nodey").alias("y")]
     for k in range(PIVOT_ROUNDS + 1):
         now = lists.withColumn("component", F.col("node")) if labels is None else lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         # pivots are the classes with the fewest values of their own, which are alike to most others; more loosely in each round
         rank = F.struct(F.floor(F.col("lone") / F.lit(1 << k)).alias("r"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "component", "n", "left")
-        mixed = now.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"), F.min(rank).alias("p")).where("c0 <> c1")
+        mixed = now.groupBy("v").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("count"), F.min(rank).alias("p")).where("c0 <> c1")
+        met = tables.put(spread_join(now, mixed.select("v", "count", "p"), "v", total, "node"), f"met-{k}")
         if k == PIVOT_ROUNDS:
-            x, y = both(tables.put(now.join(mixed.select("v"), "v", "left_semi"), "open"), "component")
-            pairs = ordered(x.join(y, (x["v"] == y["v"]) & (F.col("componentx") < F.col("componenty")) & possible).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
+            # a long list is dealt over parts by one side, and each part sees the other
+            parts = F.ceil(F.col("count") / HEAVY_ROWS).cast("int")
+            x = side(met.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "x", "v", "part")
+            y = side(met.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "y", "v", "part")
+            pairs = x.join(y, ["v", "part"]).where((F.col("componentx") < F.col("componenty")) & possible).select(*nodes)
         else:
-            pairs = now.join(mixed.select("v", "p"), "v").where("component <> p.component").where(verifier.possible(F.col("n"), F.col("p.n"), F.col("left"), F.col("p.left"))).select(F.col("p.node").alias("x"), F.col("node").alias("y"))
+            pairs = met.where("component <> p.component").where(verifier.possible(F.col("n"), F.col("p.n"), F.col("left"), F.col("p.left"))).select(F.col("p.node").alias("x"), F.col("node").alias("y"))
             if k == 0:
-                x, y = both(now.join(mixed.where(F.col("size") <= SHORT_LIST).select("v"), "v", "left_semi"))
-                pairs = pairs.union(x.join(y, (x["v"] == y["v"]) & (F.col("nodex") < F.col("nodey")) & possible).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")))
-            pairs = ordered(pairs)
+                short = met.where(F.col("count") <= SHORT_LIST)
+                pairs = pairs.union(side(short, "x", "v").join(side(short, "y", "v"), "v").where((F.col("nodex") < F.col("nodey")) & possible).select(*nodes))
+        pairs = ordered(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = tables.put(pairs, f"pairs-{k}")
@@ -234,13 +254,19 @@ def _search(lists: DataFrame, verifier: _Verifier, tables: Tables) -> DataFrame:
     return labels
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id") -> DataFrame:
-    """docs without near duplicates: of each component the row of the least doc_id stays.
-
-    Rows that share a kept doc_id are told apart no further: one of them stays."""
-    found = Tables(docs.sparkSession, "keep").put(near_duplicates(docs, shingle, num, den, doc_id), "found")
-    ids = found.groupBy(F.col(doc_id).alias("__id")).agg(F.bool_or("kept").alias("kept"))
-    gone = ids.where("not kept").select("__id")
-    out = docs.join(_small(gone), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
-    repeated = found.groupBy(doc_id).count().where("count > 1").limit(1).count()
-    return out.dropDuplicates([doc_id]) if repeated else out
+def keep_first(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without near duplicates: of each component one row stays, that of the least doc_id (nulls last), then the least text.
+
+    Where rows repeat a doc_id, rows are numbered in that order and judged by their numbers, so each counts by its own text. All else as
+    near_duplicates() has it: texts without words stay, all columns stay, an empty table stays empty."""
+    tables = Tables(docs.sparkSession, "keep")
+    repeated = docs.groupBy(doc_id).count().where("count > 1").limit(1).count()
+    if not repeated:
+        found = tables.put(near_duplicates(docs, shingle, num, den, doc_id, text), "found")
+        return docs.join(_small(found.where("not kept").select(F.col(doc_id).alias("__id"))), F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    keyed = docs.withColumn("__null", F.col(doc_id).isNull())
+    numbered, _ = global_row_numbers(keyed, ["__null", doc_id, text], tables, number="__row")
+    numbered = tables.put(numbered.drop("__null"), "numbered")
+    tables.keep("numbered")
+    gone = tables.put(near_duplicates(numbered, shingle, num, den, "__row", text).where("not kept").select("__row"), "gone")
+    return numbered.join(_small(gone), "__row", "left_anti").select(*docs.columns)

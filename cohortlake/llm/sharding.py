@@ -52,8 +52,8 @@ def permuted(row: Column, n: int, seed: int = 0) -> Column:
     return F.when(out < n, out).otherwise(F.raise_error(F.lit("cycle walking took too long")).cast("long"))
 
 
-def global_row_numbers(df: DataFrame, keys: list[str], tables: Tables, name: str = "ranged") -> tuple[DataFrame, int]:
-    """Adds `row`, 0-based in the order of keys, without a task that sees all rows: range partitions
+def global_row_numbers(df: DataFrame, keys: list[str], tables: Tables, name: str = "ranged", number: str = "row") -> tuple[DataFrame, int]:
+    """Adds `number`, 0-based in the order of keys, without a task that sees all rows: range partitions
     are sorted and written; each row's number is its place in its file plus the rows of earlier files."""
     pid, seq = "__pid", "__seq"
     ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
@@ -64,7 +64,7 @@ def global_row_numbers(df: DataFrame, keys: list[str], tables: Tables, name: str
     counts = ranged.groupBy(pid).agg(F.count("*").alias("__n"))
     starts = counts.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     n = counts.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
-    return ranged.join(starts.select(pid, "__start"), pid).withColumn("row", F.col("__start") + F.col(seq)).drop(pid, seq, "__start"), n
+    return ranged.join(starts.select(pid, "__start"), pid).withColumn(number, F.col("__start") + F.col(seq)).drop(pid, seq, "__start"), n
 
 
 def shard(df: DataFrame, shards: int, keys: list[str], seed: int = 0) -> DataFrame:

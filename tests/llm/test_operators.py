@@ -170,12 +170,35 @@ def test_sets_that_fit_in_larger_ones(spark, num, sizes):
     assert {x.doc_id: x.component_id for x in got.collect()} == dict(enumerate(label))
 
 
-def test_keep_first(docs, rows):
+def test_keep_first(docs, rows, empty):
+    """Each component keeps one row: of the least doc_id (nulls last), then the least text. Rows that repeat an id count by their own text."""
     kept = neardup.keep_first(docs, 3, 85)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids))
-    assert 17 in ids and 18 not in ids
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or ""))
+    label, _ = brute.components([r[1] for r in ordered], 3, 85, 100)
+    want = sorted(map(str, (ordered[k] for k in range(len(ordered)) if label[k] == k)))
+    assert sorted(str(tuple(r)) for r in kept.collect()) == want
+    assert sorted(str(tuple(r)) for r in neardup.keep_first(docs.repartition(5), 3, 85).collect()) == want
+    single = [r for r in rows if r[0] is not None and r[0] != 11][:-1]
+    got = neardup.keep_first(docs.sparkSession.createDataFrame(single, SCHEMA), 3, 85)
+    label, _ = brute.components([r[1] for r in single], 3, 85, 100)
+    assert sorted(r.doc_id for r in got.collect()) == [single[k][0] for k in range(len(single)) if label[k] == k]
+    assert neardup.keep_first(empty).count() == 0
+
+
+def test_heavy_keys_are_split(docs, rows, monkeypatch):
+    """The same rows where every key of more than two rows is split."""
+    a = sorted(map(str, neardup.near_duplicates(docs, 3, 85).collect()))
+    monkeypatch.setattr(shared, "HEAVY_ROWS", 2)
+    monkeypatch.setattr(neardup, "HEAVY_ROWS", 2)
+    assert sorted(map(str, neardup.near_duplicates(docs, 3, 85).collect())) == a
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k if i % 3 else None, i) for k in range(5) for i in range(10 ** (k // 2) * 3)], "k int, i int")
+    per = rows.groupBy("k").count()
+    got = shared.spread_join(rows, per, "k", rows.count(), "i").collect()
+    assert sorted((r.k, r.i, r["count"]) for r in got) == sorted((r.k, r.i, r["count"]) for r in rows.join(per, "k").collect())
 
 
 def test_large_group_of_near_copies(spark):
