@@ -412,21 +412,61 @@ def test_secret_forms(spark):
 
 
 def test_forest_held_out(spark):
-    """Held-out accuracy on labelled findings of two kinds."""
+    """Held-out accuracy on a caller's labelled findings of two kinds."""
     from pyspark.sql import functions as F
 
     r = random.Random(4)
     token = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n)) + "7"
     rows = [(i, f"value {token('abcdefGHIJKL0123456789', 32) if i % 2 else 'configuration-of-the-server-' + str(i)} end", "s") for i in range(400)]
     found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    words = spark.createDataFrame([("configuration",), ("server",), ("the",)], "piece string")
-    t = secrets.features(found, words).withColumn("label", (F.col("doc_id") % 2).cast("double")).cache()
-    model = secrets.train(t.where("doc_id < 200"))
-    from pyspark.ml.feature import VectorAssembler
-
-    out = model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(t.where("doc_id >= 200")))
+    words = spark.createDataFrame([("configuration", 9), ("server", 7), ("the", 20)], "piece string, n long")
+    t = secrets.features(found, words, secrets.transitions(words), Tables(spark, "test")).withColumn("label", (F.col("doc_id") % 2).cast("double")).cache()
+    out = secrets._scored(secrets.train(t.where("doc_id < 200")), t.where("doc_id >= 200"))
     assert out.where("prediction = label").count() >= 0.98 * out.count()
     assert secrets.train(t.where("label = 1")) is None
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {x.secret for x in secrets.scan(docs, labelled=t.where("label = 0")).collect()} == {False}
+    assert {x.secret for x in secrets.scan(docs, labelled=t.limit(0)).collect()} == {True}
+
+
+def test_planted_held_out(spark):
+    """Precision and recall on planted findings that the forest has not seen; labels come from how values are made, not from features."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    x = secrets.held_out(docs, total=3000).first()
+    assert x.n > 400 and x.precision > 0.97 and x.recall > 0.97
+    tables = Tables(spark, "test")
+    found = secrets.planted(docs, tables, total=3000)
+    made = spark.read.parquet(tables.path("planted"))
+    assert 2500 < made.count() < 3500
+    seen = found.where("label = 1").select("doc_id").distinct().count()
+    assert seen > 0.98 * made.where("id.label = 1").count()  # the candidate rules find what is planted
+
+
+def test_transitions(spark):
+    words = spark.createDataFrame([("aba", 2), ("ab1", 3)], "piece string, n long")
+    t = secrets.transitions(words).first().t
+    at = lambda a, b: t[secrets.SIGNS.index(a) * 36 + secrets.SIGNS.index(b)]
+    assert at("a", "b") == pytest.approx(np.log((5 + 1) / (5 + 36)))
+    assert at("b", "a") == pytest.approx(np.log((2 + 1) / (5 + 36)))
+    assert at("z", "a") == pytest.approx(np.log(1 / 36))
+
+
+def test_equal_findings_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "TRAIN_ROWS", 50)
+    rows = [(*(float(i if i < 60 else 1) + k for k in range(len(secrets.FEATURES))), float(i % 2)) for i in range(4000)]
+    model = secrets.train(spark.createDataFrame(rows, [*secrets.FEATURES, "label"]))
+    assert model is not None and model.trees[0].numNodes >= 1
+
+
+def test_secrets_of_odd_rows(spark):
+    """Null ids, repeated rows, equal tokens, a long text in one word, and columns with names of the result."""
+    hexes = hashlib.sha256(b"x").hexdigest()[:48]
+    long_ = "{" + ",".join(f'"k{i}":"v{i}"' for i in range(4000)) + f',"api_key":"{hexes}"' + "}"
+    rows = [(None, f'token = "{hexes}"', "s", "x", 0.5), (1, f'token = "{hexes}"', "s", "x", 0.5), (1, f'token = "{hexes}"', "s", "x", 0.5), (2, long_, None, "y", None), (3, None, "s", None, None), (4, "", None, None, None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string, token string, probability double")).collect()
+    mine = [(r.doc_id, r.word, r.secret) for r in got if r.token == hexes]
+    assert sorted(mine, key=str) == sorted([(None, 2, True), (1, 2, True), (1, 2, True), (2, 0, True)], key=str)
+    assert len({r.probability for r in got if r.token == hexes and r.doc_id != 2}) == 1
 
 
 # --- 8 ------------------------------------------------------------------------------------------
