@@ -56,7 +56,9 @@ def global_row_numbers(df: DataFrame, keys: list[str], tables: Tables, name: str
     """Adds `number`, 0-based in the order of keys, without a task that sees all rows: range partitions
     are sorted and written; each row's number is its place in its file plus the rows of earlier files."""
     pid, seq = "__pid", "__seq"
-    ranged = df.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys]).sortWithinPartitions(*[F.col(k).asc_nulls_first() for k in keys])
+    # rows that agree in all keys, however many, are told apart by where they were read, so that they need not share a partition
+    order = [F.col(k).asc_nulls_first() for k in (*keys, "__tie")]
+    ranged = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
     # the id holds the partition above bit 33 and the place in it below
     ranged = tables.put(ranged.withColumn("__id", F.monotonically_increasing_id()), name)
     ranged = ranged.withColumn(pid, F.shiftright("__id", 33)).withColumn(seq, F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id")
