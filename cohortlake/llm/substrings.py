@@ -1,7 +1,7 @@
 """Removal of passages that repeat across a corpus, with a count-min prefilter.
 
 A window is `window` consecutive words of one document. Documents are dealt by a hash of their id into
-chunks of about CHUNK_BYTES of text; what repeats inside a chunk is settled there, so a passage
+chunks of CHUNK_BYTES of text or more; what repeats inside a chunk is settled there, so a passage
 reaches the other steps once for each chunk at most, however often it occurs.
 
 1. Each chunk sends a partial sketch of its distinct windows: the cells of a count-min row they fall into,
@@ -22,19 +22,22 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .shared import WHITE_WORD, passes, runs, small_batches, words_of
+from .sharding import global_row_numbers
+from .shared import WHITE_WORD, Tables, passes, runs, small_batches, words_of
 
+#: Bytes of text of a chunk, and cells of a slice, which one task merges (2 ** 26 cells hold about 4 million windows), for up to SMALL bytes of
+#: text. Both grow with the square root of larger inputs, to 8 and 4 times that, so that the parts that a chunk sends to a
+#: slice do not get small: at 100 TB they still hold some ten windows. Results do not depend on them.
 CHUNK_BYTES = 8 << 20
-CELLS = 16
-#: Cells of a slice, which one task merges: 2 ** 26 hold about 4 million windows.
 SLICE_BITS = 26
+SMALL = 100 << 30
+CELLS = 16
 
 PACKED = T.StructType([T.StructField("slice", T.LongType()), T.StructField("chunk", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("packed", T.BinaryType())])
 
@@ -62,12 +65,8 @@ class _Chunk:
     """The documents of a chunk in order, and their windows' hashes: first[i] is the first window of the i-th distinct hash."""
 
     def __init__(self, table: pa.Table, window: int, doc_id: str, text: str):
-        self.table = table.sort_by([(doc_id, "ascending"), (text, "ascending")]) if table.num_rows > 1 else table
-        if self.table.column(doc_id).null_count:  # nulls come first
-            nulls = pc.is_null(self.table.column(doc_id))
-            self.table = pa.concat_tables([self.table.filter(nulls), self.table.filter(pc.invert(nulls))])
-        ids = self.table.column(doc_id).combine_chunks()
-        self.ids = np.asarray(ids.fill_null(np.iinfo(np.int64).min), np.int64) if len(ids) else np.zeros(0, np.int64)
+        self.table = table.sort_by(doc_id)
+        self.ids = np.asarray(self.table.column(doc_id), np.int64)
         self.words, parts, at, doc = [], [], 0, 0
         for batch in self.table.select([text]).combine_chunks().to_batches():
             for b in passes(batch, text):
@@ -82,10 +81,10 @@ class _Chunk:
         order, new = _grouped(self.h1, self.h2)
         self.first = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
 
-    def sliced(self, bits: int):
-        """(slice, indices into first of its distinct hashes, in order of their cell, and the cells in the slice)."""
-        cell = self.h1[self.first] >> np.uint64(64 - bits)  # first is in order of h1
-        piece = (cell >> np.uint64(SLICE_BITS)).astype(np.int64) if bits > SLICE_BITS else np.zeros(len(cell), np.int64)
+    def sliced(self, bits: tuple[int, int]):
+        """(slice, indices into first of its distinct hashes, in order of their cell, and the cells in the slice); bits of all cells, and of a slice's."""
+        cell = self.h1[self.first] >> np.uint64(64 - bits[0])  # first is in order of h1
+        piece = (cell >> np.uint64(bits[1])).astype(np.int64) if bits[0] > bits[1] else np.zeros(len(cell), np.int64)
         cuts = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(piece)) if len(piece) else np.zeros(1, np.int64)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield int(piece[a]), np.arange(a, b), cell[a:b]
@@ -124,7 +123,7 @@ def _merge(table):
     return _rows(found)
 
 
-def _estimated(chunk: _Chunk, bits: int, flags: dict[int, bytes]):
+def _estimated(chunk: _Chunk, bits: tuple[int, int], flags: dict[int, bytes]):
     """(slice, indices into first) of the windows that the merged sketch counts more than once."""
     for s, index, cells in chunk.sliced(bits):
         new = np.append(True, cells[1:] != cells[:-1])
@@ -212,20 +211,26 @@ def remove_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", te
     """Adds n_words, n_removed, kept_text and removed (runs of removed words) to each row.
 
     A word goes if some window of `window` words covers it whose words also start earlier: in a document of lesser id, or
-    before in the same one. Ids are integers; a null id is less than all others. Rows that repeat an id count in
-    order of their text. Null texts have no words and an empty kept_text; texts shorter than a window keep all.
-    An empty table stays empty. Columns of these names are replaced."""
+    before in the same one. A null id is less than all others. Rows that repeat an id count in
+    order of their text; where ids repeat, are null or are no integers, rows are numbered in that order first, so that equal ids
+    need not share a task. Null texts have no words and an empty kept_text; texts shorter than a window keep all; very long ones are taken
+    whole. An empty table stays empty. Columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("n_words", T.LongType())])))]
     kept = docs.drop(*(f.name for f in fields))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // CHUNK_BYTES))
-    bits = min(60, max(16, math.ceil(math.log2(max(1, size / 6) * CELLS))))
-    dealt = kept.withColumn("__chunk", F.pmod(F.xxhash64(doc_id), F.lit(chunks)))
+    growth = math.sqrt(max(1.0, size / SMALL))
+    chunks = max(1, -(-size // int(CHUNK_BYTES * min(8.0, growth))))
+    bits = min(60, max(16, math.ceil(math.log2(max(1, size / 6) * CELLS)))), SLICE_BITS + int(math.log2(min(4.0, growth)))
+    columns, order = kept.columns, doc_id
+    if not isinstance(docs.schema[doc_id].dataType, T.IntegralType) or docs.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1)).limit(1).count():
+        order = "__row"
+        kept, _ = global_row_numbers(kept, [doc_id, text], Tables(spark, "substrings"), number=order)
+    dealt = kept.withColumn("__chunk", F.pmod(F.xxhash64(order), F.lit(chunks)))
     by_chunk = lambda df, c="chunk": df.groupBy(c)
-    flags = dealt.groupBy("__chunk").applyInArrow(_sketch(window, bits, doc_id, text), PACKED).groupBy("slice").applyInArrow(_merge, PACKED)
-    found = dealt.groupBy("__chunk").cogroup(by_chunk(flags)).applyInArrow(_candidates(window, bits, doc_id, text), PACKED)
+    flags = dealt.groupBy("__chunk").applyInArrow(_sketch(window, bits, order, text), PACKED).groupBy("slice").applyInArrow(_merge, PACKED)
+    found = dealt.groupBy("__chunk").cogroup(by_chunk(flags)).applyInArrow(_candidates(window, bits, order, text), PACKED)
     marks = flags.union(found.groupBy("slice").applyInArrow(_exact, PACKED))
-    out = T.StructType([*kept.schema.fields, *fields])
-    return dealt.groupBy("__chunk").cogroup(by_chunk(marks)).applyInArrow(_remove(window, bits, doc_id, text, to_arrow_schema(out), kept.columns), out)
+    out = T.StructType([*(kept.schema[c] for c in columns), *fields])
+    return dealt.groupBy("__chunk").cogroup(by_chunk(marks)).applyInArrow(_remove(window, bits, order, text, to_arrow_schema(out), columns), out)
