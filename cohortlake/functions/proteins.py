@@ -15,7 +15,7 @@ REGIONS = ["n_term", "mid", "c_term"]
 SAAC_COLUMNS = [f"{r}_{c}" for r in REGIONS for c in CODES]
 STANDARD = "ACDEFGHIKLMNPQRSTVWY"
 
-# The grammar of sequence edits, which is not that of the encoder.
+# The grammar of sequence edits, which is not that of the encoder. Positions are ASCII digits here, as columns and Python then agree.
 E_POINT = re.compile(r"^([A-Z*])([0-9]+)([A-Z*])$")
 E_DELETE = re.compile(r"^([A-Z])([0-9]+)del$")
 E_SHIFT = re.compile(r"^([A-Z-]?)([0-9]+)fs$")
@@ -58,6 +58,49 @@ def saac(seq: Column, mutation_str: Column, cutoff: Column | float = 0.2) -> Col
     return F.flatten(F.transform(regions, shares))
 
 
+def _ends(cutoff: Column, n: Column) -> Column:
+    return F.rint(cutoff * n).cast("int")
+
+
+def cut_counts(seq: Column, cutoffs: list[float]) -> Column:
+    """(at, counts): the places where any cutoff parts a sequence, 0 and its length among them, and how often each standard letter stands before each."""
+    s = F.coalesce(seq, F.lit(""))
+    n = F.length(s)
+    ends = [_ends(F.lit(c), n) for c in cutoffs]
+    at = F.array_sort(F.array_distinct(F.array(F.lit(0), n, *(F.least(e, n) for e in ends), *(F.greatest(n - e, F.lit(0)) for e in ends))))
+    letters = F.array(*map(F.lit, CODES[:-1]))
+    zeros = F.array_repeat(F.lit(0), len(CODES) - 1)
+
+    def counted(piece: Column) -> Column:
+        return F.transform(letters, lambda c: F.length(piece) - F.length(F.replace(piece, c, F.lit(""))))
+
+    def sums(at: Column) -> Column:
+        pieces = F.transform(F.slice(at, 2, F.size(at)), lambda z, i: counted(F.substring(s, F.get(at, i) + 1, z - F.get(at, i))))
+        step = lambda a, x: F.array_append(a, F.zip_with(F.element_at(a, -1), x, lambda p, q: p + q))
+        return F.struct(at.alias("at"), F.aggregate(pieces, F.array(zeros), step).alias("counts"))
+
+    return F.transform(F.array(at), sums)[0]
+
+
+def saac_of_counts(seq: Column, mutation_str: Column, cutoff: Column, cuts: Column) -> Column:
+    """Q6 from cut_counts(): the same array as saac() for one of its cutoffs of at most one half."""
+    n = F.length(F.coalesce(seq, F.lit("")))
+    t = _ends(cutoff, n)
+    shift = F.when((n >= 5) & F.coalesce(mutation_str.contains("fs"), F.lit(False)), 1).otherwise(0)
+    before = lambda p: F.get(cuts["counts"], F.array_position(cuts["at"], p).cast("int") - 1)
+    part = lambda a, z, fs: F.struct(F.zip_with(before(z), before(a), lambda x, y: x - y).alias("c"), (z - a).alias("n"), fs.alias("fs"))
+    none, zero = F.lit(0), F.lit(0)
+    first = F.when(n < 5, n).otherwise(t)
+    last = F.when(n < 5, n).when(t == 0, zero).otherwise(n - t)
+    regions = F.array(part(zero, first, none), part(F.least(first, last), last, none), part(last, n, shift))
+
+    def shares(r: Column) -> Column:
+        size = r["n"] + r["fs"]
+        return F.transform(F.array_append(r["c"], r["fs"]), lambda k: F.when(size > 0, k / size * 100).otherwise(F.lit(0.0)))
+
+    return F.flatten(F.transform(regions, shares))
+
+
 def saac_columns(array: Column) -> dict[str, Column]:
     return {c: F.get(array, k) for k, c in enumerate(SAAC_COLUMNS)}
 
@@ -104,6 +147,84 @@ def _edit(seq: list[str], token: str) -> tuple[list[str], bool] | None:
     return None
 
 
+#: Kinds of edits by their patterns, for columns: (kind, pattern, groups of residue, first and last place, and new letters; 0 for none).
+EDITS = [
+    ("substitution", r"^([A-Z*])([0-9]+)([A-Z])$", 1, 2, 0, 3),
+    ("stop", r"^([A-Z*])([0-9]+)([*])$", 1, 2, 0, 3),
+    ("deletion", E_DELETE.pattern, 1, 2, 0, 0),
+    ("frameshift", E_SHIFT.pattern, 1, 2, 0, 0),
+    ("replacement", r"^([A-Z])([0-9]+)delins([A-Z]+)$", 1, 2, 0, 3),
+    ("range_swap", E_SWAP_RANGE.pattern, 3, 1, 2, 4),
+    ("range_deletion", E_DELETE_RANGE.pattern, 0, 1, 2, 0),
+    ("insertion", E_INSERT.pattern, 0, 1, 2, 3),
+    ("half_insertion", E_HALF_INSERT.pattern, 1, 2, 3, 4),
+    ("range_replacement", E_REPLACE_RANGE.pattern, 0, 1, 2, 3),
+    ("changed_frameshift", E_CHANGED_SHIFT.pattern, 1, 2, 0, 0),
+]
+
+
+def parse_edit(token: Column) -> Column:
+    """Q1: (kind, residue, first, last, letters) of one token in the grammar of sequence edits; all null if it is none.
+
+    last is null for edits of one place, residue and letters where the kind has none; places beyond the range of a long are null."""
+    part = lambda p, g: F.nullif(F.regexp_extract(token, p, g), F.lit("")) if g else F.lit(None).cast("string")
+    out = F.lit(None)
+    for kind, p, old, a, z, new in reversed(EDITS):
+        made = F.struct(F.lit(kind).alias("kind"), part(p, old).alias("residue"), part(p, a).try_cast("long").alias("first"), part(p, z).try_cast("long").alias("last"), part(p, new).alias("letters"))
+        out = F.when(token.rlike(p), made).otherwise(out)
+    return out
+
+
+_PLACE = "0*[1-9][0-9]{0,8}"
+#: Mutation strings that plain string functions apply: substitutions, or one other edit that needs no list of letters.
+SIMPLE = f"^(WT|[A-Z*]{_PLACE}[A-Z]( [A-Z*]{_PLACE}[A-Z])*|[A-Z*]{_PLACE}[*]|[A-Z]{_PLACE}del|[A-Z-]{_PLACE}fs|[A-Z]{_PLACE}delins[A-Z]+|[A-Z]{_PLACE}_[A-Z]{_PLACE}(del|ins[A-Z]+))$"
+
+
+def _simple(wild: Column, mutation_str: Column, apply) -> Column:
+    """apply(kind, at, end, new, fits) for the single edit of a SIMPLE string, or None for what changes nothing."""
+    at = F.regexp_extract(mutation_str, "([0-9]+)", 1).try_cast("int")
+    end = F.regexp_extract(mutation_str, "_[A-Z]([0-9]+)", 1).try_cast("int")
+    old = F.substring(mutation_str, 1, 1)
+    fits = (at <= F.length(wild)) & (old.isin("-", "*") | (F.substring(wild, at, F.lit(1)) == old))
+    return apply(at, end, F.regexp_extract(mutation_str, "ins([A-Z]+)$", 1), fits)
+
+
+def simple_length(wild: Column, mutation_str: Column) -> Column:
+    """The length of a sequence without `*` after a SIMPLE mutation string, from position and one residue alone."""
+    n, m = F.length(wild), mutation_str
+
+    def length(at, end, new, fits):
+        return (
+            F.when(m.rlike("_.*del$"), F.when(end <= n, F.least(at - 1, n) + n - end).otherwise(n)).when(m.contains("_"), F.when(end <= n, n + F.length(new)).otherwise(n))
+            .when(m.endswith("*") | m.endswith("fs"), F.when(fits, at - 1).otherwise(n)).when(m.endswith("del"), F.when(fits, n - 1).otherwise(n))
+            .when(m.contains("delins"), F.when(fits, n - 1 + F.length(new)).otherwise(n)).otherwise(n)
+        )
+
+    return _simple(wild, m, length)
+
+
+def simple_mutated(wild: Column, mutation_str: Column) -> Column:
+    """A sequence without `*` after a SIMPLE mutation string."""
+    n, m = F.length(wild), mutation_str
+    before = lambda k: F.substring(wild, F.lit(1), k)
+    after = lambda k: F.substring(wild, k + 1, n)
+
+    def substituted(s: Column, t: Column) -> Column:
+        at, old = F.regexp_extract(t, "([0-9]+)", 1).try_cast("int"), F.substring(t, 1, 1)
+        fits = (at <= n) & ((old == "*") | (F.substring(s, at, F.lit(1)) == old))
+        return F.when(fits, F.concat(F.substring(s, F.lit(1), at - 1), F.right(t, F.lit(1)), F.substring(s, at + 1, n))).otherwise(s)
+
+    def edited(at, end, new, fits):
+        return (
+            F.when(m.rlike("_.*del$"), F.when(end <= n, F.concat(before(at - 1), after(end))).otherwise(wild)).when(m.contains("_"), F.when(end <= n, F.concat(before(end), new, after(end))).otherwise(wild))
+            .when(m.endswith("*") | m.endswith("fs"), F.when(fits, before(at - 1)).otherwise(wild)).when(m.endswith("del"), F.when(fits, F.concat(before(at - 1), after(at))).otherwise(wild))
+            .when(m.contains("delins"), F.when(fits, F.concat(before(at - 1), new, after(at))).otherwise(wild))
+        )
+
+    points = F.aggregate(F.array_distinct(F.split(m, " ")), wild, substituted)
+    return F.when(m == "WT", wild).when(m.rlike("[0-9][A-Z]$") & ~m.contains("_"), points).otherwise(_simple(wild, m, edited))
+
+
 def mutated(wild: str | None, mutation_str: str | None) -> str | None:
     """Q2 for one sequence: tokens in order on a growing list; one that does not fit is skipped; a stop or frameshift ends it."""
     if wild is None or mutation_str is None:

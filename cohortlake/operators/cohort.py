@@ -115,17 +115,27 @@ def full_feature_table(enc: DataFrame, seqs: DataFrame) -> DataFrame:
     return protein_status(enc.drop(*columns).join(seqs.select(*KEYS, *columns), KEYS, "left"))
 
 
+def attach(long: DataFrame, table: DataFrame, salts: int = 16) -> DataFrame:
+    """long left join table, which has one row for each of KEYS; null strings match null.
+
+    `WT`, `nan` and null hold most cells of a gene, so their keys are salted."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("-"))
+    common = F.coalesce(F.col("mutation_str").isin(WILD, "nan"), F.lit(True))
+    by = [c for c in ("ID", "gene") if c in long.columns]
+    left = long.withColumn("__salt", F.when(common, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int")).otherwise(0)).withColumn("__key", key(F.col("mutation_str")))
+    right = table.withColumn("__salt", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    right = right.withColumn("__key", key(F.col("mutation_str"))).drop("mutation_str")
+    return left.join(right, ["gene", "__key", "__salt"], "left").select(*long.columns, *(c for c in table.columns if c not in KEYS))
+
+
 def attach_encoding(long: DataFrame, enc: DataFrame) -> DataFrame:
     """Mutated cells with their encoding."""
-    return mutated_only(long).join(enc, KEYS, "left")
+    return attach(mutated_only(long), enc)
 
 
 def attach_saac(long: DataFrame, saac: DataFrame, salts: int = 16) -> DataFrame:
-    """All cells with their composition. WT holds most rows of each gene, so its keys are salted."""
-    salt = lambda c: F.when(F.col("mutation_str") == WILD, c).otherwise(0)
-    left = long.withColumn("__salt", salt(F.pmod(F.xxhash64("ID"), F.lit(salts)).cast("int")))
-    right = saac.withColumn("__salt", F.explode(F.when(F.col("mutation_str") == WILD, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return left.join(right, [*KEYS, "__salt"], "left").drop("__salt")
+    """All cells with their composition, WT included."""
+    return attach(long, saac, salts)
 
 
 def attach_labels(cohort: DataFrame, features: DataFrame) -> DataFrame:

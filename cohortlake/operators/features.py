@@ -9,7 +9,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import mutations as M
-from cohortlake.operators.cohort import attach_labels, attach_saac, pivot_features, unpivot_cohort
+from cohortlake.operators.cohort import attach, attach_labels, attach_saac, pivot_features, unpivot_cohort
+
+#: Strata or classes whose rows of parameters are broadcast at most.
+MANY_STRATA = 50_000
+#: Parts into which the scores of a class are cut.
+SCORE_PARTS = 256
 
 
 def saac_features(cohort: DataFrame, saac: DataFrame, genes: list[str], features: list[str], is_train: bool = True) -> DataFrame:
@@ -39,7 +44,7 @@ def index_genes(spark, genes: list[str]) -> DataFrame:
 def label_encode_cells(long: DataFrame) -> DataFrame:
     """code: the place of each cell's value among the sorted distinct ones of its gene."""
     codes = long.select("gene", "mutation_str").distinct().withColumn("code", F.dense_rank().over(Window.partitionBy("gene").orderBy("mutation_str")) - 1)
-    return long.join(codes.withColumnRenamed("gene", "g").withColumnRenamed("mutation_str", "m"), (F.col("gene") == F.col("g")) & F.col("mutation_str").eqNullSafe(F.col("m"))).drop("g", "m")
+    return attach(long, codes)
 
 
 def one_hot(c: Column, size: int) -> Column:
@@ -64,9 +69,24 @@ def standardize(train: DataFrame, test: DataFrame, columns: list[str], exclude:
 
 
 def train_val_split(df: DataFrame, share: float = 0.2, stratify: str = "SUBCLASS", key: str = "ID") -> DataFrame:
-    """is_val for `share` of each stratum, by the order of a hash of the key: exact and the same on each run."""
+    """is_val for `share` of each stratum, by the order of a hash of the key: exact and the same on each run.
+
+    Rows are counted in 65,536 buckets by the hash's first signs; only those of the bucket in which a stratum's share
+    ends are ranked, so no task sees a whole stratum. A null stratum is one of its own."""
     digest = F.sha2(F.col(key).cast("string"), 256)
-    return df.withColumn("is_val", F.percent_rank().over(Window.partitionBy(stratify).orderBy(digest, key)) < share)
+    name = F.coalesce(F.concat(F.lit("="), F.col(stratify).cast("string")), F.lit("-"))
+    rows = df.withColumn("__digest", digest).withColumn("__stratum", name).withColumn("__bucket", F.conv(F.substring("__digest", 1, 4), 16, 10).cast("int"))
+    counts = rows.groupBy("__stratum", "__bucket").agg(F.count("*").alias("__n"))
+    by_stratum = Window.partitionBy("__stratum")
+    counts = counts.withColumn("__before", F.sum("__n").over(by_stratum.orderBy("__bucket")) - F.col("__n")).withColumn("__all", F.sum("__n").over(by_stratum))
+    # percent_rank is the rows before over all but one; the last bucket that begins below the share holds its end
+    below = counts.where(F.coalesce(F.try_divide(F.col("__before"), F.col("__all") - 1), F.lit(0.0)) < share)
+    ends = below.groupBy("__stratum").agg(F.max("__bucket").alias("__end"), F.max("__before").alias("__before"), F.max("__all").alias("__all"))
+    joined = rows.join(F.broadcast(ends) if ends.count() <= MANY_STRATA else ends, "__stratum", "left")
+    edge = joined.where("__bucket = __end").withColumn("__rank", F.rank().over(Window.partitionBy("__stratum").orderBy("__digest", key)) - 1 + F.col("__before"))
+    edge = edge.withColumn("is_val", F.coalesce(F.try_divide(F.col("__rank"), F.col("__all") - 1), F.lit(0.0)) < share)
+    rest = joined.where("__bucket <> __end or __end is null").withColumn("is_val", F.coalesce(F.col("__bucket") < F.col("__end"), F.lit(False)))
+    return rest.select(*df.columns, "is_val").unionByName(edge.select(*df.columns, "is_val"))
 
 
 def pca_variance(train: DataFrame, test: DataFrame, columns: list[str], share: float = 0.95) -> tuple[DataFrame, DataFrame, int]:
@@ -114,11 +134,18 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
 def roc_pr_by_class(scores: DataFrame, by: str = "class", score: str = "score", positive: str = "positive") -> DataFrame:
     """F16: ROC AUC and average precision of each class, from (class, score, positive 0/1) rows; equal scores are one threshold.
 
-    Scores are counted first, so that the windows run over distinct scores."""
+    Scores are counted first. Each class's distinct scores are cut at approximate quantiles into SCORE_PARTS; running sums are those of a
+    part plus the totals of the parts above it, so that no task sees a whole class. Where the cuts lie changes no result."""
     t = scores.groupBy(by, score).agg(F.sum(positive).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(by).orderBy(F.col(score).desc())
-    total = Window.partitionBy(by)
-    t = t.withColumns({"tp": F.sum("p").over(down), "k": F.sum("n").over(down), "pos": F.sum("p").over(total), "neg": F.sum(F.col("n") - F.col("p")).over(total)})
+    cuts = t.groupBy(by).agg(F.percentile_approx(score, [k / SCORE_PARTS for k in range(1, SCORE_PARTS)], 10_000).alias("__cuts"))
+    cuts = F.broadcast(cuts) if cuts.count() <= MANY_STRATA else cuts
+    t = t.join(cuts, by).withColumn("part", F.size(F.filter("__cuts", lambda c: c < F.col(score)))).drop("__cuts")
+    totals = t.groupBy(by, "part").agg(F.sum("p").alias("pp"), F.sum("n").alias("pn"))
+    above = Window.partitionBy(by).orderBy(F.col("part").desc())  # a row for each part
+    whole = Window.partitionBy(by)
+    totals = totals.select(by, "part", (F.sum("pp").over(above) - F.col("pp")).alias("p0"), (F.sum("pn").over(above) - F.col("pn")).alias("n0"), F.sum("pp").over(whole).alias("pos"), F.sum(F.col("pn") - F.col("pp")).over(whole).alias("neg"))
+    down = Window.partitionBy(by, "part").orderBy(F.col(score).desc())
+    t = t.join(totals, [by, "part"]).withColumns({"tp": F.sum("p").over(down) + F.col("p0"), "k": F.sum("n").over(down) + F.col("n0")})
     # pairs of a negative here and a positive above, ties counting half
     area = F.sum((F.col("n") - F.col("p")) * (F.col("tp") - F.col("p") / 2))
     precision = F.sum(F.col("p") * F.col("tp") / F.col("k"))

@@ -18,22 +18,28 @@ def _db_rank():
     return F.array_position(F.array(*map(F.lit, DATABASES)), F.col("db"))
 
 
-def _mutated(wild, edited) -> Column:
-    """wild(wt_seq) for WT rows, else edited(wt_seq, mutation_str)."""
-    return F.when(F.col("mutation_str") == WILD, wild(F.col("wt_seq"))).otherwise(edited("wt_seq", "mutation_str"))
+def _by_kind(rows: DataFrame, simple, listed) -> DataFrame:
+    """rows with simple(wt_seq, mutation_str) where plain string functions apply, and listed(...), in Python, for the others."""
+    plain = F.col("mutation_str").rlike(P.SIMPLE) & ~F.col("wt_seq").contains("*")
+    plain = F.coalesce(plain, F.lit(False))
+    return rows.where(plain).transform(simple).unionByName(rows.where(~plain).transform(listed))
 
 
 def add_mutated_sequences(dictionary: DataFrame, isoforms: DataFrame) -> DataFrame:
     """Q3: for each dictionary row the isoform of the first database that has a usable one: the longest mutated sequence, the first on ties.
 
-    WT rows keep the wild type; empty sequences do not count; rows without any keep nulls. Only lengths are compared, in an aggregation that
-    combines before the shuffle; sequences join the chosen isoforms afterwards, so that none is shuffled with the candidates."""
+    WT rows keep the wild type; empty sequences do not count; rows without any keep nulls. Only lengths are compared, which for most kinds of
+    edits follow from a position and one residue, in an aggregation that combines before the shuffle; sequences join the
+    chosen isoforms afterwards, so that none is shuffled with the candidates."""
     ship(dictionary.sparkSession)
     rows = dictionary.select(*KEYS)
-    lengths = rows.join(isoforms, "gene").withColumn("n", _mutated(F.length, P.mutated_length))
+    wild, m = F.col("wt_seq"), F.col("mutation_str")
+    listed = lambda made, same: F.when(m == WILD, same(wild)).otherwise(made("wt_seq", "mutation_str"))
+    lengths = _by_kind(rows.join(isoforms, "gene"), lambda d: d.withColumn("n", P.simple_length(wild, m)), lambda d: d.withColumn("n", listed(P.mutated_length, F.length))).select(*KEYS, "db", "isoform_id", "isoform_ord", "n")
     order = F.struct(_db_rank().alias("r"), (-F.col("n")).alias("l"), F.col("isoform_ord").alias("o"))
     best = lengths.where("n > 0").groupBy(*KEYS).agg(F.min_by(F.struct("db", "isoform_id", "isoform_ord"), order).alias("x")).select(*KEYS, "x.*")
-    chosen = best.join(isoforms, ["gene", "db", "isoform_id", "isoform_ord"]).withColumn("mut_seq", _mutated(lambda c: c, P.mutate_sequence))
+    chosen = best.join(isoforms, ["gene", "db", "isoform_id", "isoform_ord"])
+    chosen = _by_kind(chosen, lambda d: d.withColumn("mut_seq", P.simple_mutated(wild, m)), lambda d: d.withColumn("mut_seq", listed(P.mutate_sequence, lambda c: c)))
     return rows.join(chosen.select(*KEYS, "isoform_id", "wt_seq", "mut_seq"), KEYS, "left")
 
 
@@ -63,9 +69,11 @@ def saac_table(seq_df: DataFrame, cutoff: float = 0.2) -> DataFrame:
 
 
 def saac_sweep(seq_df: DataFrame, cutoffs: list[float] | None = None) -> DataFrame:
-    """Q7: one row for each sequence and cutoff, with the composition as one array."""
-    swept = seq_df.withColumn("cutoff", F.explode(F.array(*(F.lit(float(c)) for c in cutoffs or CUTOFFS))))
-    return swept.withColumn("saac", P.saac(F.col("seq"), F.col("mutation_str"), F.col("cutoff")))
+    """Q7: one row for each sequence and cutoff, with the composition as one array. Letters are counted once, between all cuts."""
+    all_cuts = [float(c) for c in cutoffs or CUTOFFS]
+    seq = seq_df.withColumn("__c", P.cut_counts(F.col("seq"), all_cuts))
+    swept = seq.withColumn("cutoff", F.explode(F.array(*map(F.lit, all_cuts))))
+    return swept.withColumn("saac", P.saac_of_counts(F.col("seq"), F.col("mutation_str"), F.col("cutoff"), F.col("__c"))).drop("__c")
 
 
 def with_lengths(seq_df: DataFrame) -> DataFrame:
