@@ -13,6 +13,7 @@ from cohortlake.operators import samples as S
 from cohortlake.operators import sequences as Q
 from cohortlake.operators import stats as A
 from cohortlake.plans import adapters as D
+from cohortlake.session import scratch_path
 from cohortlake.sources import files as IO
 
 QUERIES: dict = {}
@@ -74,11 +75,13 @@ def binarize(spark, sf):
 LABELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
-@query(f"{WIDE} SELECT gene, {', '.join(f'max(CASE WHEN SUBCLASS = {chr(39)}{x}{chr(39)} THEN mutation_str END) AS {chr(34)}{x}{chr(34)}' for x in LABELS)} FROM wlong GROUP BY gene")
+@query(f"{WIDE}, named AS (SELECT SUBCLASS, min(CAST(ID AS BIGINT)) AS least FROM wide GROUP BY SUBCLASS) SELECT gene, {', '.join(f'max(CASE WHEN wlong.SUBCLASS = {chr(39)}{x}{chr(39)} THEN mutation_str END) AS {chr(34)}{x}{chr(34)}' for x in LABELS)} FROM wlong JOIN named ON wlong.SUBCLASS = named.SUBCLASS AND CAST(ID AS BIGINT) = least GROUP BY gene")
 def transpose_cohort(spark, sf):
-    """P5: the greatest cell of each label as a sample; all five as columns."""
-    per_label = D.wide(spark, sf).groupBy(F.col("SUBCLASS").alias("ID")).agg(*(F.max(g).alias(g) for g in D.WIDE_GENES))
-    return C.transpose_cohort(per_label, LABELS)
+    """P5: the first sample of each label, by ID, as columns."""
+    w = D.wide(spark, sf)
+    named = w.groupBy("SUBCLASS").agg(F.min(F.col("ID").cast("long")).alias("least"))
+    samples = w.join(F.broadcast(named), "SUBCLASS").where(F.col("ID").cast("long") == F.col("least"))  # a row for each label
+    return C.transpose_cohort(samples.select(F.col("SUBCLASS").alias("ID"), *D.WIDE_GENES), LABELS)
 
 
 @query(f"{WIDE}, t AS (SELECT *, 'x' AS fixed FROM wide WHERE {TRAIN}) SELECT * FROM (SELECT 'fixed' AS \"column\", count(DISTINCT fixed) AS n FROM t {' '.join(f'UNION ALL SELECT {chr(39)}{g}{chr(39)}, count(DISTINCT {g}) FROM t' for g in D.WIDE_GENES)}) WHERE n = 1".replace("SELECT * FROM (SELECT 'fixed'", "SELECT \"column\" FROM (SELECT 'fixed'"))
@@ -87,6 +90,14 @@ def constant_columns(spark, sf):
     return C.constant_columns(D.train(D.wide(spark, sf)).withColumn("fixed", F.lit("x")), [*D.WIDE_GENES, "fixed"])
 
 
+@query("SELECT CAST(o_orderkey % 5 = 4 AS BOOLEAN) AS is_test, o_orderkey, o_totalprice FROM orders")
+def drop_constant_columns(spark, sf):
+    """A column that is constant in train goes from both halves, though it is not constant in test."""
+    o = D.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.when(F.col("o_orderkey") % 5 < 4, F.lit(1)).otherwise(F.col("o_custkey")).alias("same"))
+    a, b = C.drop_constant_columns(o.where(F.col("o_orderkey") % 5 < 4), o.where(F.col("o_orderkey") % 5 == 4), ["o_totalprice", "same"])
+    return a.withColumn("is_test", F.lit(False)).unionByName(b.withColumn("is_test", F.lit(True)))
+
+
 @query("SELECT d.doc_id, coalesce(quality, 0) AS quality, coalesce(CASE WHEN toxic = 1 THEN 'toxic' END, 'Unknown') AS kind FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def fill_missing(spark, sf):
     """P10."""
@@ -221,9 +232,20 @@ best AS (SELECT gene, mutation_str, isoform_id, wt_seq, mut_seq FROM done WHERE
 mutseqs AS (SELECT dict.gene, dict.mutation_str, isoform_id, wt_seq, mut_seq FROM dict LEFT JOIN best USING (gene, mutation_str))"""
 
 
+@query(f"""{TYPED}, g AS (SELECT gene, mutation_str, i, t, CASE WHEN regexp_matches(t, '^[A-Z*][0-9]+[A-Z]$') THEN 'substitution' WHEN regexp_matches(t, '^[A-Z*][0-9]+[*]$') THEN 'stop' WHEN regexp_matches(t, '^[A-Z][0-9]+del$') THEN 'deletion' WHEN regexp_matches(t, '^[A-Z-]?[0-9]+fs$') THEN 'frameshift'
+ WHEN regexp_matches(t, '^[A-Z][0-9]+delins[A-Z]+$') THEN 'replacement' WHEN regexp_matches(t, '^[0-9]+_[0-9]+[A-Z*][A-Z*]+>[A-Z*]+$') THEN 'range_swap' WHEN regexp_matches(t, '^[A-Z][0-9]+_[A-Z][0-9]+del$') THEN 'range_deletion' WHEN regexp_matches(t, '^[A-Z][0-9]+_[A-Z][0-9]+ins[A-Z]+$') THEN 'insertion' END AS kind FROM tokens)
+SELECT gene, mutation_str, i, kind, CASE WHEN kind = 'range_swap' THEN regexp_extract(t, '([A-Z*]+)>', 1) WHEN kind IN ('substitution', 'stop', 'deletion', 'frameshift', 'replacement') THEN nullif(regexp_extract(t, '^([A-Z*-]?)', 1), '') END AS residue,
+ CASE WHEN kind IS NOT NULL THEN CAST(regexp_extract(t, '([0-9]+)', 1) AS BIGINT) END AS first, CASE WHEN kind IN ('range_swap', 'range_deletion', 'insertion') THEN CAST(regexp_extract(t, '_[A-Z]?([0-9]+)', 1) AS BIGINT) END AS last,
+ CASE WHEN kind IN ('substitution', 'stop') THEN right(t, 1) WHEN kind IN ('replacement', 'insertion') THEN regexp_extract(t, 'ins([A-Z]+)$', 1) WHEN kind = 'range_swap' THEN split_part(t, '>', 2) END AS letters FROM g""")
+def parse_edits(spark, sf):
+    """Q1: each token in the grammar of sequence edits."""
+    t = C.mutation_dictionary(D.cells(spark, sf)).select("*", F.posexplode(F.split("mutation_str", " ")).alias("i", "token"))
+    return t.select("gene", "mutation_str", (F.col("i") + 1).cast("long").alias("i"), P.parse_edit(F.col("token")).alias("e")).select("gene", "mutation_str", "i", "e.*")
+
+
 @query(f"{CHOSEN_SQL} SELECT gene, mutation_str, isoform_id, md5(wt_seq) AS wt, md5(mut_seq) AS mut, len(mut_seq) AS n FROM mutseqs")
 def add_mutated_sequences(spark, sf):
-    """Q1 to Q3."""
+    """Q2, Q3."""
     return D.sequences(spark, sf).select("gene", "mutation_str", "isoform_id", F.md5("wt_seq").alias("wt"), F.md5("mut_seq").alias("mut"), F.length("mut_seq").cast("long").alias("n"))
 
 
@@ -307,6 +329,36 @@ def attach_encoding(spark, sf):
     return C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf)).select("ID", "gene", "mutation_str", "type", F.col("mut_num").cast("long").alias("mut_num"), "status")
 
 
+_WEIGHT = "CAST(len(region) + ascii(code) AS DOUBLE)"
+_SAAC_OF = "saacseq AS (SELECT gene, mutation_str, coalesce(CASE WHEN mutation_str = 'WT' THEN wt_seq ELSE mut_seq END, '') AS seq FROM mutseqs)"
+
+
+def _weighted():
+    """A weighted sum of the 63 shares."""
+    return F.round(sum((F.col(f"{r}_{c}") * float(len(r) + ord(c[0])) for r in P.REGIONS for c in P.CODES), F.lit(0.0)), 4)
+
+
+@query(f"{CHOSEN_SQL}, {_SAAC_OF}, {_saac_sql('saacseq', '0.2')}, totals AS (SELECT gene, mutation_str, round(sum(share * {_WEIGHT}), 4) AS total FROM shares GROUP BY ALL) SELECT ID, gene, mutation_str, total FROM cells LEFT JOIN totals USING (gene, mutation_str)")
+def attach_saac(spark, sf):
+    """Every cell with the composition of its mutated sequence, here as a weighted sum."""
+    s = D.sequences(spark, sf)
+    table = Q.saac_table(C.full_sequence_table(s, s.limit(0)).select("gene", "mutation_str", "seq"))
+    return C.attach_saac(D.cells(spark, sf), table.drop("seq")).select("ID", "gene", "mutation_str", _weighted().alias("total"))
+
+
+_WIDE_CHOSEN = CHOSEN_SQL.replace(CELLS, WIDE, 1).replace("FROM cells)", "FROM wlong)", 1).replace("JOIN iso USING (gene)", "JOIN (SELECT * REPLACE (lower(gene) AS gene) FROM iso) iso USING (gene)", 1)
+_SAAC_FEATURES = ["n_term_A", "mid_L", "c_term_fs"]
+
+
+@query(f"{_WIDE_CHOSEN}, {_SAAC_OF}, {_saac_sql('saacseq', '0.2')}, f AS (SELECT gene, mutation_str, {', '.join(f'max(share) FILTER (region || {chr(39)}_{chr(39)} || code = {chr(39)}{c}{chr(39)}) AS {c}' for c in _SAAC_FEATURES)} FROM shares GROUP BY ALL), c AS (SELECT ID, SUBCLASS, gene, {', '.join(_SAAC_FEATURES)} FROM wlong LEFT JOIN f USING (gene, mutation_str)) SELECT ID, SUBCLASS, {', '.join(f'round(max(CASE WHEN gene = {chr(39)}{g}{chr(39)} THEN {c} END), 6) AS {g}_{c}' for g in D.WIDE_GENES for c in _SAAC_FEATURES)} FROM c GROUP BY ID, SUBCLASS")
+def saac_feature_table(spark, sf):
+    """F1 with the composition of real mutated sequences, three of its columns for each gene."""
+    wide = D.wide(spark, sf)
+    s = Q.add_mutated_sequences(C.mutation_dictionary(C.unpivot_cohort(wide)), D.isoforms(spark, sf).withColumn("gene", F.lower("gene")))
+    table = Q.saac_table(C.full_sequence_table(s, s.limit(0)).select("gene", "mutation_str", "seq")).select("gene", "mutation_str", *_SAAC_FEATURES)
+    return X.saac_features(wide, table, D.WIDE_GENES, _SAAC_FEATURES).select("ID", "SUBCLASS", *rounded([f"{g}_{c}" for g in D.WIDE_GENES for c in _SAAC_FEATURES]))
+
+
 _SHORT = "short AS (SELECT gene, mutation_str, length(mutation_str) AS len, CAST(mutation_str <> 'WT' AS INT) AS hit FROM (SELECT DISTINCT gene, mutation_str FROM wlong))"
 
 
@@ -397,48 +449,114 @@ def sample_embedding_stats(spark, sf):
     return t.select("ID", *(total(F.col(c)).alias(c) for c in ("mean", "max", "min", "std")))
 
 
-@query(f"{MATCH_SQL} SELECT ID, round(avg(mut_num), 6) AS avg_mut_num, CAST(max(mut_num) AS INT) AS max_mut_num, round(avg(status), 6) AS status_ratio FROM matched GROUP BY ID")
+# every dictionary row with its protein status, and the samples' rows of it
+_MATCHED = f"{FULL_SQL}, mutated AS (SELECT DISTINCT ID, gene, mutation_str FROM cells WHERE mutation_str <> 'WT'), matched AS (SELECT s.ID, f.* FROM (SELECT DISTINCT ID, mutation_str FROM mutated) s JOIN fulltab f USING (mutation_str) SEMI JOIN mutated g ON g.ID = s.ID AND g.gene = f.gene)"
+
+
+def _full(spark, sf):
+    """The full feature table without sequences, written and read again as the jobs that use it do."""
+    at = scratch_path(spark, "full")
+    IO.write_table(D.full(spark, sf).drop("wt_seq", "mut_seq"), at)
+    return spark.read.parquet(at)
+
+
+@query(f"{_MATCHED} SELECT ID, round(avg(mut_num), 6) AS avg_mut_num, CAST(max(mut_num) AS INT) AS max_mut_num, round(avg(status), 6) AS status_ratio, round(avg(status_prot), 6) AS status_prot_ratio FROM matched GROUP BY ID")
 def sample_additional_stats(spark, sf):
     """A12."""
-    m = S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf).withColumn("status_prot", F.lit(0)))
-    t = S.sample_additional_stats(m)
-    return t.select("ID", F.round("avg_mut_num", 6).alias("avg_mut_num"), "max_mut_num", F.round("status_ratio", 6).alias("status_ratio"))
+    t = S.sample_additional_stats(S.sample_mutation_match(D.cells(spark, sf), _full(spark, sf)))
+    return t.select("ID", F.round("avg_mut_num", 6).alias("avg_mut_num"), "max_mut_num", *rounded(["status_ratio", "status_prot_ratio"]))
+
+
+# a vector for each key by a hash of it, missing for a seventh of them
+_VECTORS = 500
+
+
+def _store(spark, sf, full):
+    h = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int")
+    keys = full.where(F.col("isoform_id").isNotNull()).select(F.explode(F.array(E.embedding_key(), E.embedding_key(mutation="mutation_str"))).alias("key")).distinct()
+    return keys.where(h % 7 > 0).withColumn("vec_id", h % _VECTORS).join(D.table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select("key", "embedding")
+
+
+_RECORDS = f"""{_MATCHED}, hashed AS (SELECT gene, mutation_str, CAST('0x' || substr(md5(isoform_id), 1, 4) AS INT) AS hw, CAST('0x' || substr(md5(isoform_id || '_' || mutation_str), 1, 4) AS INT) AS hm FROM fulltab WHERE status_prot = 0 AND mutation_str <> 'WT'),
+vecs AS (SELECT vec_id, CAST(embedding AS FLOAT[]) AS e FROM embeddings),
+diff AS (SELECT gene, mutation_str, i, CASE WHEN hw % 7 = 0 OR hm % 7 = 0 THEN 0 ELSE CAST(m.e[i] - w.e[i] AS DOUBLE) END AS d FROM hashed JOIN vecs w ON w.vec_id = hw % {_VECTORS} JOIN vecs m ON m.vec_id = hm % {_VECTORS}, unnest(generate_series(1, 64)) AS u(i)),
+embi AS (SELECT ID, i, avg(d) AS mean, min(d) AS min, max(d) AS max, coalesce(stddev_samp(d), 0) AS std FROM matched JOIN diff USING (gene, mutation_str) GROUP BY ID, i),
+emb AS (SELECT ID, {", ".join(f"sum({x} * i) AS e_{x}, sum({x} * (i + {64 * k})) AS v_{x}" for k, x in enumerate(("mean", "min", "max", "std")))} FROM embi GROUP BY ID),
+m AS (SELECT ID, mutation_str, coalesce(type, 'Unknown') AS type FROM cells LEFT JOIN typed USING (gene, mutation_str) WHERE mutation_str <> 'WT'),
+muts_of AS (SELECT ID, string_agg(mutation_str || '=' || n, ',' ORDER BY mutation_str) AS mutations, CAST(sum(n) AS INT) AS num_mutated_genes FROM (SELECT ID, mutation_str, count(*) AS n FROM m GROUP BY ALL) GROUP BY ID),
+types_of AS (SELECT ID, string_agg(type || '=' || n, ',' ORDER BY type) AS types, sum(n * coalesce(list_position([{", ".join(f"'{t}'" for t in M.TYPES)}], type), 0)) AS weighted FROM (SELECT ID, type, count(*) AS n FROM m GROUP BY ALL) GROUP BY ID),
+more AS (SELECT ID, avg(mut_num) AS avg_mut_num, CAST(max(mut_num) AS INT) AS max_mut_num, avg(status) AS status_ratio, avg(status_prot) AS status_prot_ratio, {", ".join(f"avg({c}) AS {c}" for c in S.AA_STATS)} FROM matched GROUP BY ID),
+records AS (SELECT * FROM (SELECT DISTINCT ID, SUBCLASS FROM cells) LEFT JOIN muts_of USING (ID) LEFT JOIN types_of USING (ID) LEFT JOIN more USING (ID) LEFT JOIN emb USING (ID))"""
 
 
 def _records(spark, sf):
-    return S.sample_records(D.cells(spark, sf), D.encoding(spark, sf).withColumn("status_prot", (F.col("type") == "Frameshift").cast("int")))
+    full = _full(spark, sf)
+    return S.sample_records(D.cells(spark, sf), full, E.embedding_differences(full, _store(spark, sf, full), 64))
+
+
+def _total(c, at=1, n=None):
+    """The sum of an array's values (or n of them from the at-th on) times their places."""
+    part = c if n is None else F.slice(c, at, n)
+    return F.aggregate(F.transform(part, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+
 
+_STATS = ("mean", "min", "max", "std")
 
-@query()
+
+@query(f"{_RECORDS} SELECT ID, SUBCLASS, num_mutated_genes, mutations, types, {rounded(S.AA_STATS, True)}, round(avg_mut_num, 6) AS avg_mut_num, max_mut_num, round(status_ratio, 6) AS status_ratio, round(status_prot_ratio, 6) AS status_prot_ratio, {', '.join(f'round(e_{x}, 4) AS embedding_{x}' for x in _STATS)} FROM records")
 def sample_records(spark, sf):
-    """Nested records, as JSON text."""
-    return _records(spark, sf).select("ID", "SUBCLASS", F.to_json("mutation_stats").alias("mutation_stats"), F.to_json("aa_change_stats").alias("aa_change_stats"), F.to_json("additional_stats").alias("additional_stats"))
+    """Nested records written as JSON Lines and read again; vectors as weighted sums."""
+    at = scratch_path(spark, "records")
+    IO.write_model_input(_records(spark, sf), at)
+    r = IO.read_model_input(spark, at)
+    aa = [F.round(F.col(f"aa_change_stats.{p}.{p}_{x}"), 6).alias(f"{p}_{x}") for p in M.PROPERTIES for x in M.STATISTICS]
+    more = [F.round("additional_stats.avg_mut_num", 6).alias("avg_mut_num"), F.col("additional_stats.max_mut_num"), *(F.round(f"additional_stats.{c}", 6).alias(c) for c in ("status_ratio", "status_prot_ratio"))]
+    vectors = [F.when(F.col(f"embedding_stats.{x}").isNotNull(), F.round(_total(F.col(f"embedding_stats.{x}")), 4)).alias(f"embedding_{x}") for x in _STATS]
+    return r.select("ID", "SUBCLASS", "mutation_stats.num_mutated_genes", map_text(F.col("mutation_stats.mutations")).alias("mutations"), map_text(F.col("mutation_stats.mutation_type_freq")).alias("types"), *aa, *more, *vectors)
 
 
-@query()
+@query(f"{_RECORDS} SELECT ID, 292 AS size, round(coalesce(num_mutated_genes, 1) + 2 * coalesce(avg_mut_num, 0) + 3 * coalesce(max_mut_num, 0), 4) AS head, round({' + '.join(f'{k + 1} * coalesce({c}, 0)' for k, c in enumerate(S.AA_STATS))}, 3) AS aa, round(coalesce({' + '.join(f'v_{x}' for x in _STATS)}, 0), 3) AS embedding, round(coalesce(weighted / num_mutated_genes, 0), 4) AS types, round(coalesce(status_ratio, 0) + 2 * coalesce(status_prot_ratio, 0), 4) AS status FROM records")
 def record_vector(spark, sf):
-    """F11."""
-    return S.record_vector(_records(spark, sf), 8).select("ID", joined(F.transform("features", lambda x: F.round(x, 6))).alias("features"))
+    """the parts of each vector as weighted sums."""
+    v = S.record_vector(_records(spark, sf), 64)
+    f = F.col("features")
+    return v.select("ID", F.size("features").alias("size"), F.round(_total(f, 1, 3), 4).alias("head"), F.round(_total(f, 4, 20), 3).alias("aa"), F.round(_total(f, 24, 256), 3).alias("embedding"), F.round(_total(f, 280, 11), 4).alias("types"), F.round(_total(f, 291, 2), 4).alias("status"))
 
 
 _TOP = f"{PAIRS_SQL}, top AS (SELECT ID, gene, mutation_str, mut_num, row_number() OVER (PARTITION BY ID ORDER BY mut_num DESC NULLS LAST, gene, mutation_str) AS rn FROM cells LEFT JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT')"
 
 
-@query(f"{_TOP} SELECT ID, gene, mutation_str, CAST(mut_num AS BIGINT) AS mut_num, rn FROM top WHERE rn <= 4")
+@query(f"{_TOP} SELECT ID, gene, mutation_str, CAST(mut_num AS BIGINT) AS mut_num, rn FROM top WHERE rn <= 128")
 def top_mutations_per_sample(spark, sf):
-    """The first 4 of each sample."""
-    t = C.top_mutations_per_sample(C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf)), 4)
+    """The first 128 of each sample."""
+    t = C.top_mutations_per_sample(C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf)))
     return t.select("ID", "gene", "mutation_str", F.col("mut_num").cast("long").alias("mut_num"), F.col("rn").cast("long").alias("rn"))
 
 
-@query()
-def sample_tensor(spark, sf):
-    """The tensor of each sample, with normalized positions, as text."""
+_ROWS = f"""{_TOP}, codes AS (SELECT gene, row_number() OVER (ORDER BY gene) AS gene_id FROM (SELECT DISTINCT gene FROM iso)),
+raw AS (SELECT t.ID, t.rn, coalesce(gene_id, 0) AS gene_id, coalesce(list_position([{", ".join(f"'{t}'" for t in M.SHORT_TYPES)}], type), 0) AS type_code, coalesce(e.mut_num, 0) AS mut_num, coalesce(status, 0) AS status, {", ".join(f"coalesce({p}_mean, 0) AS {p}" for p in M.PROPERTIES)}, {", ".join(f"CASE WHEN p.bad THEN 0 ELSE coalesce(position[{k}], 0) END AS p{k}" for k in range(1, 6))} FROM top t LEFT JOIN enc e USING (gene, mutation_str) LEFT JOIN parsed p USING (gene, mutation_str) LEFT JOIN codes USING (gene) WHERE rn <= 128),
+tops AS (SELECT {", ".join(f"greatest(max(p{k}), CASE WHEN max(p{k}) = 0 THEN 1 ELSE 0 END) AS m{k}" for k in range(1, 6))} FROM raw),
+tensor AS (SELECT ID, rn, [CAST(gene_id AS DOUBLE), type_code, mut_num, status, {", ".join(M.PROPERTIES)}, {", ".join(f"p{k} / m{k}" for k in range(1, 6))}] AS v FROM raw, tops)"""
+
+
+def _tensor_rows(spark, sf):
+    genes = [r.gene for r in D.isoforms(spark, sf).select("gene").distinct().orderBy("gene").collect()]  # the names of a cohort's columns
     m = C.attach_encoding(D.cells(spark, sf), D.encoding(spark, sf))
-    genes = X.index_labels(D.isoforms(spark, sf).select("gene"), "gene").select("gene", (F.col("index") + 1).alias("gene_id"))
-    rows = S.normalize_positions(S.sample_rows(m, genes, 8))
-    t = S.sample_tensor(rows, D.cells(spark, sf), 8)
-    return t.select("ID", joined(F.transform(F.flatten("tensor"), lambda x: F.round(x, 6))).alias("tensor"))
+    return S.normalize_positions(S.sample_rows(m, X.index_genes(spark, genes)))
+
+
+@query(f"{_ROWS} SELECT ID, rn, {', '.join(f'round(v[{k + 1}], 6) AS v{k + 1}' for k in range(14))} FROM tensor")
+def sample_rows(spark, sf):
+    """The long form of the tensors, with normalized positions."""
+    t = _tensor_rows(spark, sf)
+    return t.select("ID", F.col("rn").cast("long").alias("rn"), *(F.round(F.col(c).cast("double"), 6).alias(f"v{k + 1}") for k, c in enumerate(x for x in t.columns if x not in ("ID", "rn"))))
+
+
+@query(f"{_ROWS}, sums AS (SELECT ID, sum(((rn - 1) * 14 + i) * v[i]) AS total FROM tensor, unnest(generate_series(1, 14)) AS u(i) GROUP BY ID) SELECT ID, 1792 AS size, round(coalesce(total, 0), 3) AS total FROM (SELECT DISTINCT ID FROM cells) LEFT JOIN sums USING (ID)")
+def sample_tensor(spark, sf):
+    """the tensor of each sample, 128 rows of 14 values, as a weighted sum."""
+    t = S.sample_tensor(_tensor_rows(spark, sf), D.cells(spark, sf)).withColumn("flat", F.flatten("tensor"))
+    return t.select("ID", F.size("flat").alias("size"), F.round(_total(F.col("flat")), 3).alias("total"))
 
 
 # --- statistics ---------------------------------------------------------------------------------
@@ -502,11 +620,11 @@ def _edges(spark, sf):
 _EDGES = "edges AS (SELECT 'S' || l_suppkey AS gene, 'S' || (l_partkey % 50) AS partner, l_extendedprice AS score, l_returnflag = 'R' AS cx, l_orderkey * 100 + l_linenumber * 10 + l_partkey % 10 AS ord FROM lineitem)"
 
 
-@query(f"WITH {_EDGES} SELECT gene, count(*) AS n_edges, round(max(score), 6) AS top_score, count(DISTINCT partner) FILTER (partner <> gene) AS n_partners, bool_or(cx) AS in_complex FROM edges GROUP BY gene")
+@query(f"WITH {_EDGES} SELECT gene, count(*) AS n_edges, round(max(score), 6) AS top_score, first(partner ORDER BY score DESC, ord, partner) AS top_partner, count(DISTINCT partner) FILTER (partner <> gene) AS n_partners, bool_or(cx) AS in_complex FROM edges GROUP BY gene")
 def interaction_summary(spark, sf):
     """A14."""
     e = _edges(spark, sf)
-    return A.interaction_summary(e, e.select("gene")).select("gene", "n_edges", F.round("top_score", 6).alias("top_score"), "n_partners", "in_complex")
+    return A.interaction_summary(e, e.select("gene")).select("gene", "n_edges", F.round("top_score", 6).alias("top_score"), "top_partner", "n_partners", "in_complex")
 
 
 @query("SELECT 'C' || c_nationkey AS gene, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (c_acctbal > 0), 'Unknown') AS process, coalesce(string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FILTER (c_acctbal < -900), 'Unknown') AS component FROM customer GROUP BY c_nationkey")
@@ -517,6 +635,13 @@ def annotation_summary(spark, sf):
     return t.select("gene", joined(F.col("process")).alias("process"), joined(F.col("component")).alias("component"))
 
 
+@query("SELECT 'C' || (o_custkey % 100) AS gene, count(*) AS n_pathways, arg_min('P' || (o_custkey % 30 + o_orderkey % 7), o_orderkey) AS first_pathway FROM orders GROUP BY 1")
+def pathway_summary(spark, sf):
+    """A15."""
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    return A.pathway_summary(D.table(spark, sf, "orders").select(name("C", F.col("o_custkey") % 100).alias("gene"), name("P", F.col("o_custkey") % 30 + F.col("o_orderkey") % 7).alias("pathway"), F.col("o_orderkey").alias("ord")))
+
+
 @query("SELECT 'S' || l_suppkey AS gene, count(*) AS n_variants, bool_or(l_returnflag = 'R' AND l_linestatus = 'F') AS has_pathogenic FROM lineitem GROUP BY l_suppkey")
 def variant_summary(spark, sf):
     """A15."""
@@ -593,11 +718,14 @@ def union_distinct(spark, sf):
 # --- embeddings ---------------------------------------------------------------------------------
 
 
-@query(f"{FULL_SQL} SELECT gene, mutation_str, isoform_id, isoform_id || '_' || mutation_str AS key, md5(mut_seq) AS mut FROM fulltab WHERE type NOT IN ('WT', 'Silent_Missense', 'Silent_Nonsense') AND status_prot = 0 QUALIFY row_number() OVER (PARTITION BY isoform_id, mutation_str ORDER BY gene) = 1")
+@query(f"""{FULL_SQL}, wanted AS (SELECT * FROM fulltab WHERE type NOT IN ('WT', 'Silent_Missense', 'Silent_Nonsense') AND status_prot = 0)
+SELECT gene, mutation_str, isoform_id, isoform_id || '_' || mutation_str AS key, md5(mut_seq) AS seq FROM wanted QUALIFY row_number() OVER (PARTITION BY isoform_id, mutation_str ORDER BY gene) = 1
+UNION ALL SELECT gene, NULL, isoform_id, isoform_id, md5(wt_seq) FROM wanted QUALIFY row_number() OVER (PARTITION BY isoform_id ORDER BY gene, mutation_str) = 1""")
 def embedding_candidates(spark, sf):
-    """P7, P8."""
-    _, mut = E.embedding_candidates(D.full(spark, sf))
-    return mut.select("gene", "mutation_str", "isoform_id", E.embedding_key(mutation="mutation_str").alias("key"), F.md5("mut_seq").alias("mut"))
+    """The mutated and the wild-type sequences to embed."""
+    wt, mut = E.embedding_candidates(D.full(spark, sf))
+    a = mut.select("gene", "mutation_str", "isoform_id", E.embedding_key(mutation="mutation_str").alias("key"), F.md5("mut_seq").alias("seq"))
+    return a.union(wt.select("gene", F.lit(None).cast("string").alias("mutation_str"), "isoform_id", E.embedding_key().alias("key"), F.md5("wt_seq").alias("seq")))
 
 
 @query("SELECT doc_id AS key FROM documents ANTI JOIN labels USING (doc_id)")
@@ -676,18 +804,21 @@ def _halves(spark, sf):
     return o.where(F.col("o_orderkey") % 5 < 4), o.where(F.col("o_orderkey") % 5 == 4)
 
 
-@query("WITH s AS (SELECT min(o_custkey) a, max(o_custkey) b, min(o_totalprice) c, max(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, round((o_custkey - a) / (b - a), 6) AS o_custkey, round((o_totalprice - c) / (d - c), 6) AS o_totalprice, CAST(NULL AS DOUBLE) AS same FROM orders, s WHERE o_orderkey % 5 = 4")
+def _both(halves):
+    a, b = halves
+    return a.withColumn("is_test", F.lit(False)).unionByName(b.withColumn("is_test", F.lit(True))).select("o_orderkey", "is_test", *rounded(["o_custkey", "o_totalprice", "same"]))
+
+
+@query("WITH s AS (SELECT min(o_custkey) a, max(o_custkey) b, min(o_totalprice) c, max(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, o_orderkey % 5 = 4 AS is_test, round((o_custkey - a) / (b - a), 6) AS o_custkey, round((o_totalprice - c) / (d - c), 6) AS o_totalprice, CAST(NULL AS DOUBLE) AS same FROM orders, s")
 def min_max_scale(spark, sf):
     """F9."""
-    _, t = X.min_max_scale(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"])
-    return t.select("o_orderkey", *rounded(["o_custkey", "o_totalprice", "same"]))
+    return _both(X.min_max_scale(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"]))
 
 
-@query("WITH s AS (SELECT avg(o_custkey) a, stddev_samp(o_custkey) b, avg(o_totalprice) c, stddev_samp(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, round((o_custkey - a) / b, 6) AS o_custkey, round((o_totalprice - c) / d, 6) AS o_totalprice, 0.0 AS same FROM orders, s WHERE o_orderkey % 5 = 4")
+@query("WITH s AS (SELECT avg(o_custkey) a, stddev_samp(o_custkey) b, avg(o_totalprice) c, stddev_samp(o_totalprice) d FROM orders WHERE o_orderkey % 5 < 4) SELECT o_orderkey, o_orderkey % 5 = 4 AS is_test, round((o_custkey - a) / b, 6) AS o_custkey, round((o_totalprice - c) / d, 6) AS o_totalprice, 0.0 AS same FROM orders, s")
 def standardize(spark, sf):
     """F10."""
-    _, t = X.standardize(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"])
-    return t.select("o_orderkey", *rounded(["o_custkey", "o_totalprice", "same"]))
+    return _both(X.standardize(*_halves(spark, sf), ["o_custkey", "o_totalprice", "same"]))
 
 
 @query(f"{CELLS}, s AS (SELECT DISTINCT ID, SUBCLASS FROM cells) SELECT ID, SUBCLASS, percent_rank() OVER (PARTITION BY SUBCLASS ORDER BY sha256(ID), ID) < 0.2 AS is_val FROM s")
@@ -696,21 +827,23 @@ def train_val_split(spark, sf):
     return X.train_val_split(D.cells(spark, sf).select("ID", "SUBCLASS").distinct())
 
 
-@query()
+@query("WITH t AS (SELECT o_orderkey, CAST(o_custkey AS DOUBLE) AS x, o_totalprice + 40 * o_custkey AS y FROM orders), s AS (SELECT avg(x) a, stddev_samp(x) b, avg(y) c, stddev_samp(y) d, corr(x, y) AS r FROM t WHERE o_orderkey % 5 < 4) SELECT o_orderkey, o_orderkey % 5 = 4 AS is_test, CASE WHEN (1 + abs(r)) / 2 >= 0.95 THEN 1 ELSE 2 END AS components, 1 AS kaiser, round(abs((x - a) / b + sign(r) * (y - c) / d) / sqrt(2), 4) AS first FROM t, s")
 def pca_variance(spark, sf):
-    """how many components hold 95 % of the variance of the embeddings, and the Kaiser count."""
-    e = D.table(spark, sf, "embeddings").select("vec_id", *(F.get("embedding", k).cast("double").alias(f"x{k}") for k in range(64)))
-    a, b = e.where("vec_id % 5 < 4"), e.where("vec_id % 5 = 4")
-    _, out, kaiser = X.pca_variance(a, b, [f"x{k}" for k in range(64)])
-    return out.select("vec_id", F.size("pca").alias("components"), F.lit(kaiser).alias("kaiser"))
+    """of two standardized columns the components are their sum and difference, with variances of one plus and minus the correlation."""
+    t = D.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("x"), (F.col("o_totalprice") + 40 * F.col("o_custkey")).alias("y"))
+    halves = X.standardize(t.where(F.col("o_orderkey") % 5 < 4), t.where(F.col("o_orderkey") % 5 == 4), ["x", "y"])
+    a, b, kaiser = X.pca_variance(*halves, ["x", "y"])
+    both = a.withColumn("is_test", F.lit(False)).unionByName(b.withColumn("is_test", F.lit(True)))
+    return both.select("o_orderkey", "is_test", F.size("pca").alias("components"), F.lit(kaiser).alias("kaiser"), F.round(F.abs(F.get("pca", 0)), 4).alias("first"))
 
 
-@query()
+@query(f"{WIDE}, t AS (SELECT {', '.join(f'CAST({g} <> {chr(39)}WT{chr(39)} AS INT) AS {g}' for g in D.WIDE_GENES)} FROM wide), r AS (SELECT * FROM (SELECT {', '.join(f'abs(corr({g}, g0)) AS {g}' for g in D.WIDE_GENES)} FROM t) UNPIVOT (v FOR feature IN ({', '.join(D.WIDE_GENES)}))) SELECT feature, v = max(v) OVER () AS is_top, 1.0 AS total FROM r")
 def rf_importance(spark, sf):
-    """F14."""
+    """with the label equal to one of the columns that column is first; importances sum to one."""
     t = C.binarize(D.wide(spark, sf), D.WIDE_GENES)
-    labels = X.index_labels(t, "SUBCLASS")
-    return X.rf_importance(t.join(F.broadcast(labels), "SUBCLASS"), D.WIDE_GENES, "index").select("feature", F.round("importance", 6).alias("importance"), "rank")
+    r = X.rf_importance(t.withColumn("label", F.col("g0")), D.WIDE_GENES, "label")
+    total = r.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return r.crossJoin(F.broadcast(total)).select("feature", (F.col("rank") == 1).alias("is_top"), "total")  # one row
 
 
 def _predictions(spark, sf):
@@ -787,3 +920,66 @@ def parse_isoforms(spark, sf):
 def fasta_records(spark, sf):
     """The records that are written."""
     return D.isoforms(spark, sf).select("gene", F.md5(IO.fasta_text(F.col("isoform_id"), F.col("db"), F.col("wt_seq"))).alias("record"))
+
+
+@query(f"{WIDE} SELECT ID, SUBCLASS, {', '.join(D.WIDE_GENES)} FROM wide")
+def read_cohort(spark, sf):
+    """A wide cohort written as CSV and read again, all strings."""
+    at = scratch_path(spark, "cohort")
+    IO.write_table(D.wide(spark, sf), at, "csv")
+    return IO.read_cohort(spark, at)
+
+
+@query("SELECT o_orderkey, o_custkey || ',' || (o_orderkey % 7) AS numbers FROM orders")
+def write_table(spark, sf):
+    """A table with a list column as CSV, whose lists come back by S4."""
+    at = scratch_path(spark, "lists")
+    IO.write_table(D.table(spark, sf, "orders").select("o_orderkey", F.array("o_custkey", F.col("o_orderkey") % 7).alias("numbers")), at, "csv")
+    back = IO.parse_literal_arrays(spark.read.csv(at, header=True, quote='"', escape='"'), {"numbers": "bigint"})
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), joined(F.col("numbers")).alias("numbers"))
+
+
+_FASTA_IDS = "CASE WHEN isoform_ord % 3 = 0 THEN 'lcl|x|Z' || isoform_ord ELSE 'gi|' || isoform_ord || '|ref|NP_' || isoform_ord || '.1' END"
+
+
+@query(f"{ISO} SELECT 'uniprot' AS rule, 'U' || isoform_ord AS id, 'sp|U' || isoform_ord || '|' || db || ' of ' || gene AS description, md5(wt_seq) AS seq FROM iso UNION ALL SELECT 'ncbi', CASE WHEN isoform_ord % 3 = 0 THEN 'Z' || isoform_ord ELSE 'NP_' || isoform_ord || '.1' END, {_FASTA_IDS} || ' of ' || gene, md5(wt_seq) FROM iso")
+def read_fasta(spark, sf):
+    """S3: records of several lines written as text and read by two rules for their ids."""
+    i, seq = F.col("isoform_ord").cast("string"), F.concat(F.substring("wt_seq", 1, 60), F.lit("\n"), F.substring("wt_seq", 61, 1 << 30))
+    ncbi = F.when(F.col("isoform_ord") % 3 == 0, F.concat(F.lit("lcl|x|Z"), i)).otherwise(F.concat(F.lit("gi|"), i, F.lit("|ref|NP_"), i, F.lit(".1")))
+    heads = {"uniprot": F.concat(F.lit("sp|U"), i, F.lit("|"), F.col("db")), "ncbi": ncbi}
+    out = None
+    for rule, head in heads.items():
+        at = scratch_path(spark, "fasta")
+        D.isoforms(spark, sf).select(IO.fasta_text(head, F.concat(F.lit("of "), F.col("gene")), seq)).write.text(at)
+        read = IO.read_fasta(spark, at, rule).select(F.lit(rule).alias("rule"), "id", "description", F.md5("sequence").alias("seq"))
+        out = read if out is None else out.union(read)
+    return out
+
+
+@query(f"{ISO} SELECT DISTINCT gene FROM iso")
+def read_list(spark, sf):
+    """A list of genes written as text, with white space around, and read again."""
+    at = scratch_path(spark, "list")
+    IO.write_list(D.isoforms(spark, sf).select(F.concat(F.lit(" "), "gene", F.lit("  ")).alias("gene")).distinct(), at)
+    return IO.read_list(spark, at)
+
+
+@query("SELECT 'v' || vec_id AS key, round(sum(CAST(e[i] AS DOUBLE) * i), 4) AS total FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS e FROM embeddings), unnest(generate_series(1, 64)) AS u(i) GROUP BY vec_id")
+def write_embeddings(spark, sf):
+    """Keyed vectors written in files of a bounded size, and read again."""
+    at = scratch_path(spark, "vectors")
+    IO.write_embeddings(D.table(spark, sf, "embeddings").select(F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("key"), "embedding"), at, rows_per_file=100)
+    back = spark.read.parquet(at)
+    return back.select("key", F.round(_total(F.transform("embedding", lambda x: x.cast("double"))), 4).alias("total"))
+
+
+@query(f"{ISO} SELECT gene, md5(string_agg('>' || isoform_id || ' ' || db || chr(10) || wt_seq, chr(10) ORDER BY isoform_ord)) AS records FROM iso GROUP BY gene")
+def write_fasta(spark, sf):
+    """A folder of records for each gene, read again as text."""
+    at = scratch_path(spark, "fasta")
+    IO.write_fasta(D.isoforms(spark, sf).select("gene", F.col("isoform_id").alias("id"), F.col("db").alias("description"), F.col("wt_seq").alias("sequence")), at)
+    lines = spark.read.text(at, lineSep="\n>").withColumn("record", F.regexp_replace(F.regexp_replace("value", "^>", ""), "\n$", ""))
+    number = F.regexp_extract("record", "^(?:1ABC_|[A-Z]+_?)([0-9]+)", 1).cast("long")
+    texts = lines.groupBy("gene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(number.alias("n"), "record"))), lambda x: F.concat(F.lit(">"), x["record"])), "\n").alias("t"))  # a gene's isoforms
+    return texts.select("gene", F.md5("t").alias("records"))
