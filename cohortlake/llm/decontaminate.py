@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ALNUM_WORD, Tables, gathered, sha256, small_batches, words_of
+from .shared import ALNUM_WORD, Tables, gathered, guarded, sha256, small_batches, words_of
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 #: Pairs of a benchmark suffix and a place that are spread out at once.
 PAIRS = 1 << 22
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())]))
+FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("matches", MATCHES)]
 MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
 
 
@@ -186,9 +187,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
     their own. An empty benchmark leaves all clean; an empty table stays empty. Columns of these names are replaced."""
     spark = docs.sparkSession
     small_batches(spark)
-    fields = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("matches", MATCHES)]
-    kept = docs.drop(*(n for n, _ in fields))
-    out = T.StructType([*kept.schema.fields, *(T.StructField(*f) for f in fields)])
+    kept = docs.drop(*(n for n, _ in FIELDS))
+    out = T.StructType([*kept.schema.fields, *(T.StructField(*f) for f in FIELDS)])
     numbered, parts, tables = None, [], None
     for k, (n, ids, texts) in enumerate(_blocks(benchmark, item, bench_text)):
         shared = spark.sparkContext.broadcast(Benchmark(ids, texts, window))
@@ -251,5 +251,5 @@ def _summary(schema):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The documents without any benchmark window, with their own columns. Handles all that find() does."""
-    return find(docs, benchmark, window).where(~F.col("contaminated")).select(*docs.columns)
+    """The documents without any benchmark window, with their own columns, whatever their names. Handles all that find() does."""
+    return guarded(docs, [n for n, _ in FIELDS], lambda d: find(d, benchmark, window).where(~F.col("contaminated")))

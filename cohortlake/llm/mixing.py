@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables, with_group
+from .shared import Tables, guarded, with_group
 
 #: Relative distance of each source's expected tokens from its target at which Newton's steps end.
 TOLERANCE = 1e-9
@@ -27,6 +27,7 @@ TOLERANCE = 1e-9
 MOST_STEPS = 200
 #: Roundings of each source that are compared.
 DRAWS = 64
+NAMES = ["size", "source_size", "target", "rate", "copies"]
 
 
 def token_size(text: Column) -> Column:
@@ -106,8 +107,7 @@ def mix(df: DataFrame, weights: list[float], key: list[str], share: float = 1.0,
     Columns of these names are replaced."""
     spark = df.sparkSession
     tables = Tables(spark, "mixing")
-    names = ["size", "source_size", "target", "rate", "copies"]
-    kept = df.drop(*names)
+    kept = df.drop(*NAMES)
     size = token_size(F.col(text))
     name = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("-"))
     sizes = tables.put(kept.select(F.col(source).alias("source"), name.alias("key"), size.alias("size"), _unit(key, seed).alias("unit")), "sizes")
@@ -126,10 +126,15 @@ def mix(df: DataFrame, weights: list[float], key: list[str], share: float = 1.0,
     tables.keep("chosen")
     out = with_group(kept.withColumn("__key", name), chosen, ["__key"], n_sources, "left").withColumn("size", size)
     out = out.withColumn("rate", tilted_rate(F.col("size"), F.col("__x"), F.col("__mean"), most))
-    return out.withColumn("copies", _copies(F.col("rate"), _unit(key, seed), F.col("__times"), most)).select(*kept.columns, *names)
+    return out.withColumn("copies", _copies(F.col("rate"), _unit(key, seed), F.col("__times"), most)).select(*kept.columns, *NAMES)
 
 
 def expanded(mixed: DataFrame) -> DataFrame:
-    """The mix itself: each row as often as its copies."""
-    columns = [c for c in mixed.columns if c not in ("size", "source_size", "target", "rate", "copies")]
+    """The mix itself: each row as often as its copies, without the columns of the mix."""
+    columns = [c for c in mixed.columns if c not in NAMES]
     return mixed.where("copies > 0").withColumn("__c", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+
+
+def mixed_rows(df: DataFrame, weights: list[float], key: list[str], **how) -> DataFrame:
+    """The rows of df as often as the mix takes them, with their own columns, whatever their names. Handles all that mix() does."""
+    return guarded(df, NAMES, lambda d: expanded(mix(d, weights, key, **how)))

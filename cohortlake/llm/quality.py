@@ -22,7 +22,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Tables, with_group
+from .shared import Tables, guarded, with_group
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -211,5 +211,5 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, with their own columns."""
-    return judge(docs).where("kept").select(*docs.columns)
+    """The rows of docs that are kept, with their own columns, whatever their names. Handles all that judge() does."""
+    return guarded(docs, [*STATISTICS, "base_failed", "kept"], lambda d: judge(d).where("kept"))

@@ -74,8 +74,9 @@ def shard(df: DataFrame, shards: int, keys: list[str], seed: int = 0) -> DataFra
 
     keys order the rows before the shuffle; rows that agree in all keys are told apart by their
     place after sorting, which matters only if their other columns differ. Nulls sort first. An
-    empty table gives an empty table. Columns named shard, slot or row are replaced."""
-    kept = df.drop("shard", "slot", "row")
-    numbered, n = global_row_numbers(kept, keys, Tables(df.sparkSession, "sharding"))
-    place = permuted(F.col("row"), max(n, 1), seed)
-    return numbered.withColumn("row", place).withColumn("shard", (F.col("row") % shards).cast("int")).withColumn("slot", ((F.col("row") - F.col("row") % shards) / shards).cast("long")).drop("row")
+    empty table gives an empty table. Columns named shard or slot are replaced; texts are not read."""
+    kept = df.drop("shard", "slot")
+    numbered, n = global_row_numbers(kept, keys, Tables(df.sparkSession, "sharding"), number="__row")
+    at = F.col("__row")
+    numbered = numbered.withColumn("__row", permuted(at, max(n, 1), seed))
+    return numbered.withColumn("shard", (at % shards).cast("int")).withColumn("slot", ((at - at % shards) / shards).cast("long")).drop("__row")

@@ -4,16 +4,14 @@ hashing of Arrow text columns with numpy."""
 from __future__ import annotations
 
 import hashlib
-import re
-import tempfile
-import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.session import ship
+from cohortlake.session import scratch_path, ship
 
 #: Bytes that separate words in the white-space word rule: space and 0x09-0x0D.
 WHITE = np.zeros(256, bool)
@@ -28,30 +26,13 @@ LOWER[0x41:0x5B] += 32
 PASS_BYTES = 1 << 20
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. Where it is unset, a folder of our own if the master is
-    local, so that driver and tasks are one process on one machine; on a cluster an error, as executors would write to their own disks."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    context = spark.sparkContext
-    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-        raise RuntimeError(f"spark.checkpoint.dir is not set; with master {context.master} it must name a folder that driver and executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="cohortlake-")
-    return _own_dirs[context.applicationId]
-
-
 class Tables:
     """Intermediate tables as Parquet in the shared folder: they cut lineage and outlive any executor.
 
     Those that the result does not read are dropped by its operator; the others stay until their folder is cleared."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.names = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", set()
+        self.spark, self.root, self.names = spark, scratch_path(spark, name), set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -77,6 +58,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def guarded(df: DataFrame, names: Iterable[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """make(df) with df's own columns alone, those unharmed whose names make() uses for its results."""
+    own = {c: f"__own_{c}" for c in df.columns if c in set(names)}
+    return make(df.withColumnsRenamed(own)).select(*(F.col(own.get(c, c)).alias(c) for c in df.columns))
+
+
 #: Rows of parameters that are broadcast at most, some hundred bytes each.
 BROADCAST_GROUPS = 50_000
 SALTS = 64
