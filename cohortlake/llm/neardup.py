@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .components import components
 from .sharding import global_row_numbers
-from .shared import HEAVY_ROWS, WHITE_WORD, Tables, passes, runs, small_batches, spread_join, words_of
+from .shared import WHITE_WORD, Tables, passes, runs, small_batches, spread_join, words_of
 
 SKETCH = 256
 LOW = 32
@@ -39,6 +39,8 @@ TAIL = 1e-10
 PIVOT_ROUNDS = 1
 #: Lists of so many classes are compared in full at once.
 SHORT_LIST = 6
+#: Classes of a long list that a task compares with the whole list.
+LIST_PART = 1000
 #: Ids that are broadcast at most: some 16 MB.
 BROADCAST_IDS = 1_000_000
 
@@ -234,7 +236,7 @@ def _search(lists: DataFrame, verifier: _Verifier, tables: Tables) -> DataFrame:
         met = tables.put(spread_join(now, mixed.select("v", "count", "p"), "v", total, "node"), f"met-{k}")
         if k == PIVOT_ROUNDS:
             # a long list is dealt over parts by one side, and each part sees the other
-            parts = F.ceil(F.col("count") / HEAVY_ROWS).cast("int")
+            parts = F.ceil(F.col("count") / LIST_PART).cast("int")
             x = side(met.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")), "x", "v", "part")
             y = side(met.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), "y", "v", "part")
             pairs = x.join(y, ["v", "part"]).where((F.col("componentx") < F.col("componenty")) & possible).select(*nodes)

@@ -79,17 +79,16 @@ def with_group(rows: DataFrame, params: DataFrame, keys: list[str], n_groups: in
     return rows.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
 
 
-#: Rows of a key from which on it is split in spread_join, and how many such keys are broadcast at most.
-HEAVY_ROWS = 1000
-HEAVY_KEYS = 100_000
+#: A key is split in spread_join if it has more than this part of all rows; so at most so many keys are broadcast, at any size.
+HEAVY_KEYS = 10_000
 
 
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, total: int, by: str) -> DataFrame:
     """rows with the columns of per_key, which has one row for each key and in `count` the key's rows among the `total` rows.
 
-    Keys of more than HEAVY_ROWS rows (or a HEAVY_KEYSth of all, so that at most HEAVY_KEYS of them are broadcast) are dealt, by a hash of
-    the column `by`, over as many parts as they exceed that; so no task gets a hot key whole. Nulls in key match nothing."""
-    limit = max(HEAVY_ROWS, -(-total // HEAVY_KEYS))
+    Keys of more than a HEAVY_KEYSth of all rows, of which there are fewer than HEAVY_KEYS, are dealt, by a hash of the column `by`, over
+    as many parts as they exceed that; so no task gets a hot key whole. Nulls in key match nothing."""
+    limit = max(1, -(-total // HEAVY_KEYS))
     parts = F.ceil(F.col("count") / limit).cast("int")
     heavy = F.broadcast(per_key.where(F.col("count") > limit).select(key, parts.alias("__parts")))
     salt = F.when(F.col("__parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("__parts"))).cast("int")

@@ -187,10 +187,10 @@ def test_keep_first(docs, rows, empty):
 
 
 def test_heavy_keys_are_split(docs, rows, monkeypatch):
-    """The same rows where every key of more than two rows is split."""
+    """The same rows where every key of more than one row, and every list of more than two, is split."""
     a = sorted(map(str, neardup.near_duplicates(docs, 3, 85).collect()))
-    monkeypatch.setattr(shared, "HEAVY_ROWS", 2)
-    monkeypatch.setattr(neardup, "HEAVY_ROWS", 2)
+    monkeypatch.setattr(shared, "HEAVY_KEYS", 10**9)
+    monkeypatch.setattr(neardup, "LIST_PART", 2)
     assert sorted(map(str, neardup.near_duplicates(docs, 3, 85).collect())) == a
 
 
