@@ -80,7 +80,7 @@ def transpose_cohort(spark, sf):
     """P5: the first sample of each label, by ID, as columns."""
     w = D.wide(spark, sf)
     named = w.groupBy("SUBCLASS").agg(F.min(F.col("ID").cast("long")).alias("least"))
-    samples = w.join(F.broadcast(named), "SUBCLASS").where(F.col("ID").cast("long") == F.col("least"))  # a row for each label
+    samples = w.join(named, "SUBCLASS").where(F.col("ID").cast("long") == F.col("least"))  # a row for each label
     return C.transpose_cohort(samples.select(F.col("SUBCLASS").alias("ID"), *D.WIDE_GENES), LABELS)
 
 
