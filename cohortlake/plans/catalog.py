@@ -515,12 +515,12 @@ def sample_records(spark, sf):
     return r.select("ID", "SUBCLASS", "mutation_stats.num_mutated_genes", map_text(F.col("mutation_stats.mutations")).alias("mutations"), map_text(F.col("mutation_stats.mutation_type_freq")).alias("types"), *aa, *more, *vectors)
 
 
-@query(f"{_RECORDS} SELECT ID, 292 AS size, round(coalesce(num_mutated_genes, 1) + 2 * coalesce(avg_mut_num, 0) + 3 * coalesce(max_mut_num, 0), 4) AS head, round({' + '.join(f'{k + 1} * coalesce({c}, 0)' for k, c in enumerate(S.AA_STATS))}, 3) AS aa, round(coalesce({' + '.join(f'v_{x}' for x in _STATS)}, 0), 3) AS embedding, round(coalesce(weighted / num_mutated_genes, 0), 4) AS types, round(coalesce(status_ratio, 0) + 2 * coalesce(status_prot_ratio, 0), 4) AS status FROM records")
+@query(f"{_RECORDS} SELECT ID, 292 AS size, round(coalesce(num_mutated_genes, 1) + 2 * coalesce(avg_mut_num, 0) + 3 * coalesce(max_mut_num, 0), 4) AS head, round({' + '.join(f'{k + 1} * coalesce({c}, 0)' for k, c in enumerate(S.AA_STATS))}, 6) AS aa, round(coalesce({' + '.join(f'v_{x}' for x in _STATS)}, 0), 3) AS embedding, round(coalesce(weighted / num_mutated_genes, 0), 4) AS types, round(coalesce(status_ratio, 0) + 2 * coalesce(status_prot_ratio, 0), 4) AS status FROM records")
 def record_vector(spark, sf):
     """the parts of each vector as weighted sums."""
     v = S.record_vector(_records(spark, sf), 64)
     f = F.col("features")
-    return v.select("ID", F.size("features").alias("size"), F.round(_total(f, 1, 3), 4).alias("head"), F.round(_total(f, 4, 20), 3).alias("aa"), F.round(_total(f, 24, 256), 3).alias("embedding"), F.round(_total(f, 280, 11), 4).alias("types"), F.round(_total(f, 291, 2), 4).alias("status"))
+    return v.select("ID", F.size("features").alias("size"), F.round(_total(f, 1, 3), 4).alias("head"), F.round(_total(f, 4, 20), 6).alias("aa"), F.round(_total(f, 24, 256), 3).alias("embedding"), F.round(_total(f, 280, 11), 4).alias("types"), F.round(_total(f, 291, 2), 4).alias("status"))
 
 
 _TOP = f"{PAIRS_SQL}, top AS (SELECT ID, gene, mutation_str, mut_num, row_number() OVER (PARTITION BY ID ORDER BY mut_num DESC NULLS LAST, gene, mutation_str) AS rn FROM cells LEFT JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT')"
