@@ -9,9 +9,12 @@ from .mixing import mix
 from .neardup import near_duplicates
 from .quality import STATISTICS
 from .quality import judge as judge_quality
+from .ranking import score
+from .resampling import importance
 from .secrets import scan
 from .sharding import shard
 from .shared import read
+from .spelling import variants
 from .substrings import remove_repeats
 from .token_counts import count_tokens
 from .token_files import read_documents, write_ids
@@ -108,5 +111,20 @@ def op10_suffix_arrays(spark, sf_dir):
     return find(docs, read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op5_count_viterbi, op6_mcd_quality, op7_forest_secrets, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays)}
+def op11_interned_resampling(spark, sf_dir):
+    """doc_id, n_features, weight, score, rank of every document: 5 % are drawn towards the benchmark's n-grams."""
+    return importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_pairwise_quality(spark, sf_dir):
+    """doc_id, held_out, score, predicted of every document, learned from the quality labels that are not held out."""
+    return score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op13_fm_variants(spark, sf_dir):
+    """word, form, root, n, n_near, form_n of every frequent word of the documents."""
+    return variants(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_feistel_shards, op2_bit_plane_ids, op3_bottom_k_neardup, op4_count_min_substrings, op5_count_viterbi, op6_mcd_quality, op7_forest_secrets, op8_url_automaton, op9_entropy_mix, op10_suffix_arrays, op11_interned_resampling, op12_pairwise_quality, op13_fm_variants)}
 ORACLE_SQL: dict[str, str] = {"op8_url_automaton": OP8_SQL}
