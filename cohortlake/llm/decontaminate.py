@@ -3,10 +3,13 @@
 Each task gathers its documents into shards of about SHARD_BYTES of text and builds the suffix array of each:
 all word positions (but those of words that no benchmark text has, which begin no match), sorted by the words from there to the
 end of their document, by prefix doubling. Then every benchmark suffix that can hold a window is binary-searched in it, one
-word deeper at a time, so that its interval holds the places that share so many words with it. Where the interval narrows, the
-places that drop out have found their longest match with that suffix; those of at least a window that cannot be
-extended to the left either are the maximal verbatim matches, with their places in the document and the item. A window is `window`
-words, or the whole item where it is shorter.
+word deeper at a time, so that its interval holds the places that share so many words with it. The benchmark's suffixes are sorted too, and
+those that agree so far are searched as one: a group is an interval of them, and splits where their next words differ. So a passage that
+thousands of items share, at thousands of places, costs one search, and a match is kept for a place and not for each pair.
+
+Where a group is a window long, its places are hit, by all items of the group. Where the interval of places narrows, those that drop out have found their longest match;
+of a document's longest matches those that no other covers are returned, each with one item that has it and the place in that item; and beside them the ids of all
+items with a window in the document. A window is `window` words, or the whole item where it is shorter.
 
 The benchmark goes to the tasks in blocks of about BLOCK_BYTES of text, one after the other: a block is collected,
 indexed and broadcast, its matches are written, and it is freed before the next one. So neither the driver nor a task holds more than one.
@@ -24,11 +27,10 @@ from .shared import ALNUM_WORD, Tables, gathered, guarded, sha256, small_batches
 
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
-#: Pairs of a benchmark suffix and a place that are spread out at once.
-PAIRS = 1 << 22
 MATCHES = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType()), T.StructField("doc_word", T.LongType()), T.StructField("n_words", T.LongType())]))
 FIELDS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("matches", MATCHES)]
-MATCH = pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
+#: What a block of a benchmark of several finds in a document.
+PARTIAL = [("n_words", T.LongType()), ("matches", MATCHES), ("items", T.ArrayType(T.StringType())), ("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
 
 
 def _separated(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -76,42 +78,44 @@ def _bound(e: np.ndarray, order: np.ndarray, depth: int, low: np.ndarray, high:
     return low
 
 
-def _spread(values: np.ndarray, low: np.ndarray, high: np.ndarray):
-    """(value, place) for each place of each interval, in portions of about PAIRS."""
-    sizes = np.cumsum(high - low)
-    at = 0
-    while at < len(values):
-        # a single interval may exceed the portion and is then cut
-        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PAIRS, "right")))
-        n = (high - low)[at:to]
-        for k in range(low[at], high[at], PAIRS) if to == at + 1 else (None,):
-            if k is None:
-                yield np.repeat(values[at:to], n), np.repeat(low[at:to] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            else:
-                place = np.arange(k, min(k + PAIRS, high[at]))
-                yield np.full(len(place), values[at]), place
-        at = to
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which interval, and the place, for each place of each interval."""
+    n = high - low
+    return np.repeat(np.arange(len(low)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+class Found:
+    """What a benchmark has in a shard: hits (place, words, group) of windows, the groups' intervals among the benchmark's suffixes, and longest matches (place, words, suffix)."""
+
+    def __init__(self, hits, groups, longest):
+        none = np.zeros(0, np.int64)
+        joined = lambda parts, k: tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none,) * k
+        self.place, self.size, self.group = joined(hits, 3)
+        self.low, self.high = joined(groups, 2)
+        self.longest = joined(longest, 3)
 
 
 class Benchmark:
-    """A block of items: the word ids of its distinct texts, the ids of the items that have each, and the suffixes that begin a window."""
+    """A block of items: the word ids of its distinct texts, the ids of the items that have each, and the suffixes that begin a window, sorted."""
 
     def __init__(self, item_ids: list, texts: list, window: int):
         owners: dict[str, list[str]] = {}
-        for i, t in zip(item_ids, texts, strict=True):
-            owners.setdefault(t or "", []).append(str(i))
+        for i, t in sorted(zip(map(str, item_ids), texts, strict=True), key=lambda x: (x[0], x[1] or "")):
+            owners.setdefault(t or "", []).append(i)
         w = words_of(pa.RecordBatch.from_arrays([pa.array(list(owners), pa.string())], names=["text"]), ALNUM_WORD, lower=True)
         h = w.hashes()
+        self.window = window
         self.vocabulary = np.unique(h)
         self.words = _separated(self.word_ids(h), w.first)
         self.depth = int(w.counts.max(initial=0))
         size = np.repeat(w.counts, w.counts + 1)
         self.text = np.repeat(np.arange(len(w.counts)), w.counts + 1)
         self.place = np.arange(len(self.text)) - (w.first[:-1] + np.arange(len(w.counts)))[self.text]
-        self.need = np.where(self.place + window <= size, window, np.where((size < window) & (self.place == 0), size, 0))
-        self.suffixes = np.flatnonzero(self.need)
-        self.items = [i for ids in owners.values() for i in ids]
-        self.first_item = np.cumsum([0, *map(len, owners.values())])
+        need = np.where(self.place + window <= size, window, np.where((size < window) & (self.place == 0), size, 0))
+        order = suffix_array(self.words, self.depth)
+        self.suffixes = order[need[order] > 0]
+        self.need = need
+        self.owners = list(owners.values())
 
     def word_ids(self, h: np.ndarray) -> np.ndarray:
         """1 and above for words of the benchmark, 0 for others."""
@@ -121,38 +125,66 @@ class Benchmark:
         k[k == len(self.vocabulary)] = 0
         return np.where(self.vocabulary[k] == h, k + 1, 0)
 
-    def matches(self, words):
-        """(document, word in it, text, word in it, words) of every maximal match of at least a window, as arrays."""
+    def search(self, words) -> Found:
+        """All windows in the words of a shard, and the longest match of each place that has one. Places count the words with one more behind each document."""
         e = _separated(self.word_ids(words.hashes()), words.first)
         order = suffix_array(e, self.depth)
-        t, found, depth = self.suffixes, [], 1
-        heads = e[order]
-        low, high = np.searchsorted(heads, self.words[t], "left"), np.searchsorted(heads, self.words[t], "right")
-        while len(t := t[alive := high > low]):
-            low, high = low[alive], high[alive]
-            word = self.words[t + depth]
-            inner = _bound(e, order, depth, low, high, word, False)
-            outer = np.where(word > 0, _bound(e, order, depth, inner, high, word, True), inner)
-            full = self.need[t] <= depth
-            for a, z in ((low, inner), (outer, high)):
-                for suffix, k in _spread(t[full], a[full], z[full]):
-                    p = order[k]
-                    new = (e[p - 1] == 0) | (e[p - 1] != self.words[suffix - 1])  # before the first word there is a 0, at the end of the array
-                    found.append((p[new], suffix[new], np.full(int(new.sum()), depth)))
-            low, high, depth = inner, outer, depth + 1
-        p, suffix, n = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        begin = words.first[:-1] + np.arange(len(words.counts))
-        doc = np.searchsorted(begin, p, "right") - 1
-        return doc, p - begin[doc], self.text[suffix], self.place[suffix], n
-
-    def by_item(self, words):
-        """matches() for each item that has the text: (document, word in it, item, word in it, words), in order of the documents."""
-        doc, word, text, place, n = self.matches(words)
-        many = (self.first_item[1:] - self.first_item[:-1])[text]
-        item = np.repeat(self.first_item[text] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        doc, word, place, n = (np.repeat(x, many) for x in (doc, word, place, n))
-        order = np.lexsort((place, item, word, doc))
-        return doc[order], word[order], item[order], place[order], n[order]
+        hits, groups, longest, n_groups, depth = [], [], [], 0, 0
+        low, high = np.zeros(min(1, len(self.suffixes)), np.int64), np.full(min(1, len(self.suffixes)), len(self.suffixes))
+        first, last = np.zeros(len(low), np.int64), np.full(len(low), len(order))
+        while len(low):
+            # each group by the next words of its suffixes, which are sorted by them; those that end here come first, with a 0
+            group, at = _ranges(low, high)
+            word = self.words[self.suffixes[at] + depth]
+            new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (word[1:] != word[:-1])))
+            end = np.append(new[1:], len(at))
+            group, word, sub_low, sub_high = group[new], word[new], at[new], at[end - 1] + 1
+            ended = np.flatnonzero(word == 0)
+            if 0 < depth < self.window and len(ended):  # whole items shorter than a window
+                g, k = _ranges(first[group[ended]], last[group[ended]])
+                hits.append((order[k], np.full(len(k), depth), n_groups + g))
+                groups.append((sub_low[ended], sub_high[ended]))
+                longest.append((order[k], np.full(len(k), depth), self.suffixes[sub_low[ended]][g]))
+                n_groups += len(ended)
+            more = np.flatnonzero(word)
+            inner = _bound(e, order, depth, first[group[more]], last[group[more]], word[more], False)
+            outer = _bound(e, order, depth, inner, last[group[more]], word[more], True)
+            if depth >= self.window:
+                # the places of a group that none of its parts takes on
+                ends = np.ones(int((last - first).sum()) + 1, np.int64)
+                shift = np.cumsum(last - first) - (last - first) - first
+                np.add.at(ends, inner + shift[group[more]], -1)
+                np.add.at(ends, outer + shift[group[more]], 1)
+                ends[1:] -= 1
+                g, k = _ranges(first, last)
+                out = np.cumsum(ends)[:-1] > 0
+                longest.append((order[k[out]], np.full(int(out.sum()), depth), self.suffixes[low][g[out]]))
+            alive = outer > inner
+            low, high, first, last, depth = sub_low[more][alive], sub_high[more][alive], inner[alive], outer[alive], depth + 1
+            if depth == self.window and len(low):
+                g, k = _ranges(first, last)
+                hits.append((order[k], np.full(len(k), depth), n_groups + g))
+                groups.append((low, high))
+                n_groups += len(low)
+        return Found(hits, groups, longest)
+
+    def items_of(self, found: Found, groups: np.ndarray) -> list[str]:
+        """The sorted ids of the items that have one of the groups of windows."""
+        _, at = _ranges(found.low[groups], found.high[groups])
+        return sorted({i for t in np.unique(self.text[self.suffixes[at]]).tolist() for i in self.owners[t]})
+
+
+def covering(found: Found, words) -> tuple[np.ndarray, ...]:
+    """(document, place in it, words, suffix) of the longest matches that no other of their document covers, in order."""
+    place, n, suffix = found.longest
+    order = np.lexsort((suffix, -n, place))
+    place, n, suffix = place[order], n[order], suffix[order]
+    end = place + n  # stays within its document, whose places come before those of the next one
+    reach = np.concatenate(([-1], np.maximum.accumulate(end)))[:-1] if len(end) else end
+    keep = end > reach
+    begin = words.first[:-1] + np.arange(len(words.counts))
+    doc = np.searchsorted(begin, place[keep], "right") - 1
+    return doc, place[keep] - begin[doc], n[keep], suffix[keep]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
@@ -164,23 +196,14 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
         yield n, [r.i for r in block], [r.t for r in block]
 
 
-def _digests(counts: np.ndarray, doc: np.ndarray, word: np.ndarray, n: np.ndarray, item: list[str]):
-    """n_hit, n_items and items_sha256 of each document from its matches."""
-    base = np.concatenate(([0], np.cumsum(counts)))
-    cover = np.zeros(base[-1] + 1, np.int64)
-    np.add.at(cover, base[doc] + word, 1)
-    np.add.at(cover, base[doc] + word + n, -1)
-    hit = np.concatenate(([0], np.cumsum(np.cumsum(cover)[:-1] > 0)))
-    n_items, shas = np.zeros(len(counts), np.int64), np.full(len(counts), sha256(b""), object)
-    cuts = np.searchsorted(doc, np.arange(len(counts) + 1))
-    for d in np.unique(doc):
-        ids = sorted(set(item[cuts[d] : cuts[d + 1]]))
-        n_items[d], shas[d] = len(ids), sha256(",".join(ids).encode())
-    return hit[base[1:]] - hit[base[:-1]], n_items, shas
+def _cover(low: np.ndarray, high: np.ndarray, size: int) -> np.ndarray:
+    """How many of 0..k - 1 lie in an interval, for each k up to size."""
+    change = np.bincount(low, minlength=size + 1) - np.bincount(high, minlength=size + 1)
+    return np.concatenate(([0], np.cumsum(np.cumsum(change)[:-1] > 0)))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item: str = "item_id", bench_text: str = "text") -> DataFrame:
-    """Adds n_words, n_hit, n_items, items_sha256, contaminated and matches (maximal runs, with places) to each row.
+    """Adds n_words, n_hit, n_items, items_sha256, contaminated and matches (longest matches, with places and an item of each) to each row.
 
     Null or wordless texts have no words and are never hit; an item without words has no window. A
     null item_id is listed as `None`; items that share an id count once, and rows that repeat stand alike. Very long texts are a shard of
@@ -197,59 +220,66 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "t
         if k == 0:
             tables = Tables(spark, "decontaminate")
             numbered = tables.put(kept.withColumn("__row", F.monotonically_increasing_id()), "documents")
-        partial = T.StructType([T.StructField("__row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("matches", MATCHES)])
-        parts.append(tables.put(numbered.select("__row", F.col(text).alias("__text")).mapInArrow(_finder(shared, "__text", partial), partial).where((F.size("matches") > 0) | F.lit(k == 0)), f"matches-{k}"))
+        partial = T.StructType([T.StructField("__row", T.LongType()), *(T.StructField(*f) for f in PARTIAL)])
+        parts.append(tables.put(numbered.select("__row", F.col(text).alias("__text")).mapInArrow(_finder(shared, "__text", partial), partial).where((F.size("hits") > 0) | F.lit(k == 0)), f"matches-{k}"))
         shared.destroy()
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p.withColumn("n_words", F.lit(0).cast("long")))
-    found = found.groupBy("__row").agg(F.sum("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))  # one document's matches
-    joined = numbered.join(found, "__row").drop("__row")
-    return joined.select(*kept.columns, "n_words", "matches").mapInArrow(_summary(out), out)
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("matches", "items", "hits")]  # one document's
+    found = found.groupBy("__row").agg(F.sum("n_words").alias("n_words"), *lists).withColumn("items", F.array_sort(F.array_distinct("items")))
+    joined = numbered.join(found, "__row").withColumns({"n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "items"), 256), "contaminated": F.size("hits") > 0})
+    return joined.withColumn("n_hit", _n_hit()).select(*out.names)
+
 
+def _n_hit():
+    """The words in the sorted intervals `hits`."""
+    step = lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["at"]), F.lit(0))).cast("long").alias("n"), F.greatest(a["at"], x["end"]).alias("at"))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.array_sort("hits"), F.struct(zero.alias("n"), zero.alias("at")), step)["n"]
 
-def _lists(doc: np.ndarray, rows: int, item: pa.Array, place: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.Array:
+
+def _listed(doc: np.ndarray, rows: int, fields: list[tuple[str, pa.Array]]) -> pa.Array:
+    """A list of structs for each document, in order."""
     offsets = np.concatenate(([0], np.cumsum(np.bincount(doc, minlength=rows)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([item, *(pa.array(x, pa.int64()) for x in (place, word, n))], fields=list(MATCH)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([a for _, a in fields], names=[n for n, _ in fields]))
 
 
 def _finder(shared, text, schema):
-    """The columns of schema: those of the input, n_words, the digests if schema has them, and matches."""
+    """The columns of schema: those of the input, and those of FIELDS or PARTIAL that it has."""
     names = schema.names
 
     def run(batches):
         bench = shared.value
         for b in gathered(batches, text, SHARD_BYTES):
             words = words_of(b, ALNUM_WORD, lower=True, column=text)
-            doc, word, item, place, n = bench.by_item(words)
-            ids = pa.array(bench.items, pa.string()).take(pa.array(item)) if len(item) else pa.array([], pa.string())
-            made = {"n_words": pa.array(words.counts, pa.int64()), "matches": _lists(doc, b.num_rows, ids, place, word, n)}
+            found, rows = bench.search(words), b.num_rows
+            begin = words.first + np.arange(rows + 1)
+            hit_doc = np.searchsorted(begin, found.place, "right") - 1
+            order = np.lexsort((found.group, hit_doc))
+            cuts = np.searchsorted(hit_doc[order], np.arange(rows + 1))
+            # documents with the same groups have the same items
+            lists, known = [[]] * rows, {}
+            for d in np.flatnonzero(np.diff(cuts)).tolist():
+                groups = np.unique(found.group[order[cuts[d] : cuts[d + 1]]])
+                lists[d] = known.setdefault(groups.tobytes(), groups)
+            digests = {k: (len(ids := bench.items_of(found, g)), sha256(",".join(ids).encode()), ids if "items" in names else None) for k, g in known.items()}
+            none = (0, sha256(b""), [])
+            of_doc = [digests[g.tobytes()] if len(g) else none for g in lists]
+            hit = _cover(found.place, found.place + found.size, int(begin[-1]))[begin]
+            doc, at, n, suffix = covering(found, words)
+            item = pa.array([bench.owners[t][0] for t in bench.text[suffix].tolist()], pa.string())
+            whole = lambda x: pa.array(np.asarray(x), pa.int64())
+            made = {"n_words": whole(words.counts), "matches": _listed(doc, rows, [("item_id", item), ("item_word", whole(bench.place[suffix])), ("doc_word", whole(at)), ("n_words", whole(n))])}
             if "n_hit" in names:
-                made |= _digest_columns(_digests(words.counts, doc, word, n, ids.to_pylist()))
+                made |= {"n_hit": whole(hit[1:] - hit[:-1]), "n_items": whole([x[0] for x in of_doc]), "items_sha256": pa.array([x[1] for x in of_doc], pa.string()), "contaminated": pa.array([x[0] > 0 for x in of_doc], pa.bool_())}
+            else:
+                made |= {"items": pa.array([x[2] for x in of_doc], pa.list_(pa.string())), "hits": _listed(doc, rows, [("start", whole(at)), ("end", whole(at + n))])}
             yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in names], names=names)
 
     return run
 
 
-def _digest_columns(digests) -> dict[str, pa.Array]:
-    n_hit, n_items, shas = digests
-    return {"n_hit": pa.array(n_hit, pa.int64()), "n_items": pa.array(n_items, pa.int64()), "items_sha256": pa.array(shas, pa.string()), "contaminated": pa.array(n_hit > 0)}
-
-
-def _summary(schema):
-    """The digests of documents whose matches come from several blocks."""
-
-    def run(batches):
-        for b in batches:
-            lists = b.column("matches")
-            doc, flat = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
-            word, n = (flat.field(c).to_numpy() for c in ("doc_word", "n_words"))
-            made = _digest_columns(_digests(b.column("n_words").to_numpy(), doc, word, n, flat.field("item_id").to_pylist()))
-            yield pa.RecordBatch.from_arrays([made[c] if c in made else b.column(c) for c in schema.names], names=schema.names)
-
-    return run
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents without any benchmark window, with their own columns, whatever their names. Handles all that find() does."""
     return guarded(docs, [n for n, _ in FIELDS], lambda d: find(d, benchmark, window).where(~F.col("contaminated")))

@@ -575,23 +575,59 @@ def test_suffix_array(texts, depth):
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab c", max_size=40), min_size=1, max_size=4), st.lists(st.text("ab c", max_size=30), min_size=1, max_size=4), st.integers(1, 4))
-def test_maximal_matches(texts, items, window):
-    """Every maximal match of a window or more, and no other."""
+def test_longest_matches_by_place(texts, items, window):
+    """The windows at each place with their items, and the longest matches that no other covers."""
     bench = decontaminate.Benchmark(list(range(len(items))), items, window)
     words = shared.words_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), shared.ALNUM_WORD, lower=True)
-    got = sorted((int(d), int(w), int(bench.items[i]), int(p), int(n)) for d, w, i, p, n in zip(*bench.by_item(words), strict=True))
-    want = []
+    found = bench.search(words)
+    begin = words.first + np.arange(len(texts) + 1)
+    got_hits = set()
+    for p, n, g in zip(found.place.tolist(), found.size.tolist(), found.group.tolist(), strict=True):
+        d = int(np.searchsorted(begin, p, "right")) - 1
+        got_hits.update((d, p - int(begin[d]), n, int(i)) for i in bench.items_of(found, np.array([g])))
+    hits, longest = set(), []
     for d, t in enumerate(texts):
-        for i, b in enumerate(items):
-            x, y = t.split(), b.split()
-            for p in range(len(x)):
-                for q in range(len(y)):
+        x, reach = t.split(), -1
+        for p in range(len(x)):
+            best = 0
+            for i, b in enumerate(items):
+                y = b.split()
+                need = min(window, len(y))
+                for q in range(len(y) - need + 1 if need else 0):
                     n = 0
                     while p + n < len(x) and q + n < len(y) and x[p + n] == y[q + n]:
                         n += 1
-                    if n >= min(window, len(y)) and not (p and q and x[p - 1] == y[q - 1]):
-                        want.append((d, p, i, q, n))
-    assert got == sorted(want)
+                    if n >= need:
+                        hits.add((d, p, need, i))
+                        best = max(best, n)
+            if best and p + best > reach:
+                longest.append((d, p, best))
+                reach = p + best
+    assert got_hits == hits
+    doc, at, n, suffix = decontaminate.covering(found, words)
+    assert list(zip(doc.tolist(), at.tolist(), n.tolist(), strict=True)) == longest
+    for d, p, k, s in zip(doc.tolist(), at.tolist(), n.tolist(), suffix.tolist(), strict=True):
+        item = items[int(bench.owners[bench.text[s]][0])].split()
+        assert item[bench.place[s] :][:k] == texts[d].split()[p : p + k]
+
+
+def test_shared_template():
+    """Thousands of items and places that share a passage cost no pairs: memory and time stay small, and the digests are those of all items."""
+    import tracemalloc
+
+    template = " ".join(f"t{k}" for k in range(15))
+    items = [f"{template} own{i} item{i}" for i in range(3000)]
+    bench = decontaminate.Benchmark(list(range(3000)), items, 10)
+    texts = [f"{template} doc{i}" for i in range(3000)] + ["clean text"]
+    words = shared.words_of(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]), shared.ALNUM_WORD, lower=True)
+    tracemalloc.start()
+    found = bench.search(words)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
+    assert len(found.place) == 3000 * 6 and len(found.low) == 6
+    assert bench.items_of(found, np.arange(6)) == sorted(map(str, range(3000)))
+    doc, at, n, _ = decontaminate.covering(found, words)
+    assert doc.tolist() == list(range(3000)) and set(at.tolist()) == {0} and set(n.tolist()) == {15}
 
 
 @pytest.mark.parametrize("block", [1 << 24, 200])
