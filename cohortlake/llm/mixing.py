@@ -6,8 +6,8 @@ multiplier for each source's constraint, and its solution tilts documents expone
 exp(x_s * size / mean size of s)). Newton's steps find all x_s at once: each aggregates, over the documents, the tokens that the
 rates take and their derivative, with sums that combine before the shuffle; one row for each source stays.
 Documents of one source and size share a rate, so they are counted together first. A step that leaves the bracket known
-so far is replaced by its middle; steps end when all constraints hold to TOLERANCE. Sums are decimal, so that neither
-rows' order nor partitions change a bit of the result.
+so far is replaced by its middle; steps end when all constraints hold to TOLERANCE, or when doubles hold no number between the ends of the bracket. Sums are decimal, of
+shares of the source's size, so that neither rows' order nor partitions change a bit of the result and small sources are summed as finely as large ones.
 
 Each rate is rounded into whole copies: floor(r + u) with u from a hash of the row's key, so that
 reruns agree. u times each of DRAWS odd numbers, less its whole part, gives as many roundings; each source takes the one
@@ -24,7 +24,9 @@ from .shared import Tables, guarded, with_group
 #: Relative distance of each source's expected tokens from its target at which Newton's steps end.
 TOLERANCE = 1e-9
 #: Far more than Newton's steps and the bracket's halvings need; a dual that is not solved by then fails the query.
-MOST_STEPS = 200
+MOST_STEPS = 400
+#: Newton's steps after which every second step halves the bracket.
+NEWTON_STEPS = 20
 #: Roundings of each source that are compared.
 DRAWS = 64
 NAMES = ["size", "source_size", "target", "rate", "copies"]
@@ -67,10 +69,10 @@ def solve_dual(counts: DataFrame, sources: DataFrame, most: float, tables: Table
     state = tables.put(sources.withColumns({"mean": mean, "x": start, "low": none, "high": none}), "dual-0")
     open_ = F.col("x").isin(float("inf"), float("-inf"))
     for k in range(1, MOST_STEPS + 1):
-        params = state.where(~open_).select("key", "mean", "x")
+        params = state.where(~open_).select("key", "mean", "x", "source_size")
         rate = tilted_rate(F.col("size"), F.col("x"), F.col("mean"), most)
-        weight = F.col("n") * F.col("size") * rate
-        exact = lambda c: F.sum(c.cast("decimal(38,6)")).cast("double")
+        weight = F.col("n") * F.col("size") / F.col("source_size") * rate
+        exact = lambda c: F.sum(c.cast("decimal(38,24)")).cast("double") * F.first("source_size")
         slope = F.when(rate < most, weight * F.col("size") / F.col("mean")).otherwise(F.lit(0.0))
         sums = with_group(counts, params, ["key"], n_sources).groupBy("key").agg(exact(weight).alias("taken"), exact(slope).alias("slope"))
         now = state.join(sums, "key", "left")
@@ -80,7 +82,11 @@ def solve_dual(counts: DataFrame, sources: DataFrame, most: float, tables: Table
         middle = F.when(high.isNull(), 2 * F.abs(low) + 1).when(low.isNull(), -2 * F.abs(high) - 1).otherwise((low + high) / 2)
         step = F.col("x") - off * F.col("taken") / F.col("slope")
         inside = (F.col("slope") > 0) & (low.isNull() | (step > low)) & (high.isNull() | (step < high))
-        gap = F.coalesce(F.abs(F.col("taken") / F.col("target") - 1), F.lit(0.0))
+        if k > NEWTON_STEPS and k % 2:
+            inside = inside & (low.isNull() | high.isNull())
+        # a bracket whose middle is one of its ends cannot shrink any more
+        tight = F.coalesce((middle <= low) | (middle >= high), F.lit(False))
+        gap = F.when(tight, F.lit(0.0)).otherwise(F.coalesce(F.abs(F.col("taken") / F.col("target") - 1), F.lit(0.0)))
         done = gap <= TOLERANCE
         new = {"x": F.when(done, F.col("x")).otherwise(F.when(inside, step).otherwise(middle)), "low": low, "high": high, "gap": gap}
         state = tables.put(now.withColumns(new).select(*sources.columns, "mean", "x", "low", "high", "gap"), f"dual-{k}")
@@ -103,7 +109,8 @@ def mix(df: DataFrame, weights: list[float], key: list[str], share: float = 1.0,
     """Adds size, source_size, target, rate and copies to each row of df.
 
     Rows that agree in key get the same u. A null source is a source of its own; a null text has no
-    tokens, and rows without tokens have rate 1 and stay once. An empty table stays empty.
+    tokens, and rows without tokens have rate 1 and stay once. A source of few or short documents is solved like others, but whole copies
+    may not come nearer to its target than half of a document. An empty table stays empty.
     Columns of these names are replaced."""
     spark = df.sparkSession
     tables = Tables(spark, "mixing")

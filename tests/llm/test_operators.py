@@ -549,6 +549,46 @@ def test_mixing_meets_targets(spark, monkeypatch, broadcast):
         assert (g["size"] * g.copies).sum() == pytest.approx(g.target.iloc[0], rel=0.01)
 
 
+def test_small_sources_are_solved(spark):
+    """Hundreds of sources of 1 to 20 documents of 1 to 10 words, with targets that no sum of rounded numbers meets: all end, and the rates meet the targets."""
+    r = random.Random(11)
+    sizes = {f"={k}": [r.randint(1, 10) for _ in range(r.choice([1, 2, 3, 5, 20]))] for k in range(400)}
+    sizes |= {"=heavy": [1] * 30 + [10**7], "=last": [1, 2, 3]}
+    counts = [(k, n, v.count(n)) for k, v in sizes.items() for n in set(v)]
+    targets = {k: r.choice([1 / 7, 0.5, 6 / 7, 1.0, 15 / 7, 2.999]) * sum(v) for k, v in sizes.items()}
+    sources = spark.createDataFrame([(k, sum(v), len(v), targets[k]) for k, v in sizes.items()], "key string, source_size long, n_sized long, target double")
+    out = mixing.solve_dual(spark.createDataFrame(counts, "key string, size long, n long"), sources, 3.0, Tables(spark, "test"), len(sizes))
+    got = {x.key: (x.x, x.mean) for x in out.collect()}
+    for k, v in sizes.items():
+        x, mean = got[k]
+        taken = sum(n * min(3.0, np.exp(x * n / mean)) for n in v)
+        assert taken == pytest.approx(targets[k], rel=1e-8 if k != "=heavy" else 1e-3)
+
+
+def test_mixing_two_documents(spark):
+    docs = spark.createDataFrame([(1, "a", "s0"), (2, "b c", "s1")], "doc_id long, text string, source string")
+    got = {x.source: x for x in mixing.mix(docs, [5.0, 2.0], key=["doc_id"]).collect()}
+    assert got["s0"].target == pytest.approx(15 / 7) and got["s1"].target == pytest.approx(6 / 7)
+    for s in ("s0", "s1"):
+        assert got[s].rate * got[s]["size"] == pytest.approx(got[s].target)
+        assert got[s].copies in (int(got[s].rate), int(got[s].rate) + 1)
+
+
+def test_mixing_copies(docs, rows):
+    """Each document's copies are its rate rounded by one of the hash roundings, the same for a source, and none of the others takes its tokens nearer to the target."""
+    got = mixing.mix(docs.select("doc_id", "text", "source"), [5.0, 2.0, 1.0], key=["doc_id", "text"]).withColumn("u", mixing._unit(["doc_id", "text"], 0)).collect()
+    by_source = {}
+    for x in got:
+        by_source.setdefault(x.source, []).append(x)
+    for some in by_source.values():
+        offs = {}
+        for k in range(1, 2 * mixing.DRAWS, 2):
+            copies = [min(3, int(np.floor(x.rate + (x.u * k - np.floor(x.u * k))))) for x in some]
+            offs[k] = (abs(sum(c * x["size"] for c, x in zip(copies, some, strict=True)) - some[0].target), copies)
+        best = min(offs, key=lambda k: (offs[k][0], k))
+        assert [x.copies for x in some] == offs[best][1]
+
+
 def test_mixing_solves_the_dual(spark):
     """The rates of each source against a plain solver of the same convex problem: rates differ by size, meet the target, and none is nearer to one."""
     out = mixing.mix(spark.createDataFrame(_mixed_rows(), "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"]).drop("text").toPandas()
