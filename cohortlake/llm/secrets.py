@@ -27,7 +27,8 @@ from .shared import Tables, spread_join
 MIN_LENGTH = 16
 #: Issuers' prefixes, behind which fewer signs and dots are taken as well.
 PREFIX = "(?<![A-Za-z0-9])(?:AKIA|ASIA|AIza|eyJ|gh[pousr]_|github_pat_|glpat-|xox[a-z]-|[sr]k_live_|sk-|hf_|npm_|SG\\.)"
-CANDIDATE = f"{PREFIX}[A-Za-z0-9_-]{{8,}}(?:\\.[A-Za-z0-9_-]+)*|[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
+# a group that repeats is possessive: the matcher would go one call deeper for each part that it could give back
+CANDIDATE = f"{PREFIX}[A-Za-z0-9_-]{{8,}}(?:\\.[A-Za-z0-9_-]++)*+|[A-Za-z0-9+/_-]{{{MIN_LENGTH},}}={{0,2}}"
 #: Octets of the shortest candidate by its form.
 SHORTEST = 11
 MIN_DOCS = 5
@@ -41,12 +42,14 @@ CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|privat
 PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|your.?|xxxx|test|[$]\\{|<|environ|getenv)"
 DIGEST = "(?i)(sha\\d*|md5|checksum|digest|commit|revision|hash|uuid|guid|etag|fingerprint|\\bids?\\b|number|order|card|base64)"
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
-#: What stands before an assigned value (group 1: to its quote, or to white space or a quote) or before the password of a url (group 2); values
+#: Signs of an assigned value that are taken at most; so values that each reach over the next ones take no more than so many times the text.
+MOST_SIGNS = 4096
+#: What stands before an assigned value (group 1: to its quote, or to white space, a quote or the next assignment behind one of ;,&) or before the password of a url (group 2); values
 #: are looked at and not consumed, so that one which names the next is no obstacle.
 ASSIGNED = (
     "(?i)(?:token|secret|passw|pwd|api.?key|auth(?!or(?!i))|bearer|credential|private.?key|access.?key)[\\w.\\-]*+[\"'`\\])]*+[ \\t-\\r]*+(?::=|=>|[=:])[ \\t-\\r]*+(?:(?:bearer|basic)[ \\t-\\r]++)?+[\"'`]?+"
-    "(?=((?<=\")[^\"\\r\\n]+|(?<=')[^'\\r\\n]+|(?<=`)[^`\\r\\n]+|(?<![\"'`])[^ \\t-\\r\"'`]+))"
-    "|://[^ \\t-\\r/:@\"'`]*+:(?=([^ \\t-\\r@\"'`]+)@)"
+    f"(?=((?<=\")[^\"\\r\\n]{{1,{MOST_SIGNS}}}|(?<=')[^'\\r\\n]{{1,{MOST_SIGNS}}}|(?<=`)[^`\\r\\n]{{1,{MOST_SIGNS}}}|(?<![\"'`])(?:[^ \\t-\\r\"'`;,&]|[;,&](?![\\w.\\-]{{1,99}}[=:])){{1,{MOST_SIGNS}}}+))"
+    f"|://[^ \\t-\\r/:@\"'`]*+:(?=([^ \\t-\\r@\"'`]{{1,{MOST_SIGNS}}})@)"
 )
 FEATURES = ["length", "digits", "uppers", "others", "distinct", "switches", "transitions", "hex", "words", "placeholder", "named", "assigned", "quoted", "named_near", "digest_near", "path_depth", "path_test"]
 
@@ -55,31 +58,49 @@ def _word(w: Column, i: Column) -> Column:
     return F.coalesce(F.get(w, i), F.lit(""))
 
 
+#: Signs of each neighbouring word, and of what stands before a candidate in its word, that features see.
+NEAR = 200
+#: Stands for the place of a value while words are counted; in texts another one stands for it.
+MARK, NO_MARK = "\ue000", "\ue001"
+
+
+def _packed(word: Column, token: Column, start: Column | None = None) -> Column:
+    """A candidate as one string, since arrays of strings are told apart by hashing and those of structs by comparing all pairs."""
+    return F.concat(word.cast("string"), F.lit(":"), F.length(token).cast("string"), F.lit(":"), token, *([] if start is None else [start]))
+
+
+def _unpacked(x: Column, start: Column | None) -> Column:
+    """(word, token, start): what stands behind the token in x, or the given start."""
+    parts = F.transform(F.array(F.split(x, ":", 3)), lambda p: F.struct(p[0].cast("int").alias("word"), F.left(p[2], p[1].cast("int")).alias("token"), (F.substr(p[2], p[1].cast("int") + 1) if start is None else start).alias("start")))
+    return parts[0]
+
+
 def _assigned(t: Column) -> Column:
-    """An array of (word, token, start): assigned values, the place of their first word, and what they are assigned to."""
-    white = lambda x: F.regexp_count(x, F.lit("[ \\t-\\r]+"))
+    """An array of (word, token, start), packed: assigned values, the place of their first word, and what they are assigned to. In time proportional to the text."""
     value = F.zip_with(F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(2)), lambda x, y: F.concat(x, y))
-    each = F.arrays_zip(F.split(t, ASSIGNED).alias("gap"), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0)).alias("start"), value.alias("token"))
-    each = F.filter(each, lambda x: x["start"].isNotNull())  # the last gap has no value
-    # white space before a value, counted over gaps and starts: neither ends inside a run of it
-    none = F.array().cast("array<struct<word:int,token:string,start:string>>")
-    step = lambda a, x: (a["n"] + white(x["gap"]) + white(x["start"])).cast("int")
-    made = F.aggregate(each, F.struct(F.lit(0).alias("n"), none.alias("all")), lambda a, x: F.struct(step(a, x).alias("n"), F.concat(a["all"], F.array(F.struct(step(a, x).alias("word"), x["token"].alias("token"), x["start"].alias("start")))).alias("all")))
-    return F.when(t.rlike(ASSIGNED), F.array_distinct(F.filter(made["all"], lambda x: F.trim(x["token"]) != ""))).otherwise(none)
+    # a mark before each value tells its word; a word has as many values as marks
+    marked = F.split(F.regexp_replace(F.replace(t, F.lit(MARK), F.lit(NO_MARK)), F.lit(ASSIGNED), F.lit("$0" + MARK)), "[ \\t-\\r]+")
+    place = F.flatten(F.transform(marked, lambda w, i: F.array_repeat(i, F.length(w) - F.length(F.replace(w, F.lit(MARK), F.lit(""))))))
+    each = F.arrays_zip(place.alias("word"), F.regexp_extract_all(t, F.lit(ASSIGNED), F.lit(0)).alias("start"), value.alias("token"))
+    some = F.filter(each, lambda x: F.trim(x["token"]) != "")
+    return F.when(t.rlike(ASSIGNED), F.array_distinct(F.transform(some, lambda x: _packed(x["word"], x["token"], F.right(x["start"], F.lit(NEAR)))))).otherwise(F.array().cast("array<string>"))
 
 
 def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """(doc_id, path, word, own, before, after, token, start): each candidate with the place and the signs of its (first) word, the words next to it and what stands before it in its word or assigns it."""
+    """(doc_id, path, word, before, after, token, start): each candidate with the place of its (first) word, the NEAR signs next to it of the words around and
+    what stands before it in its word, or what it is assigned to."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.split(t, "[ \\t-\\r]+")
     place = lambda w: F.filter(F.transform(w, lambda x, i: F.when((F.octet_length(x) >= SHORTEST) & x.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
-    by_form = lambda w: F.flatten(F.transform(place(w), lambda i: F.transform(F.array_distinct(F.regexp_extract_all(F.get(w, i), F.lit(CANDIDATE), F.lit(0))), lambda x: F.struct(i.alias("word"), x.alias("token")))))
-    key = lambda v: F.transform(v, lambda x: F.struct(x["word"].alias("word"), x["token"].alias("token")))
-    rest = lambda w, v: F.transform(F.array_except(by_form(w), key(v)), lambda x: F.struct(x["word"].alias("word"), x["token"].alias("token"), F.lit(None).cast("string").alias("start")))
-    near = lambda w, x: F.struct(x["word"].alias("word"), F.get(w, x["word"]).alias("own"), F.concat_ws(" ", *(_word(w, x["word"] - k) for k in (3, 2, 1))).alias("before"), F.concat_ws(" ", *(_word(w, x["word"] + k) for k in (1, 2))).alias("after"), x["token"].alias("token"), x["start"].alias("start"))
-    both = F.transform(F.array(F.struct(words.alias("w"), _assigned(t).alias("v"))), lambda d: F.transform(F.concat(d["v"], rest(d["w"], d["v"])), lambda x: near(d["w"], x)))[0]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.explode(both).alias("x")).select("doc_id", "path", "x.*")
-    return rows.withColumn("start", F.coalesce("start", F.call_function("substring_index", F.col("own"), F.col("token"), F.lit(1))))
+    by_form = lambda w: F.flatten(F.transform(place(w), lambda i: F.transform(F.array_distinct(F.regexp_extract_all(F.get(w, i), F.lit(CANDIDATE), F.lit(0))), lambda x: _packed(i, x))))
+    of_values = lambda v: F.transform(v, lambda x: F.transform(F.array(_unpacked(x, None)), lambda y: _packed(y["word"], y["token"]))[0])
+    ahead = lambda w, x: F.right(F.call_function("substring_index", F.get(w, x["word"]), x["token"], F.lit(1)), F.lit(NEAR))
+    rest = lambda w, v: F.transform(F.array_except(by_form(w), of_values(v)), lambda x: F.transform(F.array(_unpacked(x, F.lit(""))), lambda y: F.struct(y["word"].alias("word"), y["token"].alias("token"), ahead(w, y).alias("start")))[0])
+    before = lambda w, i: F.concat_ws(" ", *(F.right(_word(w, i - k), F.lit(NEAR)) for k in (3, 2, 1)))
+    after = lambda w, i: F.concat_ws(" ", *(F.left(_word(w, i + k), F.lit(NEAR)) for k in (1, 2)))
+    near = lambda w, x: F.struct(x["word"].alias("word"), before(w, x["word"]).alias("before"), after(w, x["word"]).alias("after"), x["token"].alias("token"), x["start"].alias("start"))
+    both = F.transform(F.array(F.struct(words.alias("w"), _assigned(t).alias("v"))), lambda d: F.transform(F.concat(F.transform(d["v"], lambda x: _unpacked(x, None)), rest(d["w"], d["v"])), lambda x: near(d["w"], x)))[0]
+    return docs.select(F.col(doc_id).alias("doc_id"), (F.col(path) if path else F.lit(None)).cast("string").alias("path"), F.explode(both).alias("x")).select("doc_id", "path", "x.*")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -269,7 +290,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_
 
     labelled: findings with FEATURES and label; by default planted ones. If the caller's lack a label, every candidate has that of the
     others, and without any counts as a secret. Null and empty texts have no candidates, very long ones are scanned whole; an
-    empty table gives none. A candidate that repeats in its word counts once for each thing that it is assigned to, else once, in the context of
+    empty table gives none. Of an assigned value of more than MOST_SIGNS signs these are taken. A candidate that repeats in its word counts once for each thing that it is assigned to, else once, in the context of
     its first place. Ids may repeat or be null: rows that repeat are scanned alike. Other columns of docs are not read, whatever their names."""
     tables = Tables(docs.sparkSession, "secrets")
     found = tables.put(candidates(docs, doc_id, text, path), "candidates")

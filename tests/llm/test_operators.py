@@ -411,6 +411,22 @@ def test_secret_forms(spark):
     assert sorted(got)[-1:] == [x for x in got if x[0] == len(texts) - 1]
 
 
+def test_secrets_in_long_texts(spark):
+    """A token of half a million parts, 100,000 assignments in one text, and thousands of keys and assignments in one word: each found, in time that grows with the text."""
+    parts = "eyJabcdefgh" + ".ab" * 350_000
+    many = " ".join(f"token=v{i}" for i in range(100_000))
+    one = ",".join(f"k{i:019d}" for i in range(3000))
+    pairs = ";".join(f"secret=w{i}" for i in range(20_000)) + " \ue000 token=\ue000x"
+    rows = [(0, parts), (1, many), (2, one), (3, pairs)]
+    found = secrets.candidates(spark.createDataFrame(rows, "doc_id long, text string"), path=None).select("doc_id", "word", "token", "start").toPandas()
+    of = lambda i: found[found.doc_id == i]
+    assert of(0).token.tolist() == [parts]
+    assert sorted(zip(of(1).word, of(1).token, strict=True)) == [(i, f"v{i}") for i in range(100_000)]
+    assert set(of(2).token) == {f"k{i:019d}" for i in range(3000)} and set(of(2).word) == {0}
+    assert set(of(3)[of(3).word == 0].token) == {f"w{i}" for i in range(20_000)} and of(3)[of(3).word == 2].token.tolist() == ["\ue000x"]
+    assert found.start.str.len().max() <= secrets.NEAR
+
+
 def test_forest_held_out(spark):
     """Held-out accuracy on a caller's labelled findings of two kinds."""
     from pyspark.sql import functions as F
