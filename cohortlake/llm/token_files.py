@@ -292,12 +292,14 @@ def write_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str
     """Encodes and writes all documents in ascending order of doc_id; returns the manifest, a row for each file, with `start`, the ids in files before it.
 
     tokenizer is a file that all workers can open. Null texts are empty and hold END_ID alone; null ids come first; rows
-    that repeat an id follow in order of their text. An empty table gives an empty manifest."""
+    that repeat an id follow in order of a hash of their text. An empty table gives an empty manifest."""
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark, "token-ids")
-    key = [F.col(doc_id).asc_nulls_first(), F.col(text).asc_nulls_first()]
-    ranged = docs.select(doc_id, text).repartitionByRange(key[0]).sortWithinPartitions(*key)
+    # rows that share an id, however many, are dealt over ranges by a hash of their text, and equal ones by where they were read
+    tied = docs.select(doc_id, text).withColumns({"__hash": F.xxhash64(text), "__tie": F.monotonically_increasing_id()})
+    key = [F.col(doc_id).asc_nulls_first(), F.col("__hash").asc(), F.col("__tie").asc()]
+    ranged = tied.repartitionByRange(*key).sortWithinPartitions(*key).select(doc_id, text)
     root = tables.path("files")
 
     def run(batches):

@@ -113,14 +113,29 @@ def test_token_files(spark, docs, empty, rows, kind):
     path = tokenizer_file("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
     got = token_files.read_documents(token_files.write_ids(docs, path, kind=kind), docs.schema["doc_id"].dataType, 3).orderBy("start").collect()
+    from pyspark.sql import functions as F
+
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
     at = 0
-    for r, g in zip(sorted(rows, key=order), got, strict=True):
+    for r, g in zip(sorted(rows, key=lambda r: (*order(r)[:2], hashed[r[1]])), got, strict=True):
         ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
         assert tuple(g) == (r[0], at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_files.read_documents(token_files.write_ids(empty, path), docs.schema["doc_id"].dataType, 2).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_token_files_of_a_hot_id(spark, hot):
+    """Rows that share one id, with unlike and with equal texts, are dealt over tasks like others."""
+    rows = [(hot, f"text {i if i % 2 else 0}") for i in range(4000)] + [(i, "x") for i in range(100)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions are joined otherwise
+    manifest = token_files.write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tokenizer_file("word_bpe_49k.json"))
+    sizes = [r.n_docs for r in manifest.collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4100 and max(sizes) < 2000
+    assert token_files.read_documents(manifest, manifest.schema["part"].dataType, 3).where("doc_id is null" if hot is None else "doc_id = 7").count() == (4000 if hot is None else 4001)
+
+
 def test_other_tokenizers():
     """A tokenizer that neither lowers case nor drops white space goes to the library whole."""
     from tokenizers import Tokenizer
