@@ -175,7 +175,7 @@ def estimates(good: DataFrame, tables: Tables) -> tuple[DataFrame, int]:
     """(__lang, __source, m.., l..) for each language and source of rows (__lang, __source, x0..), and their number."""
     groups = tables.put(good.groupBy("__lang", "__source").agg(F.count("*").alias("n")), "groups")
     n_groups = groups.count()
-    levels = [F.struct(F.lit(0).alias("level"), F.concat("__lang", F.lit("\n"), "__source").alias("group")), F.struct(F.lit(1).alias("level"), F.col("__lang").alias("group")), F.struct(F.lit(2).alias("level"), F.lit("").alias("group"))]
+    levels = [F.struct(F.lit(0).alias("level"), F.concat(F.length("__lang").cast("string"), F.lit(":"), F.col("__lang"), F.col("__source")).alias("group")), F.struct(F.lit(1).alias("level"), F.col("__lang").alias("group")), F.struct(F.lit(2).alias("level"), F.lit("").alias("group"))]
     named = lambda at: F.concat(at["level"].cast("string"), at["group"])
     vectors = tables.put(good.select(F.explode(F.array(*map(named, levels))).alias("group"), *(f"x{i}" for i in range(P))), "vectors")
     params = fit(vectors, tables, 2 * n_groups + 1)
