@@ -75,7 +75,9 @@ def cut_counts(seq: Column, cutoffs: list[float]) -> Column:
         return F.transform(letters, lambda c: F.length(piece) - F.length(F.replace(piece, c, F.lit(""))))
 
     def sums(at: Column) -> Column:
-        pieces = F.transform(F.slice(at, 2, F.size(at)), lambda z, i: counted(F.substring(s, F.get(at, i) + 1, z - F.get(at, i))))
+        # the pieces are made before their letters are counted, else each would be cut out again for each letter
+        cut = F.transform(F.slice(at, 2, F.size(at)), lambda z, i: F.substring(s, F.get(at, i) + 1, z - F.get(at, i)))
+        pieces = F.transform(cut, counted)
         step = lambda a, x: F.array_append(a, F.zip_with(F.element_at(a, -1), x, lambda p, q: p + q))
         return F.struct(at.alias("at"), F.aggregate(pieces, F.array(zeros), step).alias("counts"))
 
@@ -176,8 +178,9 @@ def parse_edit(token: Column) -> Column:
 
 
 _PLACE = "0*[1-9][0-9]{0,8}"
-#: Mutation strings that plain string functions apply: substitutions, or one other edit that needs no list of letters.
-SIMPLE = f"^(WT|[A-Z*]{_PLACE}[A-Z]( [A-Z*]{_PLACE}[A-Z])*|[A-Z*]{_PLACE}[*]|[A-Z]{_PLACE}del|[A-Z-]{_PLACE}fs|[A-Z]{_PLACE}delins[A-Z]+|[A-Z]{_PLACE}_[A-Z]{_PLACE}(del|ins[A-Z]+))$"
+#: Mutation strings that plain string functions apply: substitutions, or one other edit that needs no list of letters. The group that
+#: repeats is possessive, as the matcher would go one call deeper for each token that it could give back.
+SIMPLE = f"^(WT|[A-Z*]{_PLACE}[A-Z](?: [A-Z*]{_PLACE}[A-Z])*+|[A-Z*]{_PLACE}[*]|[A-Z]{_PLACE}del|[A-Z-]{_PLACE}fs|[A-Z]{_PLACE}delins[A-Z]+|[A-Z]{_PLACE}_[A-Z]{_PLACE}(del|ins[A-Z]+))$"
 
 
 def _simple(wild: Column, mutation_str: Column, apply) -> Column:

@@ -85,6 +85,20 @@ def test_mutate(spark):
     assert {k: v.m for k, v in got.items()} == MUTATED
 
 
+def test_long_cells(spark):
+    """A cell of 20,000 substitutions, and one that ends in a token of another kind: no pattern goes deeper with each token."""
+    import random
+
+    r = random.Random(6)
+    wild = "".join(r.choice(P.STANDARD) for _ in range(3000))
+    points = [f"{wild[k % 3000]}{k % 3000 + 1}{P.STANDARD[k % 20]}" for k in range(20_000)]
+    cells = [" ".join(points), " ".join([*points[:5000], "x"])]
+    df = spark.createDataFrame([(wild, c) for c in cells], "w string, m string")
+    got = df.select(F.col("m").rlike(P.SIMPLE).alias("simple"), P.simple_mutated(F.col("w"), F.col("m")).alias("s"), P.simple_length(F.col("w"), F.col("m")).alias("n")).collect()
+    assert [x.simple for x in got] == [True, False]
+    assert got[0].s == P.mutated(wild, cells[0]) and got[0].n == len(got[0].s)
+
+
 def test_saac(spark):
     cases = [("ACDEF", "A1T", 0.2), ("ACDEF", "A1fs", 0.2), ("ACDEF", "A1T", 0.1), ("ACD", "x", 0.2), (None, "A1fs", 0.2)]
     df = spark.createDataFrame(cases, "seq string, m string, cut double")
