@@ -406,13 +406,13 @@ MATCH_SQL = f"{PAIRS_SQL}, mutated AS (SELECT DISTINCT ID, gene, mutation_str FR
 @query(f"{MATCH_SQL} SELECT ID, gene, mutation_str FROM matched")
 def sample_match_cross(spark, sf):
     """J10, cross."""
-    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf)).select("ID", "gene", "mutation_str")
+    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf).select(*C.KEYS)).select("ID", "gene", "mutation_str")
 
 
 @query(f"{PAIRS_SQL} SELECT DISTINCT ID, gene, mutation_str, type FROM cells JOIN enc USING (gene, mutation_str) WHERE mutation_str <> 'WT'")
 def sample_match_pair(spark, sf):
     """J10, pair."""
-    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf), "pair").select("ID", "gene", "mutation_str", "type")
+    return S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf).select(*C.KEYS, "type"), "pair").select("ID", "gene", "mutation_str", "type")
 
 
 # --- samples ------------------------------------------------------------------------------------
@@ -432,7 +432,7 @@ def sample_mutation_stats(spark, sf):
 @query(f"{MATCH_SQL} SELECT ID, {', '.join(f'round(avg({c}), 6) AS {c}' for c in S.AA_STATS)} FROM matched GROUP BY ID")
 def sample_aa_change_stats(spark, sf):
     """A10."""
-    m = S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf))
+    m = S.sample_mutation_match(D.cells(spark, sf), D.encoding(spark, sf).select(*C.KEYS, *S.AA_STATS))
     return S.sample_aa_change_stats(m).select("ID", *rounded(S.AA_STATS))
 
 

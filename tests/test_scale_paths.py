@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import proteins as P
 from cohortlake.operators import cohort as C
 from cohortlake.operators import features as X
+from cohortlake.operators import joins as J
 from cohortlake.operators import samples as S
 from cohortlake.operators import sequences as Q
 
@@ -78,6 +79,37 @@ def test_cross_match_ways(spark):
     assert got == sorted((i, g, m, k) for i, (genes, words) in mine.items() for g, m, k in full if g in genes and m in words)
 
 
+def test_cross_match_with_hot_keys(spark, monkeypatch):
+    """A string of a tenth of the samples and a gene of half of them, cut into a grid, give what small keys give."""
+    r = random.Random(5)
+    cells = [(str(i), "x", f"g{g}", "hot" if r.random() < 0.1 else f"A{r.randint(1, 9)}T") for i in range(300) for g in {0 if i % 2 else 1, *r.sample(range(40), 3)}]
+    full = [(f"g{g}", m) for g in range(40) for m in ("hot", "A1T", "A2T", "A9T", "A99T")] + [("g0", None)]
+    long, table = spark.createDataFrame(cells, LONG), spark.createDataFrame(full, "gene string, mutation_str string")
+    monkeypatch.setattr(J, "HEAVY_KEYS", 50)
+    got = sorted(map(tuple, S.sample_mutation_match(long, table).select("ID", "gene", "mutation_str").collect()))
+    genes, words = {}, {}
+    for i, _, g, m in cells:
+        genes.setdefault(i, set()).add(g)
+        words.setdefault(i, set()).add(m)
+    assert got == sorted((i, g, m) for i in genes for g, m in full if g in genes[i] and m in words[i])
+
+
+def test_grid_join_is_even(spark):
+    """A key of half of both sides: the same rows as a plain join, and no task with many more than others."""
+    left = J.stored(spark.range(6000).select(F.when(F.col("id") % 2 == 0, "h").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("a")), "left")
+    right = J.stored(spark.range(600).select(F.when(F.col("id") % 2 == 0, "h").otherwise(F.col("id").cast("string")).alias("k"), F.col("id").alias("b")), "right")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    made = J.grid_join(left, right, ["k"], "a", "b", parts=20)
+    tasks = [x["count"] for x in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert made.exceptAll(left.join(right, "k")).count() == 0 and sum(tasks) == 3000 * 300 + 300
+    for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold"):
+        spark.conf.unset(c)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(tasks) == 16 and max(tasks) < 3 * sum(tasks) / 16
+
+
 def test_attach_matches_nulls(spark):
     long = spark.createDataFrame([("1", "x", "g", None), ("2", "x", "g", "WT"), ("3", "x", "g", "nan"), ("4", "x", "g", "A1T"), ("5", "x", "h", "WT")], LONG)
     table = spark.createDataFrame([("g", None, 0), ("g", "WT", 1), ("g", "nan", 2), ("g", "A1T", 3)], "gene string, mutation_str string, v int")
