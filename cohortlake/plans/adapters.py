@@ -16,6 +16,8 @@ from cohortlake.operators.sequences import DATABASES, add_mutated_sequences
 LETTERS = P.STANDARD
 PLACES = 97
 WIDE_GENES = [f"g{k}" for k in range(12)]
+#: As many genes as the survey's list of high-frequency ones; their samples are customers.
+BIG_GENES = [f"G{k}" for k in range(326)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,9 +69,9 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS_SQL = f"""{ISO_SQL},
 firsts AS (SELECT gene, arg_min(wt_seq, isoform_ord) AS seq FROM iso GROUP BY gene),
-lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS ID, o_orderpriority AS SUBCLASS, 'G' || (l_partkey // 10) AS gene, 'g' || (l_partkey % 12) AS col, l_partkey % 97 + 1 AS p, (l_orderkey + l_linenumber) % 14 AS k, substr('{LETTERS}', l_suppkey % 20 + 1, 1) AS m, substr('{LETTERS}', (l_partkey + l_suppkey) % 20 + 1, 1) AS m2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS ID, o_orderpriority AS SUBCLASS, 'G' || (l_partkey // 10) AS gene, 'g' || (l_partkey % 12) AS col, 'G' || (l_partkey % {len(BIG_GENES)}) AS big, CAST(o_custkey AS VARCHAR) AS cust, l_partkey % 97 + 1 AS p, (l_orderkey + l_linenumber) % 14 AS k, substr('{LETTERS}', l_suppkey % 20 + 1, 1) AS m, substr('{LETTERS}', (l_partkey + l_suppkey) % 20 + 1, 1) AS m2 FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 seqs AS (SELECT lines.*, coalesce(nullif(substr(seq, p, 1), ''), 'A') AS o, coalesce(nullif(substr(seq, p + 1, 1), ''), 'A') AS o1, coalesce(nullif(substr(seq, p + 2, 1), ''), 'A') AS o2 FROM lines LEFT JOIN firsts USING (gene)),
-muts AS (SELECT ID, SUBCLASS, gene, col, CASE k WHEN 0 THEN o || p || m WHEN 1 THEN o || p || o WHEN 2 THEN o || p || '*' WHEN 3 THEN o || p || 'fs' WHEN 4 THEN '-' || p || 'fs' WHEN 5 THEN o || p || 'del' WHEN 6 THEN o || p || '_' || o2 || (p + 2) || 'del' WHEN 7 THEN o || p || '_' || o1 || (p + 1) || 'ins' || m || m2 WHEN 8 THEN o || p || 'delins' || m || m2 WHEN 9 THEN p || '_' || (p + 1) || o || o1 || '>' || m || m2 WHEN 10 THEN o || p || m || ' ' || o2 || (p + 2) || m2 WHEN 11 THEN 'p.' || p WHEN 12 THEN 'WT' ELSE '*' || p || '*' END AS mutation_str FROM seqs),
+muts AS (SELECT ID, SUBCLASS, gene, col, big, cust, CASE k WHEN 0 THEN o || p || m WHEN 1 THEN o || p || o WHEN 2 THEN o || p || '*' WHEN 3 THEN o || p || 'fs' WHEN 4 THEN '-' || p || 'fs' WHEN 5 THEN o || p || 'del' WHEN 6 THEN o || p || '_' || o2 || (p + 2) || 'del' WHEN 7 THEN o || p || '_' || o1 || (p + 1) || 'ins' || m || m2 WHEN 8 THEN o || p || 'delins' || m || m2 WHEN 9 THEN p || '_' || (p + 1) || o || o1 || '>' || m || m2 WHEN 10 THEN o || p || m || ' ' || o2 || (p + 2) || m2 WHEN 11 THEN 'p.' || p WHEN 12 THEN 'WT' ELSE '*' || p || '*' END AS mutation_str FROM seqs),
 cells AS (SELECT ID, SUBCLASS, gene, min(mutation_str) AS mutation_str FROM muts GROUP BY ID, SUBCLASS, gene)"""
 
 
@@ -84,6 +86,16 @@ wide AS (SELECT ID, SUBCLASS, {", ".join(f"coalesce(min(CASE WHEN col = '{g}' TH
 wlong AS (UNPIVOT wide ON {", ".join(WIDE_GENES)} INTO NAME gene VALUE mutation_str)"""
 
 
+def big_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long cohort of customers over BIG_GENES; cells that are not there are WT."""
+    raw = _raw_cells(spark, sf_dir, F.concat(F.lit("G"), (F.col("l_partkey") % len(BIG_GENES)).cast("string")))
+    customers = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("ID"), F.col("o_custkey").cast("string").alias("customer"))
+    return raw.join(customers, "ID").groupBy(F.col("customer").alias("ID"), F.col("column").alias("gene")).agg(F.min("mutation_str").alias("mutation_str"))
+
+
+BIG_SQL = f"{CELLS_SQL}, big AS (SELECT cust AS ID, big AS gene, min(mutation_str) AS mutation_str FROM muts GROUP BY ALL)"
+
+
 def train(df: DataFrame) -> DataFrame:
     return df.where(F.col("ID").cast("long") % 5 < 4)
 

@@ -12,6 +12,7 @@ from cohortlake.operators import features as X
 from cohortlake.operators import samples as S
 from cohortlake.operators import sequences as Q
 from cohortlake.operators import stats as A
+from cohortlake.operators import wide as W
 from cohortlake.plans import adapters as D
 from cohortlake.session import scratch_path
 from cohortlake.sources import files as IO
@@ -359,6 +360,27 @@ def saac_feature_table(spark, sf):
     return X.saac_features(wide, table, D.WIDE_GENES, _SAAC_FEATURES).select("ID", "SUBCLASS", *rounded([f"{g}_{c}" for g in D.WIDE_GENES for c in _SAAC_FEATURES]))
 
 
+_BIG_WIDTH = len(P.SAAC_COLUMNS) + 2
+_BIG_CHOSEN = CHOSEN_SQL.replace(CELLS, f"WITH {D.BIG_SQL}", 1).replace("SELECT DISTINCT gene, mutation_str FROM cells)", f"SELECT DISTINCT gene, mutation_str FROM big UNION SELECT 'G' || i, 'WT' FROM generate_series(0, {len(D.BIG_GENES) - 1}) AS s(i))", 1)
+_PLACE = f"CAST(substr(gene, 2) AS INT) * {_BIG_WIDTH}"
+_BIG_CODE = f"(list_position([{', '.join(repr(r) for r in P.REGIONS)}], region) - 1) * {len(P.CODES)} + list_position([{', '.join(repr(c) for c in P.CODES)}], code) - 1"
+
+
+@query(f"""{_BIG_CHOSEN}, {_SAAC_OF}, {_saac_sql('saacseq', '0.2')}, parts AS (SELECT gene, mutation_str, sum(share * (({_PLACE} + {_BIG_CODE}) % 97 + 1)) AS t FROM shares GROUP BY ALL),
+totals AS (SELECT gene, mutation_str, t + len(mutation_str) * (({_PLACE} + {_BIG_WIDTH - 2}) % 97 + 1) + CASE WHEN mutation_str = 'WT' THEN 0 ELSE ({_PLACE} + {_BIG_WIDTH - 1}) % 97 + 1 END AS t FROM parts),
+cells2 AS (SELECT big.ID, a.t - b.t AS d FROM big JOIN totals a ON big.gene = a.gene AND big.mutation_str = a.mutation_str JOIN totals b ON big.gene = b.gene AND b.mutation_str = 'WT')
+SELECT ID, {len(D.BIG_GENES) * _BIG_WIDTH} AS size, round((SELECT sum(t) FROM totals WHERE mutation_str = 'WT') + sum(d), 3) AS total FROM cells2 GROUP BY ID""")
+def saac_vectors(spark, sf):
+    """P11, F1 at 326 genes x 65 features: an array of 21,190 values for each customer, here as its size and a weighted sum."""
+    cells = D.big_cells(spark, sf)
+    wild = spark.createDataFrame([(g, "WT") for g in D.BIG_GENES], "gene string, mutation_str string")
+    s = Q.add_mutated_sequences(C.mutation_dictionary(cells).union(wild).distinct(), D.isoforms(spark, sf))
+    seqs = C.full_sequence_table(s, s.limit(0)).select("gene", "mutation_str", "seq")
+    table = seqs.select("gene", "mutation_str", F.concat(P.saac(F.col("seq"), F.col("mutation_str")), F.array(F.length("mutation_str").cast("double"), C.is_mutated().cast("double"))).alias("values"))
+    v = W.saac_vectors(cells, table, D.BIG_GENES, _BIG_WIDTH)
+    return v.select("ID", F.size("features").alias("size"), F.round(W.weighted_sum(F.col("features")), 3).alias("total"))
+
+
 _SHORT = "short AS (SELECT gene, mutation_str, length(mutation_str) AS len, CAST(mutation_str <> 'WT' AS INT) AS hit FROM (SELECT DISTINCT gene, mutation_str FROM wlong))"
 
 
