@@ -199,9 +199,16 @@ def dedupe_keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFr
 
 
 def full_sequence_table(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Train, then test, first of each key; seq is the wild type for WT rows, else the mutated sequence."""
+    """Train, then test, first of each key by isoform_id; seq is the wild type for WT rows, else the mutated sequence.
+
+    The winners are chosen by narrow keys, in an aggregation that combines before the shuffle; sequences are dealt once, to be met by
+    their winner. Null keys are keys like others; of rows that agree in key, table and isoform the one with the least hash of its sequences stays."""
     both = train.withColumn("__source", F.lit(0)).unionByName(test.withColumn("__source", F.lit(1)), allowMissingColumns=True)
-    first = dedupe_keep_first(both, KEYS, ["__source", "isoform_id"]).drop("__source")
+    key = [F.coalesce(F.concat(F.lit("="), c), F.lit("-")).alias(f"__{c}") for c in KEYS]
+    keyed = both.select("*", *key, F.struct("__source", "isoform_id", F.xxhash64("wt_seq", "mut_seq").alias("h")).alias("__order"))
+    names = [f"__{c}" for c in KEYS]
+    best = keyed.groupBy(*names).agg(F.min("__order").alias("__best"))
+    first = keyed.join(best, names).where(F.col("__order") == F.col("__best")).dropDuplicates(names).drop(*names, "__order", "__best", "__source")
     return first.withColumn("seq", F.when(is_mutated(), F.col("mut_seq")).otherwise(F.col("wt_seq")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import mutations as M
 from cohortlake.operators.cohort import attach, attach_labels, attach_saac, pivot_features, unpivot_cohort
+from cohortlake.operators.joins import global_numbers
 
 #: Strata or classes whose rows of parameters are broadcast at most.
 MANY_STRATA = 50_000
@@ -26,7 +27,7 @@ def saac_features(cohort: DataFrame, saac: DataFrame, genes: list[str], features
 def index_labels(df: DataFrame, col: str, order: str | None = None) -> DataFrame:
     """the distinct values of col with index 0, 1, ...: sorted, or by first appearance in `order`."""
     by = F.min(order) if order else F.first(col)
-    return df.groupBy(col).agg(by.alias("__o")).select(col, (F.row_number().over(Window.orderBy("__o", col)) - 1).alias("index"))  # a row for each label
+    return global_numbers(df.groupBy(col).agg(by.alias("__o")), ["__o", col], "index").select(col, F.col("index").cast("int").alias("index"))
 
 
 def type_index(c: Column, short: bool = False) -> Column:

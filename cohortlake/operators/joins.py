@@ -47,3 +47,18 @@ def grid_join(left: DataFrame, right: DataFrame, keys: list[str], left_by: str,
     other = right.join(heavy, keys, "left").withColumn("__b", part(right_by, F.col("__pr"))).withColumn("__a", F.explode(every(F.col("__pl")))).drop("__pl", "__pr")
     return dealt.join(other, [*keys, "__a", "__b"]).drop("__a", "__b")
 
+
+
+def global_numbers(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """df with `name`, 0-based numbers in the given order (nulls first), without a task that sees all rows: sorted ranges are stored, and a row's number is
+    its place in its range plus the rows of the ranges before, of which the driver holds one count each."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the id holds the range above bit 33 and the place in it below
+    ranged = stored(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranged").withColumn("__range", F.shiftright("__id", 33))
+    starts, at = [], 0
+    for r in sorted(ranged.groupBy("__range").count().collect(), key=lambda r: r["__range"]):
+        starts.append((r["__range"], at))
+        at += r["count"]
+    before = df.sparkSession.createDataFrame(starts, "__range long, __start long")
+    placed = ranged.join(F.broadcast(before), "__range")
+    return placed.withColumn(name, F.col("__start") + F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id", "__range", "__start")

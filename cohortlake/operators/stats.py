@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import mutations as M
 from cohortlake.operators.cohort import is_mutated
+from cohortlake.operators.joins import global_numbers, grid_join, stored
 
 
 def label_distribution(df: DataFrame) -> DataFrame:
@@ -104,17 +109,52 @@ def filter_hits(hsps: DataFrame, identity: float, coverage: float) -> DataFrame:
     return kept.groupBy("gene", "hit_id").agg(F.max_by(F.struct(*names), "ord").alias("x")).select("gene", "hit_id", "x.*")
 
 
+#: Codes that are broadcast at most.
+MANY_CODES = 50_000
+
+
+def factorize_long(rows: DataFrame, order: str = "row") -> DataFrame:
+    """(order, column, code) of rows (order, column, value): the codes 0, 1, ... of each column's values in order of first appearance; null is -1.
+
+    All columns are coded at once: their distinct values are numbered over sorted ranges, and a column's codes begin at its first number."""
+    firsts = rows.where("value is not null").groupBy("column", "value").agg(F.min(order).alias("__first"))
+    numbered = stored(global_numbers(firsts, ["column", "__first"], "__number"), "codes")
+    begin = numbered.groupBy("column").agg(F.min("__number").alias("__begin"))  # a row for each column
+    codes = numbered.join(F.broadcast(begin), "column").select("column", "value", (F.col("__number") - F.col("__begin")).alias("code"))
+    some = rows.where("value is not null")
+    joined = some.join(F.broadcast(codes), ["column", "value"]) if numbered.count() <= MANY_CODES else grid_join(some, codes, ["column", "value"], order, "code")
+    none = rows.where("value is null").select(order, "column", F.lit(-1).cast("long").alias("code"))
+    return joined.select(order, "column", "code").unionByName(none)
+
+
 def factorize(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """Each column as codes 0, 1, ... in order of first appearance; null is -1."""
-    for c in columns:
-        codes = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.min(order).alias("__first"))
-        codes = codes.select(F.col(c).alias("__value"), (F.row_number().over(Window.orderBy("__first")) - 1).alias("__code"))  # a row for each value
-        df = df.join(codes, F.col(c) == F.col("__value"), "left").withColumn(c, F.coalesce("__code", F.lit(-1))).drop("__value", "__code")
-    return df
+    """Each column as codes 0, 1, ... in order of first appearance; null is -1. `order` is unique."""
+    names = F.array(*map(F.lit, columns))
+    long = df.select(order, F.posexplode(F.array(*(F.col(c).cast("string") for c in columns))).alias("place", "value")).select(order, F.get(names, F.col("place")).alias("column"), "value")
+    codes = factorize_long(long, order)
+    wide = codes.groupBy(order).agg(*(F.max(F.when(F.col("column") == c, F.col("code"))).alias(c) for c in columns))
+    return df.drop(*columns).join(wide, order).select(*df.columns)
+
+
+def code_vectors(codes: DataFrame, columns: list[str], order: str = "row") -> DataFrame:
+    """(order, features): the codes of factorize_long() as one array of doubles in the order of columns; a row dealt by `order` once."""
+    places = codes.sparkSession.createDataFrame([(c, k) for k, c in enumerate(columns)], "column string, place int")
+    placed = codes.join(F.broadcast(places), "column")
+    return placed.groupBy(order).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("code").cast("double").alias("v")))), lambda x: x["v"]).alias("features"))
 
 
 def feature_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): Pearson's correlation of each pair of columns, all in one aggregation."""
-    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    one = df.agg(*(F.corr(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
+    return vector_correlation(df.select(F.array(*(F.col(c).cast("double") for c in columns)).alias("features")), columns)
+
+
+def vector_correlation(df: DataFrame, names: list[str], features: str = "features") -> DataFrame:
+    """(a, b, r) of each pair of the values of an array without nulls, from one pass that sums their products; r is null where one is constant.
+
+    The driver holds the names x names matrix."""
+    vectors = df.select(array_to_vector(features).alias("v"))
+    if vectors.isEmpty():
+        return df.sparkSession.createDataFrame([], "a string, b string, r double")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    pairs = [(a, b, None if math.isnan(r := float(matrix[i, j])) else r) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
+    return df.sparkSession.createDataFrame(pairs, "a string, b string, r double")

@@ -9,6 +9,7 @@ from cohortlake.functions import proteins as P
 from cohortlake.operators import cohort as C
 from cohortlake.operators import embeddings as E
 from cohortlake.operators import features as X
+from cohortlake.operators import pca as PC
 from cohortlake.operators import samples as S
 from cohortlake.operators import sequences as Q
 from cohortlake.operators import stats as A
@@ -689,12 +690,48 @@ def feature_correlation(spark, sf):
     return A.feature_correlation(A.factorize(o, ["a", "b", "c"], "o_orderkey"), ["a", "b", "c"]).withColumn("r", F.round("r", 6))
 
 
+_CORRELATED = [f"G{k}" for k in range(30)]
+
+
+@query(f"""WITH {D.BIG_SQL}, ids AS (SELECT DISTINCT ID, c_mktsegment FROM big JOIN customer ON ID = CAST(c_custkey AS VARCHAR)),
+v AS (SELECT ids.ID, col, coalesce(mutation_str, 'WT') AS v FROM ids CROSS JOIN (SELECT 'G' || i AS col FROM generate_series(0, {len(_CORRELATED) - 1}) AS s(i)) LEFT JOIN big ON big.ID = ids.ID AND big.gene = col UNION ALL SELECT ID, 'SUBCLASS', c_mktsegment FROM ids),
+k AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY min(CAST(ID AS BIGINT))) - 1 AS code FROM v GROUP BY col, v), x AS (SELECT CAST(ID AS BIGINT) AS ID, col, code FROM v JOIN k USING (col, v))
+SELECT p.col AS a, q.col AS b, CASE WHEN min(p.code) < max(p.code) AND min(q.code) < max(q.code) THEN round(corr(p.code, q.code), 6) END AS r FROM x p JOIN x q ON p.ID = q.ID AND (p.col = 'SUBCLASS' AND q.col <> 'SUBCLASS' OR p.col <> 'SUBCLASS' AND q.col <> 'SUBCLASS' AND CAST(substr(p.col, 2) AS INT) < CAST(substr(q.col, 2) AS INT)) GROUP BY ALL""")
+def label_gene_correlation(spark, sf):
+    """A17 at the reference's width: the label and 30 genes as codes of first appearance, the correlation of each pair."""
+    cells = D.big_cells(spark, sf).withColumn("row", F.col("ID").cast("long"))
+    ids = cells.select("row").distinct()
+    labels = ids.join(D.table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), F.col("c_mktsegment").alias("value")), "row")
+    genes = spark.createDataFrame([(g,) for g in _CORRELATED], "column string")
+    each = ids.crossJoin(F.broadcast(genes))  # 30 rows
+    filled = each.join(cells.select("row", F.col("gene").alias("column"), F.col("mutation_str").alias("value")), ["row", "column"], "left").select("row", "column", F.coalesce("value", F.lit("WT")).alias("value"))
+    codes = A.factorize_long(filled.unionByName(labels.select("row", F.lit("SUBCLASS").alias("column"), "value")))
+    names = ["SUBCLASS", *_CORRELATED]
+    return A.vector_correlation(A.code_vectors(codes, names), names).withColumn("r", F.round("r", 6))
+
+
 @query(f"{CELLS}, c AS (SELECT SUBCLASS, gene, count(*) FILTER (mutation_str <> 'WT') AS n FROM cells GROUP BY ALL), t AS (SELECT *, round_even(max(n) OVER (PARTITION BY SUBCLASS) * CAST(0.6 AS DOUBLE), 0) AS threshold FROM c) SELECT SUBCLASS, gene, n, threshold FROM t WHERE n > threshold")
 def high_frequency_genes(spark, sf):
     """W2."""
     return C.high_frequency_genes(A.label_mutation_counts(D.cells(spark, sf)), 0.6).select("SUBCLASS", "gene", "n", "threshold")
 
 
+@query("WITH c AS (SELECT l_returnflag AS SUBCLASS, 'Q' || (l_linenumber * CAST(l_quantity AS BIGINT)) AS gene, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT *, round_even(max(n) OVER (PARTITION BY SUBCLASS) * CAST(0.2 AS DOUBLE), 0) AS threshold FROM c) SELECT DISTINCT gene FROM t WHERE n > threshold")
+def high_frequency_union(spark, sf):
+    """W2 at the reference's ratio of 0.2, U3: the distinct genes of all classes, here products of numbers, some of which arise in many ways."""
+    counts = D.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("SUBCLASS"), F.concat(F.lit("Q"), (F.col("l_linenumber") * F.col("l_quantity").cast("long")).cast("string")).alias("gene")).agg(F.count("*").alias("n"))
+    return C.union_distinct(C.high_frequency_genes(counts).select("gene"))
+
+
+@query("WITH c AS (SELECT 'P' || (l_partkey % 60) AS gene, CASE WHEN l_partkey % 60 < 7 THEN CASE WHEN l_linenumber = 2 THEN '' ELSE 'WT' END WHEN l_discount > 0.09 THEN 'A1T' ELSE 'WT' END AS m, l_orderkey FROM lineitem) SELECT gene FROM c GROUP BY gene HAVING bool_and(m IN ('', 'WT'))")
+def never_mutated_genes(spark, sf):
+    """A6 over a cohort some of whose genes are WT or empty in every sample."""
+    gene, place = F.concat(F.lit("P"), (F.col("l_partkey") % 60).cast("string")), F.col("l_partkey") % 60
+    m = F.when(place < 7, F.when(F.col("l_linenumber") == 2, "").otherwise("WT")).when(F.col("l_discount") > 0.09, "A1T").otherwise("WT")
+    cells = D.table(spark, sf, "lineitem").select("l_orderkey", gene.alias("gene"), m.alias("mutation_str"))
+    return A.all_wt_genes(cells.where("l_orderkey % 5 < 4"), cells.where("l_orderkey % 5 = 4"))
+
+
 @query(f"{ISO} SELECT isoform_id, len(wt_seq) AS n FROM iso ORDER BY len(wt_seq) DESC, isoform_ord LIMIT 1")
 def max_row(spark, sf):
     """The longest isoform."""
@@ -778,6 +815,24 @@ def pool_token_embeddings(spark, sf):
     return p.select("vec_id", part(0).alias("mean"), part(1).alias("max"), part(2).alias("cls"))
 
 
+@query("WITH v AS (SELECT vec_id, i, (i - 1) // 16 AS t, CAST(e[i] AS DOUBLE) AS x FROM (SELECT vec_id, CAST(embedding AS FLOAT[]) AS e FROM embeddings), unnest(generate_series(1, 64)) AS u(i)), p AS (SELECT vec_id, t, avg(x) AS mean, max(x) AS mx FROM v GROUP BY ALL) SELECT p.vec_id, 8 AS size, round(sum(mean * (t + 1)), 3) AS mean, round(sum(mx * (t + 1)), 3) AS max, any_value(f.n) AS n_full, any_value(f.total) AS total FROM p JOIN (SELECT vec_id, count(*) AS n, round(sum(x * i), 3) AS total FROM v GROUP BY vec_id) f USING (vec_id) GROUP BY p.vec_id")
+def pool_other_strategies(spark, sf):
+    """Q10, preserve_length and full: four tokens of 16 values."""
+    tokens, mask = F.array(*(F.slice("embedding", 16 * k + 1, 16) for k in range(4))), F.array(*map(F.lit, (1, 1, 1, 0)))
+    p = D.table(spark, sf, "embeddings").select("vec_id", E.pool_token_embeddings(tokens, mask, "preserve_length").alias("v"), E.pool_token_embeddings(tokens, mask, "full").alias("f"))
+    part = lambda c, at, n: F.round(F.aggregate(F.transform(F.slice(c, at, n), lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    return p.select("vec_id", F.size("v").alias("size"), part("v", 1, 4).alias("mean"), part("v", 5, 4).alias("max"), F.size("f").cast("long").alias("n_full"), part("f", 1, 64).alias("total"))
+
+
+@query()
+def pca_subspace(spark, sf):
+    """F13 by subspace iteration: the components of the embeddings that hold 95 % of their variance; tested against a plain decomposition."""
+    e = D.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("features"))
+    c = PC.principal_components(e)
+    shares = [(k, float(round(x, 6))) for k, x in enumerate(c.shares.tolist())]  # at most the columns
+    return spark.createDataFrame(shares, "component int, share double")
+
+
 @query("WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS isoform_id, vec_id, CASE WHEN vec_id % 3 = 0 THEN 'lost' ELSE 'm' END AS mutation_str FROM embeddings) SELECT isoform_id, mutation_str, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS wt, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[2] AS DOUBLE), 6) END AS mut FROM p JOIN embeddings USING (vec_id)")
 def lookup_embeddings(spark, sf):
     """A third of the mutants is missing."""

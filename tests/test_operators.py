@@ -146,3 +146,28 @@ def test_no_python_in_plans(spark):
     for df in (enc, C.attach_encoding(long, enc), A.hotspots(long), A.cramers_v(long), S.sample_records(long, enc.withColumn("status_prot", F.lit(0)))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_pooling_of_odd_tokens(spark):
+    """Nulls, empty and ragged lists, nulls in the mask, all masked, and rows of several widths in one batch."""
+    rows = [
+        (0, [[1.0, 2.0], [3.0, 0.0]], [True, True]), (1, None, [True]), (2, [], []), (3, [[1.0], [1.0, 2.0]], [True, True]), (4, [[1.0, 2.0, 3.0]], [True]),
+        (5, [[1.0, 5.0], [9.0, 9.0]], [True, None]), (6, [[1.0, 2.0]], [False]), (7, [[1.0, None]], [True]), (8, [[1.0, 2.0]], None), (9, [None, [1.0]], [True, True]), (10, [[]], [True]),
+    ]
+    df = spark.createDataFrame(rows, "i int, t array<array<float>>, m array<boolean>").coalesce(1)
+    got = {r.i: r.v for r in df.select("i", E.pool_token_embeddings(F.col("t"), F.col("m")).alias("v")).collect()}
+    assert got[0] == [2.0, 1.0, 3.0, 2.0, 1.0, 2.0] and got[4] == [1.0, 2.0, 3.0] * 3 and got[5] == [1.0, 5.0, 1.0, 5.0, 1.0, 5.0]
+    assert got[6] == [0.0, 0.0, -1e9, -1e9, 1.0, 2.0] and got[7] == [1.0, 0.0, 1.0, 0.0, 1.0, 0.0]
+    assert [got[i] for i in (1, 2, 3, 8, 9, 10)] == [None] * 6
+    other = {r.i: (r.p, r.f) for r in df.select("i", E.pool_token_embeddings(F.col("t"), F.col("m"), "preserve_length").alias("p"), E.pool_token_embeddings(F.col("t"), F.col("m"), "full").alias("f")).collect()}
+    assert other[3] == ([1.0, 1.5, 1.0, 2.0], [1.0, 1.0, 2.0]) and other[1] == other[2] == (None, None) and other[10] == ([None, None], [])
+
+
+def test_first_sequences(spark):
+    """Train before test, the least isoform, null keys, equal rows; and no sequence is dealt before the winners are known."""
+    schema = "gene string, mutation_str string, isoform_id string, wt_seq string, mut_seq string"
+    train = spark.createDataFrame([("g", "A1T", "I2", "W", "M2"), ("g", "A1T", "I1", "W", "M1"), ("g", "WT", "I1", "W", "x"), (None, None, "I1", "W", "N"), ("g", "A1T", "I1", "W", "M1")], schema)
+    test = spark.createDataFrame([("g", "A1T", "I0", "W", "M0"), ("h", "Q2*", "I5", "W", None)], schema)
+    got = {(r.gene, r.mutation_str): (r.isoform_id, r.seq) for r in C.full_sequence_table(train, test).collect()}
+    assert got == {("g", "A1T"): ("I1", "M1"), ("g", "WT"): ("I1", "W"), (None, None): ("I1", "N"), ("h", "Q2*"): ("I5", None)}
+    assert C.full_sequence_table(train, test).count() == 4

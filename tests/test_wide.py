@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import cohort as C
 from cohortlake.operators import features as X
+from cohortlake.operators import pca as PC
+from cohortlake.operators import stats as A
 from cohortlake.operators import wide as W
 
 COLUMNS = 4384
@@ -94,3 +96,71 @@ def test_wide_forms_are_the_narrow_ones(spark):
     assert flags == {i: [0, 1, 1] for i in "123"}
     assert sorted(map(tuple, W.unpivot_wide(strings).collect())) == sorted(map(tuple, C.unpivot_cohort(strings).collect()))
     assert W.min_max_scale_wide(df.limit(0), df, names)[1].first().features == [None, None, None]
+
+
+def _array_rows(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "i int, features array<double>").repartition(3)
+
+
+def test_components_are_those_of_mllib(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 12)) @ r.normal(size=(12, 12)) + 3
+    rows = _array_rows(spark, x)
+    columns = [f"x{k}" for k in range(12)]
+    train = rows.select("i", *(F.get("features", F.lit(k)).alias(c) for k, c in enumerate(columns)))
+    out, _, kaiser = X.pca_variance(train, train, columns)
+    c = PC.principal_components(rows, kaiser=True)
+    want = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
+    assert np.allclose(c.variances, want[: len(c.variances)], rtol=1e-6) and c.kaiser == kaiser == (want > 1).sum()
+    got = {y.i: y.pca for y in PC.project(rows, c).collect()}
+    mine = {y.i: y.pca for y in out.collect()}
+    assert len(c.variances) == len(mine[0])
+    # MLlib projects without centring, and signs are free
+    shift = c.mean @ c.directions
+    a, b = (np.array([v[i] for i in range(300)]) for v in (got, mine))
+    assert np.allclose(np.abs(a + shift), np.abs(b), atol=1e-5)
+
+
+def test_components_of_twenty_thousand_columns(spark):
+    r = np.random.default_rng(5)
+    x = (r.normal(size=(60, 6)) * [9, 7, 5, 4, 3, 2]) @ r.normal(size=(6, 20_000)) + r.normal(size=(60, 20_000)) * 0.3
+    c = PC.principal_components(_array_rows(spark, x), 0.95)
+    values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2 / 59
+    need = int(np.searchsorted(np.cumsum(values) / values.sum(), 0.95)) + 1
+    assert len(c.variances) == need and np.allclose(c.shares, values[:need] / values.sum(), atol=1e-6)
+    assert c.directions.shape == (20_000, need)
+
+
+def test_components_of_odd_tables(spark):
+    assert len(PC.principal_components(_array_rows(spark, np.ones((5, 3)))).variances) == 0
+    assert len(PC.principal_components(spark.createDataFrame([], "features array<double>")).variances) == 0
+    one = PC.principal_components(_array_rows(spark, [[1.0, 0.0], [3.0, 0.0]]))
+    assert one.variances.tolist() == pytest.approx([2.0]) and one.shares.tolist() == pytest.approx([1.0])
+
+
+def test_codes_and_correlation(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice("abc"), None if r.random() < 0.3 else str(r.randint(0, 40)), "k") for i in range(200)]
+    df = spark.createDataFrame(rows, "row long, a string, b string, c string")
+    got = {x.row: (x.a, x.b, x.c) for x in A.factorize(df, ["a", "b", "c"], "row").collect()}
+    want = []
+    for k in (1, 2, 3):
+        seen = {}
+        want.append([-1 if x[k] is None else seen.setdefault(x[k], len(seen)) for x in rows])
+    assert [got[i] for i in range(200)] == list(zip(*want, strict=True))
+    long = df.select("row", F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"), F.lit("c"), F.col("c"))).alias("column", "value"))
+    x = A.vector_correlation(A.code_vectors(A.factorize_long(long), ["a", "b", "c"]), ["a", "b", "c"])
+    r = {(y.a, y.b): y.r for y in x.collect()}
+    assert r["a", "b"] == pytest.approx(np.corrcoef(want[0], want[1])[0, 1]) and r["a", "c"] is None and len(r) == 3
+
+
+def test_pca_query(spark):
+    import pyarrow.parquet as pq
+
+    from cohortlake.plans import catalog
+
+    x = np.array(pq.read_table("/root/testdata/sf0.001/embeddings.parquet")["embedding"].to_pylist(), float)
+    values = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    shares = values / values.sum()
+    got = [r.share for r in catalog.QUERIES["pca_subspace"](spark, "/root/testdata/sf0.001").orderBy("component").collect()]
+    assert len(got) == int(np.searchsorted(np.cumsum(shares), 0.95)) + 1 and np.allclose(got, shares[: len(got)], atol=2e-6)
