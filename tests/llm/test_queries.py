@@ -125,9 +125,11 @@ def test_op7(spark, sf):
     assert ((got.probability >= 0.5) == got.secret).all() and got[got.doc_id != 5000].secret.sum() == 0
 
 
-def test_op8(spark, sf):
+def test_sql(spark, sf):
+    """Queries with SQL: ops 8, 11 and 13."""
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
+    for t in ("pages", "documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     for name in queries.ORACLE_SQL:
         rows = con.sql(queries.ORACLE_SQL[name])
         df = queries.QUERIES[name](spark, sf)
@@ -202,6 +204,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, _write(tmp_path, [])).count() == 0
 
 
+def test_pipeline_with_small_sources(spark, tmp_path):
+    """Sources of one short document each, whose targets no whole copies meet: the pipeline ends and keeps their documents within what the mix allows."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50 + i % 3)), "en", f"only{i}") for i in range(9)] + [(100 + i, " ".join(f"v{i}y{k}" for k in range(60)), "en", "big") for i in range(30)]
+    got = corpus_pipeline.run(spark, _write(tmp_path, rows)).collect()
+    assert got and {r.doc_id for r in got} <= {r[0] for r in rows}
+    counts = {i: sum(r.doc_id == i for r in got) for i in {r.doc_id for r in got}}
+    assert max(counts.values()) <= 3 and sorted((r.shard, r.slot) for r in got) == sorted((p % 8, p // 8) for p in range(len(got)))
+
+
 def test_shared_folder(spark, monkeypatch):
     """Without spark.checkpoint.dir a cluster gets an error, not a folder of one machine."""
     from cohortlake import session
