@@ -843,6 +843,20 @@ def lookup_embeddings(spark, sf):
     return t.select("isoform_id", "mutation_str", F.round(F.get("wt_vec", 0).cast("double"), 6).alias("wt"), F.round(F.get("mut_vec", 0).cast("double"), 6).alias("mut"))
 
 
+@query("WITH p AS (SELECT CAST(vec_id AS VARCHAR) AS isoform_id, vec_id, CASE WHEN vec_id % 3 = 0 THEN 'lost' ELSE 'm' END AS mutation_str FROM embeddings) SELECT isoform_id, mutation_str, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[1] AS DOUBLE), 6) END AS wt, CASE WHEN vec_id % 3 = 0 THEN 0.0 ELSE round(CAST(embedding[2] AS DOUBLE), 6) END AS mut FROM p JOIN embeddings USING (vec_id)")
+def vector_table_join(spark, sf):
+    """The same over a bucketed table of vectors, which are dealt when it is written and not again."""
+    e = D.table(spark, sf, "embeddings").withColumn("isoform_id", F.col("vec_id").cast("string"))
+    wild = e.select("isoform_id", F.lit(None).cast("string").alias("mutation_str"), "embedding")
+    mutated = e.select("isoform_id", F.lit("m").alias("mutation_str"), F.concat(F.slice("embedding", 2, 63), F.slice("embedding", 1, 1)).alias("embedding"))
+    at = scratch_path(spark, "vectors")
+    name = at.rsplit("/", 1)[-1].replace("-", "_")
+    IO.write_vector_table(wild.union(mutated), name, 16, at)
+    pairs = e.select("isoform_id", F.when(F.col("vec_id") % 3 == 0, "lost").otherwise("m").alias("mutation_str"))
+    t = E.joined_vectors(pairs, spark.table(name), 64)
+    return t.select("isoform_id", "mutation_str", F.round(F.get("wt_vec", 0).cast("double"), 6).alias("wt"), F.round(F.get("mut_vec", 0).cast("double"), 6).alias("mut"))
+
+
 # --- features -----------------------------------------------------------------------------------
 
 
