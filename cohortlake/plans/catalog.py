@@ -1007,6 +1007,18 @@ def parse_isoforms(spark, sf):
     return IO.parse_isoforms(raw, "uniprot")
 
 
+@query("SELECT 'uniprot' AS db, 'G' || doc_id AS gene, CASE WHEN doc_id % 3 = 0 THEN 'Q' ELSE 'P' END || doc_id AS isoform_id, 0 AS isoform_ord, CASE WHEN doc_id % 3 <> 0 THEN lang END AS wt_seq FROM documents UNION ALL SELECT 'ensembl', 'G' || doc_id, 'P' || doc_id, 0, lang FROM documents")
+def read_isoforms(spark, sf):
+    """Isoform files of three databases. A third of uniprot's genes repeat in a later file, whose rows win; ncbi's file is missing."""
+    at, i = scratch_path(spark, "isoforms"), F.col("doc_id").cast("string")
+    docs = D.table(spark, sf, "documents")
+    first = docs.select(F.concat(F.lit("G"), i).alias("gene"), F.concat(F.lit("{'P"), i, F.lit("': '"), F.col("lang"), F.lit("'}")).alias("sequence"))
+    later = docs.where("doc_id % 3 = 0").select(F.concat(F.lit("G"), i).alias("gene"), F.concat(F.lit("{'Q"), i, F.lit("': None}")).alias("sequence"))
+    IO.write_table(first, f"{at}/1", "csv")
+    IO.write_table(later, f"{at}/2", "csv")
+    return IO.read_isoforms(spark, {"uniprot": f"{at}/*", "ncbi": f"{at}/3", "ensembl": f"{at}/1"})
+
+
 @query(f"{ISO} SELECT gene, md5('>' || isoform_id || ' ' || db || chr(10) || wt_seq) AS record FROM iso")
 def fasta_records(spark, sf):
     """The records that are written."""
