@@ -386,6 +386,56 @@ def test_blended_estimates(spark):
     assert got["de", "one"].l00 > got["en", "big"].l00  # far from all others and of one row: a wide scatter
 
 
+def _plain_verdicts(docs):
+    """(doc_id, share of the cut) of documents that pass the base rules, by estimates over whole arrays in place of histograms and joins."""
+    out, x, names = [], [], []
+    for i, text, lang, source in docs:
+        n, chars, symbols, dups, repeats = brute.statistics(text)
+        if n >= 50 and 100 * repeats <= 50 * n:
+            out.append(i)
+            names.append((lang, source))
+            x.append([np.log(max(chars, 1) / n), np.log1p(10 * symbols / n), np.log1p(10 * repeats / n), np.log1p(dups)])
+    x, floors = np.array(x), np.diag(np.square(quality.FLOORS))
+
+    def estimate(rows):
+        y = x[rows]
+        m = np.median(y, 0)
+        s = np.diag(np.square(1.4826 * np.median(np.abs(y - m), 0))) + floors
+        for _ in range(quality.STEPS):
+            d = np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(s), y - m)
+            core = y[d <= np.quantile(d, quality.CORE, method="inverted_cdf")]
+            m, s = core.mean(0), quality.CONSISTENCY * np.cov(core.T, bias=True) + floors
+        return m, s
+
+    def blend(own, wide, n):
+        w = n / (n + quality.PRIOR_ROWS)
+        apart = own[0] - wide[0]
+        return w * own[0] + (1 - w) * wide[0], w * own[1] + (1 - w) * wide[1] + w * (1 - w) * np.outer(apart, apart)
+
+    every, share = estimate(np.arange(len(x))), {}
+    for lang, source in set(names):
+        of_lang = np.array([k for k, v in enumerate(names) if v[0] == lang])
+        both = np.array([k for k, v in enumerate(names) if v == (lang, source)])
+        m, s = blend(estimate(both), blend(estimate(of_lang), every, len(of_lang)), len(both))
+        d = np.einsum("ij,jk,ik->i", x[both] - m, np.linalg.inv(s), x[both] - m)
+        share |= {out[k]: v / quality._chi_square_cut(quality.TAIL, quality.P) for k, v in zip(both, d, strict=True)}
+    return share
+
+
+def test_quality_verdicts(spark):
+    """kept of whole documents, a few of each kind of odd text among them, against plain estimates of the same kind; those near the cut may go either way."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    clean = [tuple(r) for r in docs.collect()]
+    plain = [r for r in clean if len((r[1] or "").split()) >= 60][:20]
+    odd = [(10**6 + k, (r[1] or "") + [" #$%&" * 90, "\nsame line here" * 40, " " + "x" * 4000, " a" * 60][k % 4], r[2], r[3]) for k, r in enumerate(plain)]
+    share = _plain_verdicts(clean + odd)
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + odd, docs.schema)).collect()}
+    sure = {i: v < 1 for i, v in share.items() if not 0.9 < v < 1.1}
+    assert len(sure) > 0.97 * len(share) and {i: got[i] for i in sure} == sure
+    assert not any(v for i, v in got.items() if i not in share)
+    assert sum(not v for v in sure.values()) >= 5 and sum(sure.values()) > 0.8 * len(sure)
+
+
 # --- 7 ------------------------------------------------------------------------------------------
 
 
@@ -620,6 +670,29 @@ def test_mixing_copies(docs, rows):
         assert [x.copies for x in some] == offs[best][1]
 
 
+def test_mixing_copies_by_rounding(spark):
+    """copies themselves: each source's best of all roundings of the plain rates, with the keys' own hashes."""
+    r = random.Random(17)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 3, 20, 20, 60, 300])), r.choice(["a", "a", "a", "b", None])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {x.doc_id: x.copies for x in mixing.mix(df, [5.0, 2.0, 1.0], ["doc_id"]).collect()}
+    unit = {x.doc_id: x.u for x in df.select("doc_id", mixing._unit(["doc_id"], 0).alias("u")).collect()}
+    sized = [(i, len(t.split()), s) for i, t, s in rows]
+    _, targets = brute.mixing_targets([(s, n) for _, n, s in sized], [5, 2, 1], 3)
+    for source, target in targets.items():
+        ids = [i for i, _, s in sized if s == source]
+        size = np.array([n for _, n, s in sized if s == source], float)
+        rate = brute.entropy_rates(size, target, 3) if target < 3 * size.sum() else np.where(size > 0, 3.0, 1.0)
+        best = None
+        for k in range(1, 2 * mixing.DRAWS, 2):
+            turned = np.array([unit[i] for i in ids]) * k
+            copies = np.minimum(np.floor(rate + turned % 1), 3)
+            off = abs((copies * size).sum() - target)
+            if best is None or off < best[0] - 1e-6:
+                best = (off, copies)
+        assert [got[i] for i in ids] == best[1].tolist()
+
+
 def test_mixing_solves_the_dual(spark):
     """The rates of each source against a plain solver of the same convex problem: rates differ by size, meet the target, and none is nearer to one."""
     out = mixing.mix(spark.createDataFrame(_mixed_rows(), "doc_id long, text string, source string"), [5.0, 2.0, 1.0], key=["doc_id"]).drop("text").toPandas()
