@@ -3,7 +3,7 @@
 Candidates are runs of 16 or more key signs, runs behind known prefixes, and values of any length and signs that are assigned to
 a credential's name or stand as the password in a url. Each becomes a row with features: its length and mix of signs; how likely its signs
 follow each other (transitions) in the words of the corpus; the share of it in words of the corpus's dictionary; the path of its
-document; and the words around it. Dictionary (words in MIN_DOCS documents or more) and transitions (36 x 36 counts of
+document; and the words around it, as indicators of hashed words, so that the forest learns which of them matter. Dictionary (words in MIN_DOCS documents or more) and transitions (36 x 36 counts of
 signs in dictionary words, by their documents) are counted over all documents.
 
 The forest is trained on labelled findings: those of the caller, or planted ones. Planting puts values whose nature is known by
@@ -17,8 +17,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +36,22 @@ PLANTED = 30_000
 TRAIN_ROWS = 20_000
 TRAIN_TASKS = 4
 TREES, DEPTH = 40, 10
-#: Names that go with credentials, those of placeholders, and those of values that only look like keys.
+#: Names whose values are candidates of any signs and length.
 CREDENTIAL = "(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key)"
-PLACEHOLDER = "(?i)(example|sample|dummy|placeholder|changeme|your.?|xxxx|test|[$]\\{|<|environ|getenv)"
-DIGEST = "(?i)(sha\\d*|md5|checksum|digest|commit|revision|hash|uuid|guid|etag|fingerprint|\\bids?\\b|number|order|card|base64)"
 SIGNS = "abcdefghijklmnopqrstuvwxyz0123456789"
 #: Signs of an assigned value that are taken at most; so values that each reach over the next ones take no more than so many times the text.
 MOST_SIGNS = 4096
 #: What stands before an assigned value (group 1: to its quote, or to white space, a quote or the next assignment behind one of ;,&) or before the password of a url (group 2); values
 #: are looked at and not consumed, so that one which names the next is no obstacle.
+NAMED = "(?i)(?:token|secret|passw|pwd|api.?key|auth(?!or(?!i))|bearer|credential|private.?key|access.?key)[\\w.\\-]*+[\"'`\\])]*+[ \\t-\\r]*+(?::=|=>|[=:])[ \\t-\\r]*+(?:(?:bearer|basic)[ \\t-\\r]++)?+[\"'`]?+"
 ASSIGNED = (
-    "(?i)(?:token|secret|passw|pwd|api.?key|auth(?!or(?!i))|bearer|credential|private.?key|access.?key)[\\w.\\-]*+[\"'`\\])]*+[ \\t-\\r]*+(?::=|=>|[=:])[ \\t-\\r]*+(?:(?:bearer|basic)[ \\t-\\r]++)?+[\"'`]?+"
+    f"{NAMED}"
     f"(?=((?<=\")[^\"\\r\\n]{{1,{MOST_SIGNS}}}|(?<=')[^'\\r\\n]{{1,{MOST_SIGNS}}}|(?<=`)[^`\\r\\n]{{1,{MOST_SIGNS}}}|(?<![\"'`])(?:[^ \\t-\\r\"'`;,&]|[;,&](?![\\w.\\-]{{1,99}}[=:])){{1,{MOST_SIGNS}}}+))"
     f"|://[^ \\t-\\r/:@\"'`]*+:(?=([^ \\t-\\r@\"'`]{{1,{MOST_SIGNS}}})@)"
 )
-FEATURES = ["length", "digits", "uppers", "others", "distinct", "switches", "transitions", "hex", "words", "placeholder", "named", "assigned", "quoted", "named_near", "digest_near", "path_depth", "path_test"]
+FEATURES = ["length", "digits", "uppers", "others", "distinct", "switches", "transitions", "hex", "words", "valued", "assigned", "quoted", "path_depth", "path_test"]
+#: Neighbouring words, those next to the candidate apart from those farther off, are told apart by so many hashes, each a feature of its own.
+BUCKETS = 256
 
 
 def _word(w: Column, i: Column) -> Column:
@@ -144,34 +144,37 @@ def _token_features(found: DataFrame, words: DataFrame, chances: DataFrame, tabl
         "transitions": mean,
         "hex": t.rlike("^[0-9a-f]+$|^[0-9A-F]+$").cast("double"),
         "words": F.least(F.coalesce("__known", F.lit(0)) / n, F.lit(1.0)),
-        "placeholder_token": t.rlike(PLACEHOLDER),
     }
     return tokens.join(known, "token", "left").crossJoin(F.broadcast(chances)).withColumns(made).drop("__known", "t")  # one row of chances
 
 
+def _hashed(text: Column, side: str) -> Column:
+    """The buckets of the words of a text, each of 2 to 15 ASCII letters; names are cut at signs, digits and capitals."""
+    pieces = F.split(F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
+    return F.transform(F.filter(pieces, lambda w: F.length(w).between(2, 15)), lambda w: F.pmod(F.xxhash64(F.lit(side), w), F.lit(BUCKETS)).cast("int"))
+
+
 def features(found: DataFrame, words: DataFrame, chances: DataFrame, tables: Tables) -> DataFrame:
-    """Adds FEATURES (doubles) to candidates."""
+    """Adds FEATURES (doubles) and `neighbours`, the sorted buckets of the words around, to candidates."""
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     start, path = F.col("start"), F.coalesce("path", F.lit(""))
     around = F.concat_ws(" ", F.substring_index("before", " ", -2), start)
     made = {
-        "placeholder": flag(F.col("placeholder_token") | F.col("before").rlike(PLACEHOLDER)),
-        "named": flag(around.rlike(CREDENTIAL)),
+        "valued": flag(start.rlike(f"(?:{NAMED}|://[^ \\t-\\r]*:)$")),
         "assigned": flag(F.concat(F.col("before"), start).rlike("[=:>][ \\t-\\r]*[\"'`]?$")),
         "quoted": flag(start.rlike("[\"'`]$")),
-        "named_near": flag(F.concat_ws(" ", "before", "after").rlike(CREDENTIAL)),
-        "digest_near": flag(around.rlike(DIGEST)),
         "path_depth": F.regexp_count(path, F.lit("/")).cast("double"),
         "path_test": flag(path.rlike("(?i)(test|example|sample|doc)")),
+        "neighbours": F.sort_array(F.array_distinct(F.concat(_hashed(around, "next"), _hashed(F.concat_ws(" ", F.substring_index("before", " ", 1), "after"), "far")))),
     }
     per_token = tables.put(_token_features(found, words, chances, tables), "token-features")
-    return spread_join(found, per_token, "token", found.count(), "before").withColumns(made).drop("placeholder_token", "count")
+    return spread_join(found, per_token, "token", found.count(), "before").withColumns(made).drop("count")
 
 
 # --- labelled findings ------------------------------------------------------------------------
 
-NAMES = ["token", "api_key", "secret", "access_key", "auth_token", "client_secret", "password", "passwd", "db.password", "API_TOKEN", "private_key", "bearer"]
-LOOKS = ["commit", "sha256", "md5", "checksum", "etag", "revision", "digest", "uuid", "id", "key", "ref", "build"]
+NAMES = ["token", "api_key", "secret", "access_key", "auth_token", "client_secret", "password", "passwd", "db.password", "API_TOKEN", "private_key", "bearer", "pwd", "credential", "apikey"]
+LOOKS = ["commit", "sha256", "md5", "checksum", "etag", "revision", "digest", "uuid", "id", "key", "ref", "build", "hash", "guid", "fingerprint"]
 
 
 def _kinds(h: Column, words: Column) -> list[tuple[int, Column, Column, Column]]:
@@ -250,27 +253,38 @@ def planted(docs: DataFrame, tables: Tables, text: str = "text", path: str | Non
     return found.where(same).withColumn("label", F.col("doc_id.label")).withColumn("doc_id", F.col("doc_id.h"))
 
 
+def _with_neighbours(rows: DataFrame) -> DataFrame:
+    return rows if "neighbours" in rows.columns else rows.withColumn("neighbours", F.array().cast("array<int>"))
+
+
+def _vector() -> Column:
+    """FEATURES and an indicator of each bucket of neighbouring words."""
+    near = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.array_contains("neighbours", i).cast("double"))
+    return array_to_vector(F.concat(F.array(*FEATURES), near))
+
+
 def train(labelled: DataFrame, seed: int = 7):
-    """A forest from rows with FEATURES and label (0.0 or 1.0); None if one label is missing. Equal rows become one with their number as weight; of
+    """A forest from rows with FEATURES, neighbours (none where that column is missing) and label (0.0 or 1.0); None if one label is missing. Equal rows become one with their number as weight; of
     these a hash sample of about TRAIN_ROWS of each label is written, ordered, and then read by few tasks, as each of the forest's many small
     stages would run on all partitions."""
     tables = Tables(labelled.sparkSession, "forest")
-    vectors = tables.put(labelled.groupBy(*FEATURES, "label").agg(F.count("*").cast("double").alias("weight")), "vectors")
+    features = [*FEATURES, "neighbours"]
+    vectors = tables.put(_with_neighbours(labelled).groupBy(*features, "label").agg(F.count("*").cast("double").alias("weight")), "vectors")
     counts = {r["label"]: r["count"] for r in vectors.groupBy("label").count().collect()}  # two rows
     if not counts.get(0.0) or not counts.get(1.0):
         return None
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *FEATURES), 11) / F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *features), 11) / F.lit(float(1 << 53))
     bound = F.when(F.col("label") == 1, F.lit(TRAIN_ROWS / counts[1.0])).otherwise(F.lit(TRAIN_ROWS / counts[0.0]))
-    dealt = vectors.where(u < bound).repartition(TRAIN_TASKS, *FEATURES).sortWithinPartitions(*FEATURES, "label")
+    dealt = vectors.where(u < bound).repartition(TRAIN_TASKS, *features).sortWithinPartitions(*features, "label")
     sample = tables.put(dealt, "sample")
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample).select("features", "label", "weight")
-    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", weightCol="weight").fit(rows)
+    rows = sample.select(_vector().alias("features"), "label", "weight")
+    model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="onethird", weightCol="weight").fit(rows)
     tables.drop("vectors", "sample")
     return model
 
 
 def _scored(model, rows: DataFrame) -> DataFrame:
-    return model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)).withColumn("probability", vector_to_array("probability")[1])
+    return model.transform(_with_neighbours(rows).withColumn("features", _vector())).withColumn("probability", vector_to_array("probability")[1])
 
 
 def held_out(docs: DataFrame, text: str = "text", path: str | None = "source", total: int = PLANTED) -> DataFrame:
@@ -288,7 +302,7 @@ def held_out(docs: DataFrame, text: str = "text", path: str | None = "source", t
 def scan(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """doc_id, path, word (place in the text), token, before, FEATURES, probability, secret: a row for each candidate.
 
-    labelled: findings with FEATURES and label; by default planted ones. If the caller's lack a label, every candidate has that of the
+    labelled: findings with FEATURES, neighbours and label, as features() makes them; by default planted ones. If the caller's lack a label, every candidate has that of the
     others, and without any counts as a secret. Null and empty texts have no candidates, very long ones are scanned whole; an
     empty table gives none. Of an assigned value of more than MOST_SIGNS signs these are taken. A candidate that repeats in its word counts once for each thing that it is assigned to, else once, in the context of
     its first place. Ids may repeat or be null: rows that repeat are scanned alike. Other columns of docs are not read, whatever their names."""
