@@ -13,6 +13,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cohortlake.llm import queries, ranking, resampling, shared, spelling
 from cohortlake.llm.shared import Tables
@@ -165,6 +166,69 @@ def test_preferences_meet_partners(spark):
     assert all(met[i] >= ranking.PARTNERS for i in range(80) if i % 4)
 
 
+def _labelled(spark, n):
+    """Rows (id, label, x) whose features are hashes, higher for label 1; and the same as arrays."""
+    label = (F.col("id") % 7 > 0).cast("int")
+    x = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1_000_003)) / 1e6 + 0.2 * (i % 3) * label for i in range(len(ranking.FEATURES))]
+    df = spark.range(0, n, 1, 4).select("id", label.alias("label"), F.array(*x).alias("x"))
+    rows = df.collect()
+    return df, np.array([r.x for r in rows]), np.array([r.label for r in rows])
+
+
+def _columns(x, bends):
+    """Features, their excesses over their bends."""
+    return np.column_stack([x, *(np.maximum(x[:, i] - q, 0) for i, qs in enumerate(bends) for q in qs)])
+
+
+def _preferred(z, label, w):
+    """Mean loss of all pairs one by one, and its gradient."""
+    good, bad = z[label == 1], z[label == 0]
+    off = (bad @ w)[None, :] - (good @ w)[:, None]
+    p = 0.5 * (1 + np.tanh(off / 2))
+    return np.logaddexp(0, off).mean(), (p.mean(0) @ bad) / len(bad) - (p.mean(1) @ good) / len(good)
+
+
+def test_bends_and_cut_are_of_all_labels(spark):
+    """More labelled rows than were once learned from: each is in the quantiles of the features and of the scores."""
+    n = 45_000
+    df, x, label = _labelled(spark, n)
+    model = ranking.fit(df, Tables(spark, "test"))
+    for i, bends in enumerate(model.bends):
+        assert [q for q, _ in bends] == [np.sort(x[:, i])[math.ceil(q * n - 1e-9) - 1] for q in ranking.BENDS]
+    raw = np.sort(_columns(x, [[q for q, _ in b] for b in model.bends]) @ np.array(model.slopes + [w for b in model.bends for _, w in b]))
+    low = int((label == 0).sum())
+    assert model.cut == pytest.approx((raw[low - 1] + raw[low]) / 2, abs=1e-9)
+
+
+def test_all_preferences_teach(spark):
+    """The weights are the optimum over all pairs of unlike labels, not over some of them."""
+    df, x, label = _labelled(spark, 500)
+    model = ranking.fit(df, Tables(spark, "test"))
+    z = _columns(x, [[q for q, _ in b] for b in model.bends])
+    scale = z.std(0)
+    w = np.array(model.slopes + [w for b in model.bends for _, w in b]) * scale
+    assert np.abs(w).max() > 0.1
+    assert np.abs(_preferred(z / scale, label, w)[1] + ranking.REGULARIZATION * w).max() < 1e-6
+
+
+@pytest.mark.parametrize("spread", [0.0, 1.0, 30.0])
+def test_counted_scores_give_loss_and_slope(spark, spread):
+    """Bins of scores against all pairs one by one; with all scores alike, and with bins wider than WIDTH."""
+    df, x, label = _labelled(spark, 300)
+    bends = [[0.3, 0.6]] * len(ranking.FEATURES)
+    z = _columns(x, bends)
+    w = np.random.default_rng(5).normal(size=z.shape[1]) * spread
+    scores = ranking.Scores(df, ranking.Expansion(bends, np.ones(len(w))), w)
+    assert (scores.width > ranking.WIDTH) == (spread > 1)
+    slope, curve = scores.slope_and_curve()
+    loss, want = _preferred(z, label, w)
+    assert scores.loss == pytest.approx(loss, rel=1e-6) and slope == pytest.approx(want, abs=1e-6)
+    step = np.random.default_rng(6).normal(size=len(w)) * 1e-5
+    if spread < 2:
+        turned = (_preferred(z, label, w + step)[1] - _preferred(z, label, w - step)[1]) / 2
+        assert curve @ step == pytest.approx(turned, abs=1e-2 * np.abs(turned).max())
+
+
 # --- 13 -----------------------------------------------------------------------------------------
 
 
